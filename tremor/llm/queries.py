@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import fingerprint_index, simhash
 from .common import read
 
 
@@ -14,8 +14,13 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_index.deduplicate(read(spark, sf_dir, "documents"), span=13, batches=3, fanout=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op7_fingerprint_index": op7_fingerprint_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
