@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint_index, simhash
+from . import fingerprint_index, repeats, simhash
 from .common import read
 
 
@@ -18,9 +18,14 @@ def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_index.deduplicate(read(spark, sf_dir, "documents"), span=13, batches=3, fanout=2)
 
 
+def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicate(read(spark, sf_dir, "documents"), span=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op7_fingerprint_index": op7_fingerprint_index,
+    "op9_maximal_repeats": op9_maximal_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
