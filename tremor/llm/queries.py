@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint_index, repeats, simhash
+from . import context_tree, fingerprint_index, repeats, simhash
 from .common import read
 
 
@@ -22,10 +22,15 @@ def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicate(read(spark, sf_dir, "documents"), span=200)
 
 
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(read(spark, sf_dir, "documents"), folds=5, held=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op7_fingerprint_index": op7_fingerprint_index,
     "op9_maximal_repeats": op9_maximal_repeats,
+    "op10_context_tree": op10_context_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {}
