@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, fingerprint_index, repeats, simhash
+from . import context_tree, fingerprint_index, mixing, oracles, repeats, simhash, toxicity
 from .common import read
 
 
@@ -14,8 +14,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "toxic", folds=4, held=2, threshold=0.3)
+
+
+def op6_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
 def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_index.deduplicate(read(spark, sf_dir, "documents"), span=13, batches=3, fanout=2)
+    return fingerprint_index.deduplicate(read(spark, sf_dir, "documents"), span=13, batches=2)
 
 
 def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +37,13 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op5_toxicity": op5_toxicity,
+    "op6_pareto_mixing": op6_pareto_mixing,
     "op7_fingerprint_index": op7_fingerprint_index,
     "op9_maximal_repeats": op9_maximal_repeats,
     "op10_context_tree": op10_context_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_pareto_mixing": oracles.OP6,
+}
