@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import context_tree, fingerprint_index, mixing, oracles, repeats, simhash, toxicity
+from . import context_tree, fingerprint_index, mixing, oracles, perplexity, pii, repeats, rules, simhash, toxicity
 from .common import read
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.filter_quality(read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "toxic", folds=4, held=2, threshold=0.3)
 
@@ -27,6 +35,10 @@ def op7_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_index.deduplicate(read(spark, sf_dir, "documents"), span=13, batches=2)
 
 
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "quality", folds=4, held=2, threshold=0.7)
+
+
 def op9_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicate(read(spark, sf_dir, "documents"), span=200)
 
@@ -36,10 +48,13 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
+    "op3_perplexity": op3_perplexity,
     "op5_toxicity": op5_toxicity,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op7_fingerprint_index": op7_fingerprint_index,
+    "op8_rules": op8_rules,
     "op9_maximal_repeats": op9_maximal_repeats,
     "op10_context_tree": op10_context_tree,
 }
