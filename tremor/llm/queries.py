@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import context_tree, fingerprint_index, mixing, oracles, perplexity, pii, repeats, rules, simhash, toxicity
+from . import context_tree, decontaminate, fingerprint_index, mixing, oracles, perplexity, pii, repeats, rules, simhash, toxicity
 from .common import read
 
 
@@ -22,6 +23,11 @@ def op3_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.filter_quality(read(spark, sf_dir, "documents"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), least=5, coverage=0.5)
+    return found.withColumn("contaminated", F.lit(True))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), "toxic", folds=4, held=2, threshold=0.3)
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_perplexity": op3_perplexity,
+    "op4_decontaminate": op4_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_pareto_mixing": op6_pareto_mixing,
     "op7_fingerprint_index": op7_fingerprint_index,
