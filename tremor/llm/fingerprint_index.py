@@ -20,30 +20,38 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import anchors as A
-from .common import bounded_batches, settle, shared_path
-from .kernels import U64, Rolling, Words, covered, mix, pieces
+from .carry import carried, unpack, unpacked
+from .common import bounded_batches, settle, shared_path, stored
+from .kernels import U64, Rolling, Words, covered, mix, pieces, repeated
 
 #: Words in the gram that anchors a window.
 GRAM = 4
 #: Marks in the two low bits of a class: its windows are repeats; or its windows are still to be compared.
 REPEAT, OPEN = 0, 1
+_RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _words(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[Words, Rolling, A.Anchors]:
     words = Words(data, offsets)
     codes = Rolling(words.hashes())
-    sizes = np.zeros(len(words.starts) + 1, np.int64)
-    np.cumsum(words.ends - words.starts, out=sizes[1:])
-    long_first = 255 - np.minimum(sizes[GRAM:] - sizes[:-GRAM], 255) if len(words.starts) >= GRAM else sizes[:0]
-    return words, codes, A.find(codes, words.first, span, GRAM, long_first)
+    found = A.find(codes, words.first, span, GRAM)
+    found.kind = _kind(found)
+    return words, codes, found
+
+
+def _kind(found: A.Anchors) -> np.ndarray:
+    """The class in 40 bits behind 12 bits for either side, so that a run needs no columns for the sides."""
+    left, right = (np.where(x > 0, x % U64(4095) + U64(1), U64(0)) for x in (found.left, found.right))
+    return (left << U64(52)) | (right << U64(40)) | ((found.kind >> U64(26)) << U64(2))
 
 
 def fingerprints(docs: DataFrame, span: int) -> DataFrame:
@@ -76,38 +84,36 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"{self.database}.run{self.made}"
         self.made += 1
-        rows.write.format("parquet").bucketBy(self.buckets, "gram").sortBy("gram", "kind").saveAsTable(name)
+        rows.write.format("parquet").option("compression", "zstd").bucketBy(self.buckets, "gram").sortBy("gram", "kind").saveAsTable(name)
         return name
 
     def _classes(self, run: str) -> DataFrame:
         return self.spark.table(run).groupBy("gram", "kind").agg(F.min("doc_id").alias("rep"))
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """(doc_id, mark): classes of the batch whose windows repeat earlier ones, and classes, also of
-        older documents, whose windows must be compared one by one."""
-        rows = fingerprints(docs, self.span).repartition(self.buckets, "gram")
-        name = self._write(rows)
-        batch = self.spark.table(name)
-        grams = batch.groupBy("gram").agg(F.min("kind").alias("lo"), F.max("kind").alias("hi"))
-        first = self._classes(name)
-        known, around = first.withColumn("old", F.lit(None).cast("long")), grams
-        asked = []
+        """(doc_id, mark): the classes of the batch's documents whose windows repeat those of a smaller id."""
+        name = self._write(fingerprints(docs, self.span).repartition(self.buckets, "gram"))
+        sources = self._classes(name)
         for k, run in enumerate(self.runs):
-            classes = self._classes(run)
-            known = known.join(classes.withColumnRenamed("rep", f"rep{k}"), ["gram", "kind"], "left")
-            known = known.withColumn("old", F.least("old", f"rep{k}")).drop(f"rep{k}")
-            spans = classes.groupBy("gram").agg(F.min("kind").alias("lo1"), F.max("kind").alias("hi1"))
-            around = around.join(spans, "gram", "left").select("gram", F.least("lo", "lo1").alias("lo"), F.greatest("hi", "hi1").alias("hi"))
-            asked.append(classes.join(grams, "gram").where("lo <> kind OR hi <> kind").select(F.col("rep").alias("doc_id"), (F.col("kind") + OPEN).alias("mark")))
-        repeats = batch.join(known.withColumn("source", F.least("rep", "old")), ["gram", "kind"]).where("doc_id > source")
-        fresh = known.where("old IS NULL").join(around, "gram").where("lo <> hi")
-        marks = repeats.select("doc_id", (F.col("kind") + REPEAT).alias("mark"))
-        marks = marks.union(fresh.select(F.col("rep").alias("doc_id"), (F.col("kind") + OPEN).alias("mark")))
-        for more in asked:
-            marks = marks.union(more)
-        marks = settle(marks)
+            older = self._classes(run).withColumnRenamed("rep", f"rep{k}")
+            sources = sources.join(older, ["gram", "kind"], "left").select("gram", "kind", F.least("rep", f"rep{k}").alias("rep"))
         self.runs.append(name)
-        return marks
+        return settle(self.spark.table(name).join(sources, ["gram", "kind"]).where("doc_id > rep").select("doc_id", (A.name() + REPEAT).alias("mark")))
+
+    def undecided(self) -> DataFrame:
+        """(doc_id, mark): classes whose windows must be compared, each at the least document that has it."""
+        self.compact()
+        if not self.runs:
+            return self.spark.createDataFrame([], "doc_id long, mark long")
+        classes = self._classes(self.runs[0])
+        around = Window.partitionBy("gram")
+        several = classes.withColumns({"lo": F.min("kind").over(around), "hi": F.max("kind").over(around)}).where("lo < hi")
+        several = settle(several.select("gram", "kind", "rep"))
+        # Of several classes of a gram only those that agree on one side can share a window.
+        left, right = F.shiftrightunsigned("kind", 52), F.shiftrightunsigned("kind", 40).bitwiseAND(F.lit(4095))
+        side = several.select("gram", "kind", "rep", F.explode(F.array(left, -right)).alias("side")).where("side <> 0")
+        shared = side.groupBy("gram", "side").agg(F.count("*").alias("k")).where("k > 1")
+        return settle(side.join(shared, ["gram", "side"], "left_semi").select(F.col("rep").alias("doc_id"), (A.name() + OPEN).alias("mark")).distinct())
 
     def compact(self) -> None:
         """Merge the gathered runs into one, by merge joins of their buckets."""
@@ -126,7 +132,7 @@ class FingerprintIndex:
         self.spark.sql(f"DROP DATABASE {self.database} CASCADE")
 
 
-_OPENED = "doc_id long, text string, n_words long, kept_sha256 string, spans array<int>, hashes array<long>, checks array<int>, starts array<int>"
+_OPENED = "doc_id long, packed binary, n_words long, spans array<int>, hashes array<long>, checks array<int>, starts array<int>"
 
 
 def _ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -136,10 +142,10 @@ def _ragged(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Lis
 
 
 def _open(docs: DataFrame, marks: DataFrame, span: int) -> DataFrame:
-    """Each document with its repeated spans and its windows to compare; without a mark it is finished."""
+    """Each marked document with its repeated spans and its windows to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches):
+        for rows, data, offsets in pieces(unpacked(batches)):
             words, codes, found = _words(data, offsets, span)
             lists = rows.column("marks")
             sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -149,27 +155,36 @@ def _open(docs: DataFrame, marks: DataFrame, span: int) -> DataFrame:
             hit = np.flatnonzero(bits == REPEAT)
             doc = found.doc[hit]
             base = words.first[doc]
-            spans = np.stack([found.at[hit] - found.left[hit] - base, found.at[hit] + GRAM + found.right[hit] - base], axis=1).reshape(-1)
-            row, start = A.windows_of(found, np.flatnonzero(bits == OPEN), span, GRAM)
+            spans = np.stack([found.at[hit] - found.hi[hit] - base, found.at[hit] - found.lo[hit] + span - base], axis=1).reshape(-1)
+            asked = np.flatnonzero(bits == OPEN)
+            count = found.hi[asked] - found.lo[asked] + 1
+            row = np.repeat(asked, count)
+            start = found.at[row] - found.hi[row] + repeated(count)
             hashes = mix(codes.spans(start, start + span))
             other = Rolling(mix(np.diff(codes.sums) * codes.down[:-1] ^ U64(0x5851F42D4C957F2D)))
             checks = mix(other.spans(start, start + span)).astype(np.uint32).view(np.int32)
             wdoc = found.doc[row]
-            order = np.argsort(wdoc, kind="stable")
             windows = np.bincount(wdoc, minlength=n)
-            whole, done = [], []
-            for d, text in enumerate(rows.column("text").to_pylist()):
-                plain = sizes[d] == 0
-                whole.append(None if plain else text)
-                done.append(hashlib.sha256(b" ".join((text or "").encode().split())).hexdigest() if plain else None)
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), pa.array(whole, pa.string()), pa.array(words.counts), pa.array(done, pa.string()), _ragged(spans, 2 * np.bincount(doc, minlength=n), pa.int32())]
-                + [_ragged(x[order], windows, t) for x, t in ((hashes.view(np.int64), pa.int64()), (checks, pa.int32()), (start - words.first[wdoc], pa.int32()))],
-                ["doc_id", "text", "n_words", "kept_sha256", "spans", "hashes", "checks", "starts"],
+                [rows.column("doc_id"), rows.column("packed"), pa.array(words.counts), _ragged(spans, 2 * np.bincount(doc, minlength=n), pa.int32())]
+                + [_ragged(x, windows, t) for x, t in ((hashes.view(np.int64), pa.int64()), (checks, pa.int32()), (start - words.first[wdoc], pa.int32()))],
+                ["doc_id", "packed", "n_words", "spans", "hashes", "checks", "starts"],
             )
 
     listed = marks.groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    return docs.join(listed, "doc_id", "left").mapInArrow(run, _OPENED)
+    return carried(docs, marks).join(listed, "doc_id").mapInArrow(run, _OPENED)
+
+
+def _finished(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The results of documents without a mark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [(t or "").encode().split() for t in batch.column("text").to_pylist()]
+            digests = [hashlib.sha256(b" ".join(w)).hexdigest() for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in words], pa.int64()), pa.array(np.zeros(len(words), np.int64)), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return docs.mapInArrow(run, _RESULT).join(marks.select("doc_id").distinct(), "doc_id", "left_anti")
 
 
 def _close(opened: DataFrame, span: int) -> DataFrame:
@@ -177,44 +192,39 @@ def _close(opened: DataFrame, span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             removed, digests = [], []
-            columns = (batch.column(c).to_pylist() for c in ("text", "n_words", "kept_sha256"))
-            lists = (batch.column(c) for c in ("spans", "found"))
-            for text, n, digest, spans, starts in zip(*columns, *lists, strict=True):
-                gone = 0
-                if digest is None:
-                    pairs = np.asarray(spans.values if spans.is_valid else [], np.int64).reshape(-1, 2)
-                    begin = np.asarray(starts.values if starts.is_valid else [], np.int64)
-                    out = covered(n, np.append(pairs[:, 0], begin), np.append(pairs[:, 1], begin + span))
-                    gone = int(out.sum())
-                    digest = hashlib.sha256(b" ".join(compress(text.encode().split(), ~out))).hexdigest()
-                removed.append(gone)
-                digests.append(digest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return opened.select("doc_id", "text", "n_words", "kept_sha256", "spans", "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def deduplicate(docs: DataFrame, span: int = 13, batches: int = 3, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            for packed, n, spans, starts in zip(*(batch.column(c) for c in ("packed", "n_words", "spans", "found")), strict=True):
+                pairs = np.asarray(spans.values if spans.is_valid else [], np.int64).reshape(-1, 2)
+                begin = np.asarray(starts.values if starts.is_valid else [], np.int64)
+                out = covered(n.as_py(), np.append(pairs[:, 0], begin), np.append(pairs[:, 1], begin + span))
+                removed.append(int(out.sum()))
+                digests.append(hashlib.sha256(b" ".join(compress(unpack(packed.as_py()).split(), ~out))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return opened.select("doc_id", "packed", "n_words", "spans", "found").mapInArrow(run, _RESULT)
+
+
+def deduplicate(docs: DataFrame, span: int = 13, batches: int = 2, fanout: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row per input row."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []
-    cuts = sorted(set(cuts))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
     index = FingerprintIndex(spark, span, fanout)
-    marks = None
+    found = []
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = docs.where("doc_id IS NOT NULL")
         part = part if low is None else part.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
         index.compact()
-        found = index.ingest(part)
-        marks = found if marks is None else marks.union(found)
+        found.append(index.ingest(part))
+    index.fanout = 2
+    found.append(index.undecided())
+    marks = reduce(DataFrame.union, found)
     index.drop()
-    opened = settle(_open(docs, marks, span))
+    opened = stored(_open(docs, marks, span), "opened")
     windows = opened.where(F.size("hashes") > 0).select("doc_id", F.explode(F.arrays_zip("hashes", "checks", "starts")).alias("w")).select("doc_id", "w.*")
     sources = windows.groupBy("hashes", "checks").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    found = windows.join(sources, ["hashes", "checks"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_list("starts").alias("found"))
-    return _close(opened.join(found, "doc_id", "left"), span)
+    hits = windows.join(sources, ["hashes", "checks"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_list("starts").alias("found"))
+    closed = _close(opened.select("doc_id", "packed", "n_words", "spans").join(hits, "doc_id", "left"), span)
+    return closed.union(_finished(docs, marks))
