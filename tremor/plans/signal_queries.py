@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators.features import demo_recordings, with_features
 from ..sources.proxies import table
 from .registry import query
 
@@ -99,3 +100,9 @@ def interval_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     middle = gaps.groupBy("user_id").agg(F.percentile("d", F.lit(0.5)).alias("m"))
     near = F.count_if(F.col("d").between(0.8 * F.col("m"), 1.2 * F.col("m")))
     return gaps.join(middle, "user_id").groupBy("user_id").agg(F.count("d").alias("intervals"), F.round(F.stddev_pop("d") / F.avg("d"), 6).alias("cv"), F.round(near / F.count("d"), 6).alias("periodicity"))
+
+
+@query()
+def recording_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of made recordings; the driver's tables have none that are long enough."""
+    return with_features(demo_recordings(spark))
