@@ -5,8 +5,8 @@ spaces), hashed into 2^20 places; a document has a feature or not. Spark counts,
 training documents, how many toxic and other documents have each feature. Its log-count ratio
 r = log((toxic + a * share) / (other + a * (1 - share))) - log(all toxic / all other), with `prior`
 pseudo-documents a dealt by class, is 0 without evidence; features below `least_ratio` are left out.
-A logistic regression over r * x, with ridge penalty, is fitted on at most `fit_rows` training
-documents of either class, those of least id hash; its intercept is corrected for that choice.
+A logistic regression over r * x, with ridge penalty, is fitted on about `fit_rows` training documents
+of either class (4 * fit_rows rows at most), chosen by hash; weights make up for that choice.
 
 Defined results. A null or empty text has no features and gets the intercept's score. Labels that are
 null are no labels; several labels of one document count once each. Without documents of both classes
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of
+from .carry import carried, unpacked
+from .common import bounded_batches, fold_of, stored
 from .kernels import U64, Words, byte_rolling, lower, mix, pieces
 
 #: log2 of the number of hashed features.
@@ -67,11 +68,11 @@ class Model:
 
 
 def counts(labelled: DataFrame) -> DataFrame:
-    """(feature, toxic, other): documents with each feature, of (text, label) rows."""
+    """(feature, toxic, other): documents with each feature, of (packed, label) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, 1 << BITS), np.int64)
-        for rows, data, offsets in pieces(batches):
+        for rows, data, offsets in pieces(unpacked(batches)):
             label = rows.column("label").to_numpy(zero_copy_only=False)
             doc, feature = features(data, offsets)
             for k in (0, 1):
@@ -79,7 +80,7 @@ def counts(labelled: DataFrame) -> DataFrame:
         seen = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(sums[1, seen]), pa.array(sums[0, seen])], ["feature", "toxic", "other"])
 
-    return labelled.select("text", "label").mapInArrow(run, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return labelled.select("packed", "label").mapInArrow(run, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, size: int, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
@@ -99,8 +100,13 @@ def logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.
     return w, b
 
 
+def labelled_texts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, packed, label) of the documents that known has a label for, written once for all passes of a fit."""
+    return stored(carried(docs, known).join(known, "doc_id"), "labelled")
+
+
 def fit(labelled: DataFrame, prior: float = 20.0, least_ratio: float = 1.0, fit_rows: int = 2000, ridge: float = 1e-5, rounds: int = 80) -> Model:
-    """The model of (doc_id, text, label) rows; gathers 2^20 counts and 2 * fit_rows documents' features at most."""
+    """The model of (doc_id, packed, label) rows; gathers 2^20 counts and 4 * fit_rows documents' features at most."""
     sizes = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     zero = np.zeros(1 << BITS)
@@ -116,7 +122,7 @@ def fit(labelled: DataFrame, prior: float = 20.0, least_ratio: float = 1.0, fit_
     shared = labelled.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(batches):
+        for rows, data, offsets in pieces(unpacked(batches)):
             doc, feature = features(data, offsets)
             at = np.searchsorted(shared.value, feature)
             hit = np.isin(feature, shared.value)
@@ -124,9 +130,11 @@ def fit(labelled: DataFrame, prior: float = 20.0, least_ratio: float = 1.0, fit_
             np.cumsum(np.bincount(doc[hit], minlength=rows.num_rows), out=ends[1:])
             yield pa.RecordBatch.from_arrays([rows.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit], pa.int32()))], ["label", "features"])
 
-    first = F.xxhash64("doc_id"), "doc_id", "text"
-    sample = labelled.where("label = 1").orderBy(*first).limit(fit_rows).union(labelled.where("label = 0").orderBy(*first).limit(fit_rows))
-    rows = sample.select("text", "label").mapInArrow(run, "label int, features array<int>").toPandas()
+    # About fit_rows of either class, by hash; the limit only guards against rows that repeat without end.
+    place = F.pmod(F.xxhash64("doc_id", "packed"), F.lit(1 << 30))
+    part = F.when(F.col("label") == 1, F.lit(min(1.0, fit_rows / toxic))).otherwise(F.lit(min(1.0, fit_rows / other)))
+    sample = labelled.where(place < part * float(1 << 30)).limit(4 * fit_rows)
+    rows = sample.select("packed", "label").mapInArrow(run, "label int, features array<int>").toPandas()
     label = rows["label"].to_numpy(np.float64)
     lengths = np.array([len(f) for f in rows["features"]], np.int64)
     at = np.concatenate([np.asarray(f, np.int64) for f in rows["features"]]) if len(rows) else np.zeros(0, np.int64)
@@ -156,5 +164,5 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: in
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     fold = F.coalesce(fold_of("doc_id", folds) == held, F.lit(False))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where("label IN (0, 1)").where(~fold)
-    model = fit(docs.join(known, "doc_id"), **options)
+    model = fit(labelled_texts(docs, known), **options)
     return apply(docs.select("doc_id", fold.alias("held_out"), "text"), model).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
