@@ -43,6 +43,7 @@ def corpus(seed, docs=120):
 @pytest.mark.parametrize(("seed", "group"), [(1, 200), (2, 3), (3, 6)])
 def test_matches_brute_force(spark, monkeypatch, seed, group):
     monkeypatch.setattr(R, "GROUP", group)
+    monkeypatch.setattr(R, "HOT", 3 * group - 8)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id long, text string, marks string")
     assert sorted(map(tuple, R.deduplicate(docs).collect())) == brute(rows)
