@@ -49,27 +49,22 @@ def label_status_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.resolve(label_events(spark, sf_dir)).groupBy("label_state").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_E} , ev2 AS (SELECT * FROM ev WHERE NOT (category = 'expert' AND sample_pk % 3 > 0) AND NOT (category = 'operator' AND (sample_pk % 5 < 2 AND id % 7 > 0))),
-g AS (SELECT sample_pk, count(*) FILTER (WHERE category = 'expert') AS ne, count(*) FILTER (WHERE category = 'operator') AS no,
-      count(DISTINCT CASE WHEN category = 'operator' THEN result_key || '/' || reason_key END) AS ns FROM ev2 GROUP BY sample_pk),
-s AS (SELECT sample_pk, CASE WHEN ne > 0 THEN 'expert' WHEN no = 0 THEN 'unlabeled' WHEN no = 1 THEN 'operator_single' WHEN ns > 1 THEN 'operator_conflict' ELSE 'operator_consistent' END AS label_state FROM g),
-n AS (SELECT *, row_number() OVER (PARTITION BY sample_pk, category ORDER BY timestamp DESC, id DESC) AS k FROM ev2)
-SELECT s.sample_pk, s.label_state, n.result_key, n.reason_key FROM s LEFT JOIN n ON n.sample_pk = s.sample_pk AND n.k = 1
+@query(f"""{_E}, g AS (SELECT sample_pk, timestamp, count(*) FILTER (WHERE category = 'expert') AS ne, count(*) FILTER (WHERE category = 'operator') AS no,
+      count(DISTINCT CASE WHEN category = 'operator' THEN result_key || '/' || reason_key END) AS ns FROM ev GROUP BY ALL),
+s AS (SELECT sample_pk, timestamp, CASE WHEN ne > 0 THEN 'expert' WHEN no = 0 THEN 'unlabeled' WHEN no = 1 THEN 'operator_single' WHEN ns > 1 THEN 'operator_conflict' ELSE 'operator_consistent' END AS label_state FROM g),
+n AS (SELECT *, row_number() OVER (PARTITION BY sample_pk, timestamp, category ORDER BY id DESC) AS k FROM ev)
+SELECT s.sample_pk, s.timestamp, s.label_state, n.result_key, n.reason_key FROM s LEFT JOIN n ON n.sample_pk = s.sample_pk AND n.timestamp = s.timestamp AND n.k = 1
  AND n.category = CASE s.label_state WHEN 'expert' THEN 'expert' WHEN 'operator_consistent' THEN 'operator' END""")
 def training_label_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = source_category(F.col("source"))
-    events = label_events(spark, sf_dir)
-    events = events.where(~((kind == "expert") & (F.col("sample_pk") % 3 > 0))).where(~((kind == "operator") & (F.col("sample_pk") % 5 < 2) & (F.col("id") % 7 > 0)))
-    return L.resolve(events)
+    """A sample's labels of each day, so that all states occur."""
+    return L.resolve(label_events(spark, sf_dir), ["sample_pk", "timestamp"])
 
 
-@query(f"""{_E} , g AS (SELECT sample_pk, arg_max(reason_key, struct_pack(a := timestamp, b := id)) FILTER (WHERE category = 'expert' AND id % 9 = 0) AS expert,
-  arg_min(reason_key, struct_pack(a := timestamp, b := id)) FILTER (WHERE category = 'operator') AS op, count(DISTINCT CASE WHEN category = 'operator' THEN reason_key END) AS n,
-  arg_max(reason_key, struct_pack(a := timestamp, b := id)) AS newest FROM (SELECT * FROM ev WHERE category <> 'expert' OR id % 9 = 0) GROUP BY sample_pk)
-SELECT sample_pk, coalesce(expert, CASE WHEN n > 1 THEN op END, newest) AS reason_key FROM g""")
+@query(f"""{_E}, g AS (SELECT sample_pk, timestamp, arg_max(reason_key, id) FILTER (WHERE category = 'expert') AS expert, arg_min(reason_key, id) FILTER (WHERE category = 'operator') AS op,
+  count(DISTINCT CASE WHEN category = 'operator' THEN reason_key END) AS n, arg_max(reason_key, id) AS newest FROM ev GROUP BY ALL)
+SELECT sample_pk, timestamp, coalesce(expert, CASE WHEN n > 1 THEN op END, newest) AS reason_key FROM g""")
 def effective_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = label_events(spark, sf_dir).where((source_category(F.col("source")) != "expert") | (F.col("id") % 9 == 0))
-    return L.effective_reason(events)
+    return L.effective_reason(label_events(spark, sf_dir), ["sample_pk", "timestamp"])
 
 
 @query(f"""{_E} SELECT sample_pk, id, source FROM (SELECT *, row_number() OVER (PARTITION BY sample_pk ORDER BY timestamp DESC NULLS LAST, CASE category WHEN 'expert' THEN 0 WHEN 'operator' THEN 1 WHEN 'model' THEN 2 ELSE 99 END, id) AS n FROM ev) WHERE n = 1""")
@@ -93,36 +88,40 @@ def same_day_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.same_day_replaced(label_events(spark, sf_dir)).select("id", "sample_pk", "source")
 
 
-@query(f"""{_S}, new AS (SELECT sample_pk + 700 AS sample_pk, 'new' AS line, reference, sn, direction FROM samples WHERE sample_pk % 2 = 0)
+@query(f"""{_S}, new AS (SELECT s_suppkey * 31 AS sample_pk, 'new' AS line, CAST(s_nationkey AS VARCHAR) AS reference, CAST(s_suppkey AS VARCHAR) AS sn, 'up' AS direction FROM supplier)
 SELECT coalesce(n.sample_pk, o.sample_pk) AS sample_pk, coalesce(n.line, o.line) AS line, coalesce(o.reference, n.reference) AS reference, coalesce(n.sn, o.sn) AS sn, coalesce(n.direction, o.direction) AS direction FROM samples o FULL JOIN new n ON o.sample_pk = n.sample_pk""")
 def upsert_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = samples(spark, sf_dir)
-    new = old.where("sample_pk % 2 = 0").withColumns({"sample_pk": F.col("sample_pk") + 700, "line": F.lit("new")})
-    return L.upserted(old, new, ["sample_pk"], kept=["reference"])
+    """Suppliers as newly registered samples: some replace known ones, some are new."""
+    key = F.col("s_suppkey")
+    new = table(spark, sf_dir, "supplier").select(
+        (key * 31).alias("sample_pk"), F.lit("new").alias("line"), F.col("s_nationkey").cast("string").alias("reference"), key.cast("string").alias("sn"), F.lit("up").alias("direction")
+    )
+    return L.upserted(samples(spark, sf_dir), new, ["sample_pk"], kept=["reference"])
 
 
-@query(f"""{_S}, new AS (SELECT * FROM samples WHERE line = 'BUILDING' AND sample_pk % 3 = 0)
+@query(f"""{_S}, new AS (SELECT * FROM samples WHERE line = 'BUILDING' AND direction = 'up')
 SELECT s.sample_pk, s.line, CASE WHEN s.line <> 'BUILDING' OR n.sample_pk IS NOT NULL THEN 1 ELSE 0 END AS is_active FROM samples s LEFT JOIN new n ON s.sample_pk = n.sample_pk""")
 def replace_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = samples(spark, sf_dir).withColumn("is_active", F.lit(1))
-    new = samples(spark, sf_dir).where("line = 'BUILDING' AND sample_pk % 3 = 0")
+    new = samples(spark, sf_dir).where("line = 'BUILDING' AND direction = 'up'")
     return L.replaced_in_scope(old, new, ["sample_pk"]).select("sample_pk", "line", "is_active")
 
 
-@query(f"""{_E}, a AS (SELECT sample_pk, requested, reason_key FROM ev WHERE id % 2 = 0), b AS (SELECT sample_pk, requested, reason_key FROM ev WHERE id % 2 = 1)
+@query(f"""{_E}, a AS (SELECT sample_pk, requested, reason_key FROM ev WHERE category = 'operator'), b AS (SELECT sample_pk, requested, reason_key FROM ev WHERE category <> 'operator')
 SELECT sample_pk, requested, reason_key, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.sample_pk = b.sample_pk AND a.requested IS NOT DISTINCT FROM b.requested AND a.reason_key = b.reason_key)) GROUP BY ALL""")
 def import_dedup_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events: those of operators as stored ones, all others as the batch."""
     columns = ["sample_pk", "requested", "reason_key"]
     events = label_events(spark, sf_dir)
-    stored, batch = (events.where(f"id % 2 = {k}").select(columns) for k in (0, 1))
-    return L.imported(stored, batch, columns).groupBy(columns).agg(F.count("*").alias("n"))
+    of_operators = source_category(F.col("source")) == "operator"
+    return L.imported(events.where(of_operators).select(columns), events.where(~of_operators).select(columns), columns).groupBy(columns).agg(F.count("*").alias("n"))
 
 
-@query(f"""{_S}, l AS (SELECT sample_pk, CASE WHEN sample_pk % 3 > 0 THEN line END AS line, sn, reference AS label FROM samples WHERE sample_pk % 4 < 2 AND direction = 'up')
+@query(f"""{_S}, l AS (SELECT sample_pk, CASE WHEN reference > '15' THEN line END AS line, sn, reference AS label FROM samples WHERE reference <> '7' AND direction = 'up')
 SELECT s.sample_pk, coalesce(a.label, b.label) AS label FROM (SELECT * FROM samples WHERE direction = 'up') s LEFT JOIN l a ON a.line = s.line AND a.sn = s.sn LEFT JOIN l b ON b.line IS NULL AND b.sn = s.sn""")
 def label_fallback_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = samples(spark, sf_dir).where("direction = 'up'")
-    found = up.where("sample_pk % 4 < 2").select(F.when(F.col("sample_pk") % 3 > 0, F.col("line")).alias("line"), "sn", F.col("reference").alias("label"))
+    found = up.where("reference <> '7'").select(F.when(F.col("reference") > "15", F.col("line")).alias("line"), "sn", F.col("reference").alias("label"))
     return L.with_fallback(up, found, ["line", "sn"], ["sn"], ["label"]).select("sample_pk", "label")
 
 
@@ -140,19 +139,20 @@ def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT o_custkey, o_orderdate, count(*) AS n, min(o_orderpriority) AS p FROM orders GROUP BY ALL HAVING count(*) = 1),
-w AS (SELECT o_custkey, o_orderdate, CASE WHEN o_orderkey % 7 = 0 THEN 'moved/' || o_orderpriority ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 5 > 0), n AS (SELECT o_custkey, o_orderdate, min(p) AS p FROM w GROUP BY ALL HAVING count(*) = 1)
+w AS (SELECT o_custkey, o_orderdate, CASE WHEN o_totalprice > 200000 THEN 'moved/' || o_orderpriority ELSE o_orderpriority END AS p FROM orders WHERE o_orderstatus <> 'P'), n AS (SELECT o_custkey, o_orderdate, min(p) AS p FROM w GROUP BY ALL HAVING count(*) = 1)
 SELECT o.o_custkey, CAST(CAST(o.o_orderdate AS DATE) AS VARCHAR) AS day, o.p AS old_path, n.p AS new_path FROM o JOIN n ON o.o_custkey = n.o_custkey AND o.o_orderdate = n.o_orderdate WHERE o.p <> n.p""")
 def rename_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
-    new = orders.where("o_orderkey % 5 > 0").withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("moved/"), F.col("o_orderpriority"))).otherwise(F.col("o_orderpriority")))
+    """All orders as the old manifest; those no longer pending, the dear ones moved, as the new one."""
+    orders, path = table(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    new = orders.where("o_orderstatus <> 'P'").withColumn("o_orderpriority", F.when(F.col("o_totalprice") > 200000, F.concat(F.lit("moved/"), path)).otherwise(path))
     return R.renamed(orders, new, ["o_custkey", "o_orderdate"], "o_orderpriority").select("o_custkey", F.to_date("o_orderdate").cast("string").alias("day"), "old_path", "new_path")
 
 
-@query("""WITH d AS (SELECT o_custkey, o_orderstatus, 1 AS d FROM orders WHERE o_orderkey % 3 > 0 UNION ALL SELECT o_custkey, o_orderstatus, -1 FROM orders WHERE o_orderkey % 3 < 2)
-SELECT o_custkey, o_orderstatus, CASE WHEN sum(d) > 0 THEN 'removed' ELSE 'added' END AS change, CAST(abs(sum(d)) AS BIGINT) AS times FROM d GROUP BY o_custkey, o_orderstatus HAVING sum(d) <> 0""")
+@query("""WITH d AS (SELECT o_custkey, o_orderpriority, 1 AS d FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT o_custkey, o_orderpriority, -1 FROM orders WHERE o_orderstatus <> 'F')
+SELECT o_custkey, o_orderpriority, CASE WHEN sum(d) > 0 THEN 'removed' ELSE 'added' END AS change, CAST(abs(sum(d)) AS BIGINT) AS times FROM d GROUP BY o_custkey, o_orderpriority HAVING sum(d) <> 0""")
 def bag_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    return R.bag_difference(*(orders.where(c).select("o_custkey", "o_orderstatus") for c in ("o_orderkey % 3 > 0", "o_orderkey % 3 < 2")))
+    return R.bag_difference(*(orders.where(F.col("o_orderstatus") != gone).select("o_custkey", "o_orderpriority") for gone in ("P", "F")))
 
 
 @query("""SELECT DISTINCT c_custkey AS sn, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AND c_acctbal > 0 UNION ALL SELECT DISTINCT o_custkey, 'right' FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
@@ -160,6 +160,6 @@ def consistency_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.unmatched(table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("sn")), table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("sn")), "sn")
 
 
-@query(f"""{_S}, k AS (SELECT DISTINCT sn FROM samples WHERE sample_pk % 5 > 0) SELECT k.sn, d.direction, EXISTS (SELECT 1 FROM samples s WHERE s.sample_pk % 5 > 0 AND s.sn = k.sn AND s.direction = d.direction) AS is_input FROM k, (VALUES ('up'), ('down')) d(direction)""")
+@query(f"""{_S}, k AS (SELECT DISTINCT sn FROM samples WHERE line <> 'BUILDING') SELECT k.sn, d.direction, EXISTS (SELECT 1 FROM samples s WHERE s.line <> 'BUILDING' AND s.sn = k.sn AND s.direction = d.direction) AS is_input FROM k, (VALUES ('up'), ('down')) d(direction)""")
 def complete_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.completed(samples(spark, sf_dir).where("sample_pk % 5 > 0"), "sn", "direction")
+    return R.completed(samples(spark, sf_dir).where("line <> 'BUILDING'"), "sn", "direction")

@@ -44,14 +44,14 @@ def inconsistent_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.inconsistent(events, ["line", "sn"], "reason_key")
 
 
-@query(f"""{_S}, g AS (SELECT sample_pk, count(*) FILTER (WHERE category = 'expert' AND id % 3 = 0) AS ne, count(*) FILTER (WHERE category = 'operator' AND id % 5 < 2) AS no,
- count(DISTINCT CASE WHEN category = 'operator' AND id % 5 < 2 THEN result_key || '/' || reason_key END) AS ns FROM ev GROUP BY sample_pk)
+@query(f"""{_S}, g AS (SELECT sample_pk, timestamp, count(*) FILTER (WHERE category = 'expert') AS ne, count(*) FILTER (WHERE category = 'operator') AS no,
+ count(DISTINCT CASE WHEN category = 'operator' THEN result_key || '/' || reason_key END) AS ns FROM ev GROUP BY ALL)
 SELECT reference, count(*) AS samples, count(*) FILTER (WHERE ne > 0) AS expert, count(*) FILTER (WHERE ne = 0 AND no > 1 AND ns = 1) AS operator_consistent, count(*) FILTER (WHERE ne = 0 AND no > 1 AND ns > 1) AS operator_conflict,
  count(*) FILTER (WHERE ne = 0 AND no = 1) AS operator_single, count(*) FILTER (WHERE coalesce(ne, 0) = 0 AND coalesce(no, 0) = 0) AS unlabeled FROM samples s LEFT JOIN g ON g.sample_pk = s.sample_pk GROUP BY reference""")
 def reference_label_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = T.source_category(F.col("source"))
-    events = label_events(spark, sf_dir).where(~((kind == "expert") & (F.col("id") % 3 > 0))).where(~((kind == "operator") & (F.col("id") % 5 > 1)))
-    states = samples(spark, sf_dir).join(L.resolve(events), "sample_pk", "left").withColumn("label_state", F.coalesce("label_state", F.lit("unlabeled")))
+    """States of all samples, each on every day that it has events."""
+    found = L.resolve(label_events(spark, sf_dir), ["sample_pk", "timestamp"])
+    states = samples(spark, sf_dir).join(found, "sample_pk", "left").withColumn("label_state", F.coalesce("label_state", F.lit("unlabeled")))
     return S.state_counts(states, ["reference"])
 
 
