@@ -17,30 +17,26 @@ from pyspark.sql import functions as F
 from .learning import dice, group_split
 
 
-def _score(part: np.ndarray, total: np.ndarray, share: float) -> float:
-    """How far a side is from its share of all rows and of each label; a label that is missing weighs most."""
-    rows = total.sum() * share
+def _misfit(side: np.ndarray, total: np.ndarray, share: float) -> tuple[int, float]:
+    """Labels with rows enough for the side that it lacks, and then Pearson's statistic of its label counts against their shares."""
     expected = total * share
-    ratio = np.abs(part / max(part.sum(), 1) - total / max(total.sum(), 1)).sum()
-    gap = (np.abs(part - expected) / np.maximum(expected, 1)).sum()
-    missing = ((part == 0) & (expected >= 0.75)).sum()
-    return 2 * abs(part.sum() - rows) / max(rows, 1) + 3 * ratio + 1.5 * gap + 8 * missing
+    return int(((side == 0) & (expected >= 1)).sum()), float(((side - expected) ** 2 / np.maximum(expected, 1)).sum())
 
 
 def search_split(counts: pd.DataFrame, share: float, trials: int, seed: int) -> set[str]:
-    """The groups for the smaller side: of random orders, each filled up to its share, the one of least score, the first on ties."""
+    """The groups for the smaller side: of `trials` random orders, each filled up to its share, the one that fits best, the first on ties."""
     table = counts.pivot_table(index="group", columns="label", values="n", aggfunc="sum", fill_value=0).sort_index()
-    values, total = table.to_numpy(np.float64), table.to_numpy(np.float64).sum(0)
-    rng, best = np.random.default_rng(seed), (np.inf, np.zeros(0, np.int64))
-    for _ in range(min(256, max(8, trials))):
+    values = table.to_numpy(np.float64)
+    if len(values) < 2:
+        return set()
+    total, rng, best = values.sum(0), np.random.default_rng(seed), None
+    for _ in range(trials):
         order = rng.permutation(len(values))
-        sizes = np.cumsum(values[order].sum(1))
-        upto = max(1, int(np.searchsorted(sizes, total.sum() * share, "right")))
-        side = order[: min(upto, len(order) - 1)] if len(order) > 1 else order[:0]
-        part = values[side].sum(0)
-        score = _score(part, total, share) + _score(total - part, total, 1 - share)
-        if score < best[0]:
-            best = (score, side)
+        filled = np.cumsum(values[order].sum(1))
+        size = np.clip(np.searchsorted(filled, total.sum() * share, "right"), 1, len(order) - 1)
+        misfit = _misfit(values[order[:size]].sum(0), total, share)
+        if best is None or misfit < best[0]:
+            best = (misfit, order[:size])
     return set(table.index[best[1]])
 
 
