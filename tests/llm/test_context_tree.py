@@ -106,5 +106,15 @@ def test_shortened_contexts_keep_all_counts(spark):
     assert np.exp2(tree.log2(every)).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_shortening_keeps_the_most_frequent_at_any_count(spark):
+    counts = {(k << 40) | k: 1001 + k * k for k in range(1, 201)}
+    grams = spark.createDataFrame(list(counts.items()), "code long, n long")
+    deep = C.shortened(grams, 5, 100).where("length = 5").collect()
+    assert {r.code for r in deep} == set(sorted(counts, key=counts.get)[-50:])
+    # Where all counts are equal, a share of the level stays.
+    equal = C.shortened(grams.selectExpr("code", "5000L AS n"), 5, 100)
+    assert 25 <= equal.where("length = 5").count() <= 75 and equal.agg({"n": "sum"}).first()[0] == 200 * 5000
+
+
 def test_empty_table(spark):
     assert C.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0

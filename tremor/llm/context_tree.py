@@ -162,6 +162,25 @@ def grow(code: np.ndarray, count: np.ndarray, length: np.ndarray, depth: int) ->
     return Tree(depth, nodes, stop, one)
 
 
+def threshold(rows: DataFrame, room: int) -> tuple[int, float]:
+    """(least, share): at most about `room` rows have n > least or are of the share of those with n = least.
+
+    Exact at any size of counts: the range that the room ends in is cut in 1024 steps until it is one count."""
+    low, high, left = 0, (rows.agg(F.max("n")).first()[0] or 0) + 1, room
+    while True:
+        step = -(-(high - low) // 1024)
+        place = F.floor((F.col("n") - low) / step).cast("long").alias("s")
+        for r in rows.where(F.col("n").between(low, high - 1)).groupBy(place).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect():
+            if r.k > left:
+                low, high, last = low + r.s * step, min(high, low + (r.s + 1) * step), r.k
+                break
+            left -= r.k
+        else:
+            return low, 1.0
+        if high - low == 1:
+            return low, left / last
+
+
 def shortened(grams: DataFrame, depth: int, most_rows: int) -> DataFrame:
     """(code, n, length): the grams, the rarest with shorter contexts until most_rows hold them."""
     rows = settle(grams.withColumn("length", F.lit(depth)))
@@ -169,12 +188,11 @@ def shortened(grams: DataFrame, depth: int, most_rows: int) -> DataFrame:
         whole, deepest = rows.count(), rows.where(F.col("length") == d)
         if whole <= most_rows:
             break
-        # The least count that leaves room; rarer grams give their counts to contexts one byte shorter.
-        sizes = {r.c: r.k for r in deepest.groupBy(F.least(F.col("n"), F.lit(1000)).alias("c")).agg(F.count("*").alias("k")).collect()}
-        least, room = 1, most_rows // 2
-        while least < 1001 and sum(k for c, k in sizes.items() if c >= least) > room:
-            least += 1
-        keep = (F.col("length") < d) | (F.col("n") >= least) if least <= 1000 else F.col("length") < d
+        # The least count that leaves room, and by hash the share of its grams that still fit; rarer
+        # grams give their counts to contexts one byte shorter.
+        least, share = threshold(deepest, most_rows // 2)
+        tie = (F.col("n") == least) & (F.pmod(F.xxhash64("code"), F.lit(1 << 20)) < int(share * (1 << 20)))
+        keep = (F.col("length") < d) | (F.col("n") > least) | tie
         short = F.col("code").bitwiseAND(F.lit((1 << 8 * d) - 1))
         moved = rows.where(~keep).groupBy(short.alias("code")).agg(F.sum("n").alias("n")).withColumn("length", F.lit(d - 1))
         rows = settle(rows.where(keep).unionByName(moved).groupBy("code", "length").agg(F.sum("n").alias("n")))
