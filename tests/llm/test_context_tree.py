@@ -5,8 +5,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tremor.llm import context_tree as C
+from tremor.llm.common import fold_of
+from tremor.llm.kernels import Words
 
 
 def tokens(text):
@@ -116,5 +119,21 @@ def test_shortening_keeps_the_most_frequent_at_any_count(spark):
     assert 25 <= equal.where("length = 5").count() <= 75 and equal.agg({"n": "sum"}).first()[0] == 200 * 5000
 
 
+def test_the_model_keeps_every_gram(spark, monkeypatch):
+    """More grams than any part or block holds; the scores are those of the tree over all of them."""
+    monkeypatch.setattr(C, "BLOCK_BYTES", 1 << 18)
+    rng = random.Random(8)
+    data = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(1000))) for i in range(150)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    grams = C._gram_counts(docs.where(~F.coalesce(fold_of("doc_id", 5) == 1, F.lit(False))), 5).toPandas().sort_values("code")
+    assert len(grams) > 1 << 18
+    tree = C.grow(grams["code"].to_numpy().view(np.uint64), grams["n"].to_numpy(float), np.full(len(grams), 5), 5)
+    got = {r.doc_id: r.score for r in C.score(docs).collect()}
+    for i, text in data[::10]:
+        raw = text.encode() + b" "
+        code, _, _ = C.stream(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), 5)
+        assert got[i] == pytest.approx(tree.log2(code).sum() * math.log10(2), rel=1e-5)
+
+
 def test_empty_table(spark):
     assert C.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0

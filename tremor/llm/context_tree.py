@@ -9,9 +9,13 @@ share of the first term in the sum is the posterior weight of stopping there, an
 by mixing the estimates of all depths with these weights. A context that training never met keeps
 the estimate 1/2 with all its weight.
 
-Spark counts the (depth + 1)-grams of the training texts. `most_rows` bounds the table that is
-gathered and broadcast: where there are more distinct grams, the deepest contexts of fewest
-occurrences are shortened by one byte until they fit, so their counts go on in the shallower nodes.
+Spark counts the (depth + 1)-grams of the training texts, all of them, in a table that grows with the
+corpus. It is dealt by the last SHARED bytes of the context, so that all nodes of that depth and below
+lie in one part and are grown there; what they weigh for their parents is summed, and only the nodes
+of fewer than SHARED bytes, whose number has a bound whatever the corpus, are gathered and broadcast.
+Texts are put together in blocks; the distinct codes of a block are dealt like the grams, answered
+where the nodes are, and brought back to the block's texts. (`shortened` fits a whole model into a
+given number of rows; the query does not use it.)
 
 The baseline counts are exact: training tokens are counted by their 64-bit hashes, the `common` most
 frequent ones (a bounded table) are scored where the text is read and all others by a join.
@@ -29,14 +33,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, settle
-from .kernels import U64, Words, lower, pieces
+from .common import bounded_batches, fold_of, settle, stored
+from .kernels import U64, Words, lower, mix, pieces
 from .ngrams import by_document, codes, counted, look_up, rows_within
 
 END = 0x0A
+#: Bytes of context that the nodes of one part share; nodes of fewer are gathered, 255 * 2^16 of the longest at most.
+SHARED = 3
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
 
 
 def stream(words: Words, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,6 +92,7 @@ class Tree:
     one: list[np.ndarray]
     known: np.ndarray | None = None  # sorted codes of full length whose answers are kept
     answers: np.ndarray | None = None
+    up: tuple[np.ndarray, np.ndarray] | None = None  # where nodes begin at some depth: the nodes above, and what these add to them
 
     def keep(self, code: np.ndarray) -> None:
         """Keep the answers for these codes."""
@@ -131,11 +142,14 @@ def _nodes(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray,
     return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
-def grow(code: np.ndarray, count: np.ndarray, length: np.ndarray, depth: int) -> Tree:
-    """The weighted tree of counted grams; length: the context bytes that each gram has kept."""
+def grow(code: np.ndarray, count: np.ndarray, length: np.ndarray, depth: int, least: int = 0, below: tuple[np.ndarray, np.ndarray] | None = None) -> Tree:
+    """The weighted tree of counted grams; length: the context bytes that each gram has kept.
+
+    least: the depth where to end; below: what the nodes of depth + 1 add to those of depth, where there are any."""
     nodes, stop, one = [np.zeros(0, U64)] * (depth + 1), [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1)
-    below_key, below = np.zeros(0, U64), np.zeros(0)
-    for d in range(depth, -1, -1):
+    deepest = below is None
+    below_key, below = (np.zeros(0, U64), np.zeros(0)) if below is None else below
+    for d in range(depth, least - 1, -1):
         use = length >= d
         short, where = np.unique(code[use] & U64((1 << 8 * (d + 1)) - 1), return_inverse=True)
         node, zeros, ones = _nodes(short, np.bincount(where, count[use], len(short)), d)
@@ -153,13 +167,13 @@ def grow(code: np.ndarray, count: np.ndarray, length: np.ndarray, depth: int) ->
                 at, found = look_up(node, k)
                 deeper[at[found]] = kt_block(z, o)[found]
         children += deeper
-        leaf = d == depth
+        leaf = d == depth and deepest
         both = own if leaf else np.logaddexp(own, children) - math.log(2)
         nodes[d], one[d] = node, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
         stop[d] = (np.ones(len(node)) if leaf else np.exp(own - math.log(2) - both)).astype(np.float32)
         # A node's parent drops the oldest byte of its context and keeps the known bits.
         below_key, below = (((node >> U64(8)) & U64((1 << 8 * max(d - 1, 0)) - 1)) << U64(8)) | (node & U64(255)), both
-    return Tree(depth, nodes, stop, one)
+    return Tree(depth, nodes, stop, one, up=(below_key, below))
 
 
 def threshold(rows: DataFrame, room: int) -> tuple[int, float]:
@@ -232,41 +246,168 @@ def _token_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def _score(docs: DataFrame, tree, common) -> DataFrame:
+def _packed(codes: np.ndarray) -> bytes:
+    """Ascending codes as compressed differences, equal bytes of all of them together."""
+    steps = np.diff(codes, prepend=U64(0)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(U64).reshape(-1), dtype=U64)
+
+
+def _dealt(code: np.ndarray, shared: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Where the codes of each part stand, in their order; a part has all codes of its contexts' last `shared` bytes."""
+    part = (mix((code >> U64(8)) & U64((1 << 8 * shared) - 1)) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    ends = np.cumsum(np.bincount(part, minlength=parts))
+    for k in np.unique(part):
+        yield int(k), order[ends[k - 1] if k else 0 : ends[k]]
+
+
+_PART = "part int, block long, codes binary, counts binary"
+
+
+def _grams_by_part(grams: DataFrame, shared: int, parts: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, n = batch.column("code").to_numpy().view(U64), batch.column("n").to_numpy()
+            order = np.argsort(code)
+            code, n = code[order], n[order]
+            rows = [(k, _packed(code[at]), zstandard.compress(n[at].tobytes(), 1)) for k, at in _dealt(code, shared, parts)]
+            if rows:
+                part, codes_, counts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array(codes_, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "codes", "counts"])
+
+    return grams.select("code", "n").mapInArrow(run, _PART)
+
+
+def _blocks(docs: DataFrame, depth: int, shared: int, parts: int) -> DataFrame:
+    """Texts in blocks named by their first row: a row with the texts, and one for each part with the block's distinct codes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            block = held[0].column("row")[0].as_py()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for rows in held:
+                    writer.write_batch(rows)
+            code = np.unique(np.concatenate(own))
+            dealt = [(k, _packed(code[at])) for k, at in _dealt(code, shared, parts)]
+            n = len(dealt)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([*(k for k, _ in dealt), -1], pa.int32()), pa.array([block] * (n + 1), pa.int64()), pa.array([*(c for _, c in dealt), None], pa.binary()), pa.array([None] * n + [sink.getvalue().to_pybytes()], pa.binary())],
+                ["part", "block", "codes", "texts"],
+            )
+
+        for rows, data, offsets in pieces(batches):
+            held.append(rows)
+            own.append(np.unique(stream(Words(lower(data), offsets), depth)[0]))
+            size += len(data) + 64 * rows.num_rows
+            if size > BLOCK_BYTES:
+                yield out()
+                held, own, size = [], [], 0
+        if held:
+            yield out()
+
+    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, "part int, block long, codes binary, texts binary")
+
+
+def _trained(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a part with their counts."""
+    codes_, counts = group.column("codes").to_pylist(), group.column("counts").to_pylist()
+    some = [(_unpacked(c), np.frombuffer(zstandard.decompress(n), np.int64)) for c, n in zip(codes_, counts, strict=True) if n is not None]
+    if not some:
+        return np.zeros(0, U64), np.zeros(0)
+    return np.concatenate([c for c, _ in some]), np.concatenate([n for _, n in some]).astype(np.float64)
+
+
+def _top(grams: DataFrame, depth: int, shared: int) -> Tree:
+    """The nodes of fewer than `shared` bytes of context, from all counts and what the nodes below add."""
+    if not shared:
+        return Tree(0, [], [], [])
+
+    def run(group: pa.Table) -> pa.Table:
+        code, count = _trained(group)
+        key, below = grow(code, count, np.full(len(code), depth), depth, shared).up
+        key, where = np.unique(key, return_inverse=True)
+        short, at = np.unique(code & U64((1 << 8 * shared) - 1), return_inverse=True)
+        both = np.append(np.bincount(where, below, len(key)), np.bincount(at, count, len(short)))
+        return pa.table({"node": np.append(np.ones(len(key), bool), np.zeros(len(short), bool)), "key": np.append(key, short).view(np.int64), "x": both})
+
+    sums = grams.groupBy("part").applyInArrow(run, "node boolean, key long, x double").groupBy("node", "key").agg(F.sum("x").alias("x")).toPandas()
+    node = sums["node"].to_numpy(bool)
+    key, x = sums["key"].to_numpy(np.int64).view(U64), sums["x"].to_numpy(np.float64)
+    return grow(key[~node], x[~node], np.full((~node).sum(), shared - 1), shared - 1, 0, (key[node], x[node]))
+
+
+def _answered(rows: DataFrame, depth: int, shared: int, top) -> DataFrame:
+    """(block, codes, answers): for the codes that each block asks for, the model's log2."""
+
+    def run(group: pa.Table) -> pa.Table:
+        own = grow(*(t := _trained(group)), np.full(len(t[0]), depth), depth, shared)
+        above = top.value
+        tree = Tree(depth, above.nodes + own.nodes[shared:], above.stop + own.stop[shared:], above.one + own.one[shared:])
+        asked = group.filter(pc.is_null(group.column("counts")))
+        raw = asked.column("codes").to_pylist()
+        wanted = [_unpacked(c) for c in raw]
+        if wanted:
+            tree.keep(np.concatenate(wanted))
+        found = [tree.answers[look_up(tree.known, w)[0]].tobytes() for w in wanted]
+        return pa.table({"block": asked.column("block"), "codes": pa.array(raw, pa.binary()), "answers": pa.array(found, pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(run, "block long, codes binary, answers binary")
+
+
+def _score(answered: DataFrame, texts: DataFrame, depth: int, common) -> DataFrame:
     """Per document (row id): the model's log2, sums over common tokens, and the tokens left for a join."""
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<token:bigint,k:bigint>>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, (tokens, log_count, seen) = tree.value, common.value
-        for rows, data, offsets in pieces(batches, step=1 << 20):
-            for a, b in rows_within(rows.num_rows):
-                part, words = rows.slice(a, b - a), Words(lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
-                n = b - a
-                code, doc, _ = stream(words, model.depth)
-                owner, code, count = by_document(code, doc)
-                distinct, where = np.unique(code, return_inverse=True)
-                score = np.bincount(owner, model.log2(distinct)[where] * count, n) * math.log10(2)
-                # Tokens by document: the end is a token of every text.
-                token = np.append(words.hashes(), np.zeros(n, U64))
-                owner = np.append(words.doc_of(), np.arange(n))
-                order = np.lexsort((token, owner))
-                token, owner = token[order], owner[order]
-                new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
-                k = np.diff(np.append(new, len(token)))
-                token, owner = token[new], owner[new]
-                at, hit = look_up(tokens, token)
-                known = np.bincount(owner[hit], k[hit] * seen[at[hit]], n).astype(np.int64)
-                logs = np.bincount(owner[hit], k[hit] * log_count[at[hit]], n)
-                rest = ~hit
-                ends = np.zeros(n + 1, np.int32)
-                np.cumsum(np.bincount(owner[rest], minlength=n), out=ends[1:])
-                rare = pa.StructArray.from_arrays([pa.array(token[rest].view(np.int64)), pa.array(k[rest].astype(np.int64))], ["token", "k"])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(words.counts + 1), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rare)],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
-                )
-
-    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, schema)
+    def run(group: pa.Table) -> pa.Table:
+        tokens, log_count, seen = common.value
+        codes_, answers, texts_ = (group.column(c).to_pylist() for c in ("codes", "answers", "texts"))
+        asked = [(_unpacked(c), np.frombuffer(x, np.float32)) for c, x in zip(codes_, answers, strict=True) if c is not None]
+        code_of, log2 = np.concatenate([c for c, _ in asked]), np.concatenate([x for _, x in asked])
+        order = np.argsort(code_of)
+        code_of, log2 = code_of[order], log2[order]
+        done = []
+        for batch in (b for raw in texts_ if raw is not None for b in pa.ipc.open_stream(raw)):
+            for rows, data, offsets in pieces([batch]):
+                for a, b in rows_within(rows.num_rows):
+                    part, words = rows.slice(a, b - a), Words(lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
+                    n = b - a
+                    code, doc, _ = stream(words, depth)
+                    owner, code, count = by_document(code, doc)
+                    score = np.bincount(owner, log2[look_up(code_of, code)[0]] * count, n) * math.log10(2)
+                    # Tokens by document: the end is a token of every text.
+                    token = np.append(words.hashes(), np.zeros(n, U64))
+                    owner = np.append(words.doc_of(), np.arange(n))
+                    order = np.lexsort((token, owner))
+                    token, owner = token[order], owner[order]
+                    new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
+                    k = np.diff(np.append(new, len(token)))
+                    token, owner = token[new], owner[new]
+                    at, hit = look_up(tokens, token)
+                    known = np.bincount(owner[hit], k[hit] * seen[at[hit]], n).astype(np.int64)
+                    logs = np.bincount(owner[hit], k[hit] * log_count[at[hit]], n)
+                    rest = ~hit
+                    ends = np.zeros(n + 1, np.int32)
+                    np.cumsum(np.bincount(owner[rest], minlength=n), out=ends[1:])
+                    rare = pa.StructArray.from_arrays([pa.array(token[rest].view(np.int64)), pa.array(k[rest].astype(np.int64))], ["token", "k"])
+                    done.append(
+                        pa.RecordBatch.from_arrays(
+                            [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(words.counts + 1), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rare)],
+                            ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                        )
+                    )
+        return pa.Table.from_batches(done)
+
+    none = F.lit(None).cast("binary")
+    both = answered.select("block", "codes", "answers", none.alias("texts")).union(texts.select("block", none.alias("codes"), none.alias("answers"), "texts"))
+    return both.groupBy("block").applyInArrow(run, schema)
 
 
 def frequent(tokens: DataFrame, most: int) -> int:
@@ -288,23 +429,27 @@ def frequent(tokens: DataFrame, most: int) -> int:
     return above if above is not None else (1 << 62)
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, most_rows: int = 1 << 18, common: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, common: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row; texts whose id's crc32 modulo folds is not `held` train the models."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     docs = docs.withColumn("held_out", F.coalesce(fold_of("doc_id", folds) == held, F.lit(False)))
     train = docs.where(~F.col("held_out"))
-    rows = shortened(_gram_counts(train, depth), depth, most_rows).select("code", "n", "length").toPandas()
-    tree = grow(rows["code"].to_numpy().view(np.uint64), rows["n"].to_numpy(np.float64), rows["length"].to_numpy(), depth)
-    tree.keep(rows["code"].to_numpy().view(np.uint64)[rows["length"].to_numpy() == depth])
+    sc, shared = spark.sparkContext, min(SHARED, depth)
+    # A part answers what about eight blocks ask for.
+    parts = 64 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 * BLOCK_BYTES)
+    grams = stored(_grams_by_part(_gram_counts(train, depth), shared, parts), "grams")
+    above = _top(grams, depth, shared)
+    blocks = stored(_blocks(docs.withColumn("row", F.monotonically_increasing_id()), depth, shared, parts), "blocks")
     tokens = settle(_token_counts(train))
     total, types = tokens.agg(F.sum("c"), F.count("*")).first()
     total, types = total or 0, types or 0
     top = tokens.where(F.col("c") >= frequent(tokens, common)).toPandas().sort_values("token", key=lambda s: s.to_numpy().view(np.uint64))
     table = (top["token"].to_numpy().view(np.uint64), np.log10(top["c"].to_numpy(np.float64) + 0.5), np.ones(len(top), np.int64))
-    sc = spark.sparkContext
-    scored = settle(_score(docs.withColumn("row", F.monotonically_increasing_id()), sc.broadcast(tree), sc.broadcast(table)))
+    asked = blocks.where("part >= 0").select("part", "block", "codes", F.lit(None).cast("binary").alias("counts"))
+    answered = _answered(grams.union(asked), depth, shared, sc.broadcast(above))
+    scored = settle(_score(answered, blocks.where("part < 0"), depth, sc.broadcast(table)))
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(tokens, "token", "left")
     rest = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs2"))
     norm = math.log10(total + 0.5 * (types + 1))
