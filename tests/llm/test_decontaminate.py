@@ -64,6 +64,26 @@ def test_tiles_catch_reordered_pieces():
     assert sorted(D.tiles(item, text, 5)) == [(0, 11, 10), (10, 22, 10), (20, 0, 10)]
 
 
+def test_tiles_free_parts_of_matches_that_overlap():
+    item = np.arange(1, 21).astype(np.uint64)
+    text = np.concatenate([item[:7], [98, 99], item[6:14], [97]]).astype(np.uint64)
+    assert sorted(D.tiles(item, text, 5)) == [(0, 0, 6), (6, 9, 8)]  # the item's seventh token is in both fragments
+    rng = random.Random(4)
+    for _ in range(150):
+        item = np.array([rng.randint(1, 1 << 30) for _ in range(rng.randint(12, 50))], np.uint64)
+        parts = []
+        for _ in range(rng.randint(2, 6)):
+            a = rng.randrange(len(item) - 5)
+            parts += [item[a : a + rng.randint(5, 14)], np.array([rng.randint(1, 1 << 30)], np.uint64)]
+        text = np.concatenate(parts)
+        got = D.tiles(item, text, 5)
+        free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
+        for a, b, n in got:
+            assert n >= 5 and free_item[a : a + n].all() and free_text[b : b + n].all() and (item[a : a + n] == text[b : b + n]).all()
+            free_item[a : a + n] = free_text[b : b + n] = False
+        assert sum(n for _, _, n in got) == greedy(item.tolist(), text.tolist(), 5)
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "a b c d e f"), (2, None)], "item_id long, text string")

@@ -4,9 +4,10 @@ Tokens are runs of letters, digits and bytes beyond ASCII, with A-Z in lower cas
 benchmark items are joined on the hashes of their shared seeds, `least` tokens in a row; a Bloom filter
 of fixed size over the items' seeds keeps all other tokens of the documents out of the join. Each joined
 pair is tiled: running Karp-Rabin hashes of the unmarked tokens find matches of a search length, the
-longest ones are marked first and never overlap, and the search length falls to `least`. The tiles
-cover a passage also where its pieces come in another order; a document is contaminated by an item if
-they cover at least `coverage` of the item's tokens.
+longest ones are marked first and never overlap, what a tile leaves of another match is marked in its
+turn, and the search length falls to `least`. The tiles cover a passage also where its pieces come in
+another order; a document is contaminated by an item if they cover at least `coverage` of the item's
+tokens.
 
 Items with fewer than `least` tokens are looked for as wholes. Defined results. Null or empty texts
 share nothing. Rows without an id are not judged. Rows that repeat an id are judged each, and the most
@@ -15,6 +16,7 @@ covered one counts. Items that repeat an id are items each, named by it. Extra c
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,10 +69,20 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int
         if longest > 2 * length:
             length = longest
             continue
-        for a, b, n in sorted(found, key=lambda x: (-x[2], x[0], x[1])):
-            if free_item[a : a + n].all() and free_text[b : b + n].all():
-                free_item[a : a + n] = free_text[b : b + n] = False
-                out.append((a, b, n))
+        queue = [(-n, a, b) for a, b, n in found]
+        heapq.heapify(queue)
+        while queue:
+            n, a, b = heapq.heappop(queue)
+            free = free_item[a : a - n] & free_text[b : b - n]
+            if free.all():
+                free_item[a : a - n] = free_text[b : b - n] = False
+                out.append((a, b, -n))
+                continue
+            # Tokens were taken meanwhile: what is left of the match waits for its turn by its own length.
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+            for start, end in edges.reshape(-1, 2).tolist():
+                if end - start >= length:
+                    heapq.heappush(queue, (start - end, a + start, b + start))
         if length <= least:
             return out
         length = max(least, length // 2)
