@@ -24,6 +24,23 @@ def test_search_keeps_groups_whole_and_labels_even(spark):
     assert {tuple(r) for r in out.collect()} == {tuple(r) for r in again.collect()}
 
 
+def test_search_has_rare_labels_on_all_sides_of_many_groups(spark):
+    rare = F.when(F.col("id") < 48, F.concat(F.lit("rare"), (F.col("id") % 4).cast("string"))).otherwise("ok")
+    rows = spark.range(200_100).select("id", F.concat(F.lit("g"), F.col("id").cast("string")).alias("grp"), rare.alias("label"))
+    out = S.searched_split(rows, "grp", "label")
+    found = {r.split: (r.n, r.labels) for r in out.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels")).collect()}
+    assert {k: v[1] for k, v in found.items()} == {"train": 5, "validation": 5, "test": 5}
+    # Filled up to their shares, to the group.
+    assert found["test"][0] == 20010 and found["validation"][0] == int(180090 * 0.125)
+
+
+def test_search_of_few_groups(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), (None, "x")], "grp string, label string")
+    sides = {r.grp: r.split for r in S.searched_split(rows, "grp", "label").collect()}
+    assert sides[None] == "train" and sorted([sides["a"], sides["b"]]) == ["test", "train"]
+    assert {r.split for r in S.searched_split(rows.where("grp = 'a'"), "grp", "label").collect()} == {"train"}
+
+
 def test_split_within_has_every_reference_on_every_side(spark):
     out = S.split_within(table(spark), "reference", "sn")
     sides = {r.reference: r.n for r in out.groupBy("reference").agg(F.count_distinct("split").alias("n")).collect()}

@@ -1,8 +1,8 @@
 """Group-wise splits found by search over group and label counts, folds, and threshold tuning.
 
-The search looks at one row per group and label, not at rows: that table is gathered if it has at most
-`most_groups` groups; beyond that, groups go to their split by the dice of learning.group_split, which
-needs no search to be even when groups are that many.
+The search looks at one row per group and label, not at rows. Its trials are orders of the groups by
+hash, cut and judged in Spark, by one rule whatever the number of groups; only sums of dice ranges and
+the best trial are gathered.
 """
 
 from __future__ import annotations
@@ -10,47 +10,72 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .learning import dice, group_split
-
-
-def _misfit(side: np.ndarray, total: np.ndarray, share: float) -> tuple[int, float]:
-    """Labels with rows enough for the side that it lacks, and then Pearson's statistic of its label counts against their shares."""
-    expected = total * share
-    return int(((side == 0) & (expected >= 1)).sum()), float(((side - expected) ** 2 / np.maximum(expected, 1)).sum())
-
-
-def search_split(counts: pd.DataFrame, share: float, trials: int, seed: int) -> set[str]:
-    """The groups for the smaller side: of `trials` random orders, each filled up to its share, the one that fits best, the first on ties."""
-    table = counts.pivot_table(index="group", columns="label", values="n", aggfunc="sum", fill_value=0).sort_index()
-    values = table.to_numpy(np.float64)
-    if len(values) < 2:
-        return set()
-    total, rng, best = values.sum(0), np.random.default_rng(seed), None
-    for _ in range(trials):
-        order = rng.permutation(len(values))
-        filled = np.cumsum(values[order].sum(1))
-        size = np.clip(np.searchsorted(filled, total.sum() * share, "right"), 1, len(order) - 1)
-        misfit = _misfit(values[order[:size]].sum(0), total, share)
-        if best is None or misfit < best[0]:
-            best = (misfit, order[:size])
-    return set(table.index[best[1]])
-
-
-def searched_split(rows: DataFrame, group: str, label: str, test: float = 0.1, validation: float = 0.125, trials: int = 64, seed: int = 0, most_groups: int = 200_000) -> DataFrame:
-    """rows with `split`: whole groups in train, validation or test, labels as even as the search finds them."""
-    counts = rows.groupBy(F.col(group).alias("group"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
-    if counts.select("group").distinct().count() > most_groups:
-        return group_split(rows, group, test, validation, seed)
-    table = counts.toPandas().dropna(subset=["group"]).sort_values(["group", "label"])
-    first = search_split(table, test, trials, seed)
-    second = search_split(table[~table["group"].isin(first)], validation, trials, seed + 1)
-    chosen = [(g, "test") for g in sorted(first)] + [(g, "validation") for g in sorted(second)]
-    named = rows.sparkSession.createDataFrame(chosen, f"`{group}` {rows.schema[group].dataType.simpleString()}, split string")
-    return rows.join(named, group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+from .learning import dice
+
+
+def _die(seed: int) -> Column:
+    """A number below 2^62 for each group and trial."""
+    return F.shiftrightunsigned(F.xxhash64("group", F.lit(seed), "trial"), 2)
+
+
+def _cuts(counts: DataFrame, share: float, trials: int, seed: int) -> list[int]:
+    """For each trial the die below which the groups fill the share, one group at least and never all; none for fewer than two groups.
+
+    Each round cuts the range that the trial's cut lies in by 1024, so that as many sums are gathered for a trial."""
+    sizes = counts.groupBy("group").agg(F.sum("n").alias("n"))
+    total, groups = sizes.agg(F.sum("n"), F.count("*")).first()
+    if groups < 2:
+        return []
+    dealt = sizes.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("die", _die(seed))
+    low, room, taken, shift, above = [0] * trials, [total * share] * trials, [0] * trials, 62, 62
+    while True:
+        above, shift = shift, max(0, shift - 10)
+        offset = F.col("die") - F.element_at(F.array(*(F.lit(x).cast("long") for x in low)), F.col("trial") + 1)
+        inside = dealt.withColumn("offset", offset).where(F.col("offset").between(0, (1 << above) - 1))
+        sums = inside.groupBy("trial", F.shiftright("offset", shift).alias("place")).agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.min("die").alias("first"))
+        found: dict[int, Row] = {}
+        for r in sorted(sums.collect(), key=lambda r: (r.trial, r.place)):
+            if r.trial in found:
+                continue
+            if r.n > room[r.trial]:
+                found[r.trial] = r
+                low[r.trial] += r.place << shift
+            else:
+                room[r.trial] -= r.n
+                taken[r.trial] += r.k
+        if shift == 0 or all(r.k == 1 for r in found.values()):
+            return [found[t].first + (taken[t] == 0) for t in range(trials)]
+
+
+def search_split(counts: DataFrame, share: float, trials: int, seed: int) -> Column:
+    """Whether a group goes to the smaller side: of `trials` orders of the groups by hash, each filled up to its share, the one that fits best, the first on ties.
+
+    counts has n rows for each group and label. A trial fits by the labels with rows enough for the side that it lacks,
+    and then by Pearson's statistic of its label counts against their shares."""
+    cuts = _cuts(counts, share, trials, seed)
+    if not cuts:
+        return F.lit(False)
+    own = F.element_at(F.array(*(F.lit(x).cast("long") for x in cuts)), F.col("trial") + 1)
+    dealt = counts.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
+    sides = dealt.groupBy("trial", "label").agg(F.sum(F.when(_die(seed) < own, F.col("n")).otherwise(0)).alias("side"), (F.sum("n") * share).alias("expected"))
+    lacks = F.count_if((F.col("side") == 0) & (F.col("expected") >= 1))
+    # Rounded, so that the order in which Spark adds does not choose between equal trials.
+    unlike = F.round(F.sum((F.col("side") - F.col("expected")) ** 2 / F.greatest("expected", F.lit(1.0))), 6)
+    best = sides.groupBy("trial").agg(lacks.alias("lacks"), unlike.alias("unlike")).orderBy("lacks", "unlike", "trial").first().trial
+    return F.shiftrightunsigned(F.xxhash64("group", F.lit(seed), F.lit(best)), 2) < F.lit(cuts[best]).cast("long")
+
+
+def searched_split(rows: DataFrame, group: str, label: str, test: float = 0.1, validation: float = 0.125, trials: int = 64, seed: int = 0) -> DataFrame:
+    """rows with `split`: whole groups in train, validation or test, labels as even as the search finds them; rows without a group are for training."""
+    counts = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("group"), F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    counts = counts.persist()
+    first = search_split(counts, test, trials, seed)
+    second = search_split(counts.where(~first), validation, trials, seed + 1)
+    sides = counts.select("group").distinct().select(F.col("group").alias(group), F.when(first, "test").when(second, "validation").alias("split"))
+    return rows.join(sides.where("split IS NOT NULL"), group, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def split_within(rows: DataFrame, outer: str, serial: str, test: float = 0.1, validation: float = 0.125, seed: int = 0) -> DataFrame:
