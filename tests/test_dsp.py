@@ -3,6 +3,7 @@ import pytest
 
 from tremor.functions import dsp as D
 from tremor.operators import features as X
+from tremor.plans import signal_queries as Q
 
 RATE = 8000.0
 T = np.arange(16000) / RATE
@@ -58,3 +59,18 @@ def test_extraction_and_augmentation_in_spark(spark):
     again = X.augmented(rows.limit(2), list(X.AUGMENTATIONS), 3).collect()
     assert len(first) == 6 and all(len(r.signal) == 16000 for r in first)
     assert {(r.sample_id, r.copy): r.signal for r in first} == {(r.sample_id, r.copy): r.signal for r in again}
+
+
+def test_recording_features_reads_all_rows(spark, tmp_path):
+    """Signals of the tables in whole, down to one sample and none."""
+    vectors = [(i, [float((i + 1) * (k % 7) - k % 3) for k in range(64)]) for i in range(11)] + [(90, [1.5]), (91, []), (92, [0.0] * 64), (93, [1.0, 2.0])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    events = [(i, 1000 - i, i % 5, float(i)) for i in range(100)]
+    table = spark.createDataFrame(events, "event_id long, s long, user_id long, value double")
+    table.selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "value").write.parquet(f"{tmp_path}/events.parquet")
+    signals = {r.sample_id: r.signal for r in Q.recordings(spark, str(tmp_path)).collect()}
+    assert signals["user3"] == [float(i) for i in range(98, 0, -5)] and signals["vec90"] == [1.5]
+    got = {r.sample_id: r for r in Q.recording_features(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"vec{i}" for i, _ in vectors} | {f"user{u}" for u in range(5)}
+    assert {k for k, r in got.items() if r.error} == {"vec91"}
+    assert all(got[k]["mean"] == np.mean(x) for k, x in signals.items() if x)

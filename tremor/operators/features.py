@@ -104,7 +104,7 @@ def tick_features(raw: np.ndarray, rate: float) -> dict[str, float]:
 def modulation_features(x: np.ndarray, rate: float, power: np.ndarray, frame_rate: float) -> dict[str, float]:
     """Chatter in the envelope's spectrum, and how mel rows move together."""
     step = max(1, round(rate / 1000))
-    e = D.envelope(x)
+    e = D.envelope(np.pad(x, (0, max(0, 2 * step - len(x)))))
     e = e[: len(e) // step * step].reshape(-1, step).mean(1)
     e = (e - e.mean()) * np.hanning(len(e))
     spectrum, f = np.abs(np.fft.rfft(e)) ** 2, np.fft.rfftfreq(len(e), step / rate)

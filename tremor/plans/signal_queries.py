@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators.features import demo_recordings, with_features
+from ..operators.features import with_features
 from ..sources.proxies import table
 from .registry import query
 
@@ -102,7 +102,19 @@ def interval_periodicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.join(middle, "user_id").groupBy("user_id").agg(F.count("d").alias("intervals"), F.round(F.stddev_pop("d") / F.avg("d"), 6).alias("cv"), F.round(near / F.count("d"), 6).alias("periodicity"))
 
 
+#: The tables name no sampling rate; their samples are read as if taken at this one.
+RATE = 8000.0
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sample_id, sampling_rate, signal): every embedding, and every user's event values in the order of time."""
+    vectors = _signals(spark, sf_dir).select(F.concat(F.lit("vec"), "vec_id").alias("sample_id"), F.col("x").alias("signal"))
+    series = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
+    users = series.select(F.concat(F.lit("user"), F.coalesce(F.col("user_id").cast("string"), F.lit(""))).alias("sample_id"), F.col("v.value").cast("array<double>").alias("signal"))
+    return vectors.union(users).select("sample_id", F.lit(RATE).alias("sampling_rate"), "signal")
+
+
 @query()
 def recording_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features of made recordings; the driver's tables have none that are long enough."""
-    return with_features(demo_recordings(spark))
+    """All features of all recordings; short ones are padded to a frame, and one without finite samples has nulls and the reason."""
+    return with_features(recordings(spark, sf_dir))
