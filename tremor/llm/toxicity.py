@@ -34,7 +34,7 @@ ORDERS = (4, 5, 6)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(document, feature) pairs, each once, ordered by document and feature."""
+    """(document, feature) pairs, each once, ordered by document."""
     words = Words(lower(data), offsets)
     joined, begins = words.joined()
     n = len(words.counts)
@@ -43,15 +43,19 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     spaced = np.insert(joined, ends[:-1], 0x20)
     starts = ends[:-1] + np.arange(n)
     stops = ends[1:] + np.arange(n) + 1
-    doc_of = np.repeat(np.arange(n), stops - starts)
-    hashes, keys = byte_rolling(spaced), []
-    for order in ORDERS:
-        at = np.arange(max(0, len(spaced) - order + 1))
-        doc = doc_of[: len(at)]
-        inside = at + order <= stops[doc]
-        keys.append((doc[inside].astype(U64) << U64(BITS)) | (mix(hashes.every(order)[inside]) >> U64(64 - BITS)))
-    key = np.unique(np.concatenate(keys))
-    return (key >> U64(BITS)).astype(np.int64), (key & U64((1 << BITS) - 1)).astype(np.int64)
+    hashes = byte_rolling(spaced)
+    every = [(mix(hashes.every(order)) >> U64(64 - BITS)).astype(np.int32) for order in ORDERS]
+    # Of each feature in a document the last occurrence counts: the one whose number stays in the feature's slot.
+    slot = np.zeros(1 << BITS, np.int32)
+    number = np.arange(len(ORDERS) * int((stops - starts).max(initial=0)), dtype=np.int32)
+    found = [np.zeros(0, np.int32)]
+    for a, z in zip(starts.tolist(), stops.tolist(), strict=True):
+        own = np.concatenate([x[a : max(a, z - order + 1)] for x, order in zip(every, ORDERS, strict=True)])
+        mine = number[: len(own)]
+        slot[own] = mine
+        found.append(own[slot[own] == mine])
+    sizes = np.fromiter(map(len, found[1:]), np.int64, n)
+    return np.repeat(np.arange(n), sizes), np.concatenate(found)
 
 
 @dataclass
@@ -83,20 +87,30 @@ def counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("packed", "label").mapInArrow(run, "feature long, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
-def logistic(row: np.ndarray, feature: np.ndarray, value: np.ndarray, label: np.ndarray, weight: np.ndarray, size: int, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge logistic regression on sparse rows, by adaptive gradient steps."""
+def logistic(ends: np.ndarray, feature: np.ndarray, ratio: np.ndarray, label: np.ndarray, weight: np.ndarray, ridge: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic regression by adaptive gradient steps, on documents in blocks.
+
+    Document i has the features feature[ends[i] : ends[i + 1]]; the value of a feature is its ratio."""
+    size = len(ratio)
     w, seen = np.zeros(size), np.zeros(size)
     share = float(np.average(label, weights=weight))
     b, b_seen = np.log(share / (1 - share)), 0.0
     weight = weight / weight.sum()
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], 1 << 20)), [0, len(label)]))
     for _ in range(rounds):
-        z = np.bincount(row, value * w[feature], len(label)) + b
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label) * weight
-        slope = np.bincount(feature, value * error[row], size) + ridge * w
+        slope, b_slope, scaled = np.zeros(size), 0.0, ratio * w
+        for first, last in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = feature[ends[first] : ends[last]]
+            row = np.repeat(np.arange(last - first), np.diff(ends[first : last + 1]))
+            z = np.bincount(row, scaled[own], last - first) + b
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label[first:last]) * weight[first:last]
+            slope += np.bincount(own, error[row], size)
+            b_slope += error.sum()
+        slope = slope * ratio + ridge * w
         seen += slope**2
-        b_seen += error.sum() ** 2
+        b_seen += b_slope**2
         w -= 0.05 * slope / np.sqrt(seen + 1e-12)
-        b -= 0.2 * error.sum() / np.sqrt(b_seen + 1e-12)
+        b -= 0.2 * b_slope / np.sqrt(b_seen + 1e-12)
     return w, b
 
 
@@ -119,27 +133,31 @@ def fit(labelled: DataFrame, prior: float = 20.0, least_ratio: float = 1.0, fit_
     have = np.log((table["toxic"].to_numpy() + prior * share) / (table["other"].to_numpy() + prior * (1 - share))) - np.log(toxic / other)
     ratio[table["feature"].to_numpy()] = np.where(np.abs(have) >= least_ratio, have, 0)
     chosen = np.flatnonzero(ratio)
-    shared = labelled.sparkSession.sparkContext.broadcast(chosen)
+    place_of = np.full(1 << BITS, -1, np.int32)
+    place_of[chosen] = np.arange(len(chosen), dtype=np.int32)
+    shared = labelled.sparkSession.sparkContext.broadcast(place_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(unpacked(batches)):
             doc, feature = features(data, offsets)
-            at = np.searchsorted(shared.value, feature)
-            hit = np.isin(feature, shared.value)
+            at = shared.value[feature]
+            hit = at >= 0
             ends = np.zeros(rows.num_rows + 1, np.int32)
             np.cumsum(np.bincount(doc[hit], minlength=rows.num_rows), out=ends[1:])
-            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit], pa.int32()))], ["label", "features"])
+            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.ListArray.from_arrays(pa.array(ends), pa.array(at[hit]))], ["label", "features"])
 
     # About fit_rows of either class, by hash; the limit only guards against rows that repeat without end.
     place = F.pmod(F.xxhash64("doc_id", "packed"), F.lit(1 << 30))
     part = F.when(F.col("label") == 1, F.lit(min(1.0, fit_rows / toxic))).otherwise(F.lit(min(1.0, fit_rows / other)))
-    sample = labelled.where(place < part * float(1 << 30)).limit(4 * fit_rows)
-    rows = sample.select("packed", "label").mapInArrow(run, "label int, features array<int>").toPandas()
-    label = rows["label"].to_numpy(np.float64)
-    lengths = np.array([len(f) for f in rows["features"]], np.int64)
-    at = np.concatenate([np.asarray(f, np.int64) for f in rows["features"]]) if len(rows) else np.zeros(0, np.int64)
+    sample = labelled.where(place < part * float(1 << 30)).select("packed", "label")
+    rows = sample.mapInArrow(run, "label int, features array<int>").limit(4 * fit_rows).toArrow()
+    label = rows.column("label").to_numpy().astype(np.float64)
+    if not 0 < label.sum() < len(label):
+        return Model(zero, np.log(share / (1 - share)))
+    lists = rows.column("features").combine_chunks()
+    ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64))
     weight = np.where(label == 1, toxic / label.sum(), other / (1 - label).sum())
-    w, b = logistic(np.repeat(np.arange(len(rows)), lengths), at, ratio[chosen][at], label, weight, len(chosen), ridge, rounds)
+    w, b = logistic(ends, lists.flatten().to_numpy(), ratio[chosen], label, weight, ridge, rounds)
     weights = zero.copy()
     weights[chosen] = ratio[chosen] * w
     return Model(weights.astype(np.float32), float(b))
