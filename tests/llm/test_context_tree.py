@@ -58,15 +58,15 @@ def weighted(counts, depth, d, context, known, memo):
 
 
 def predict(counts, depth, history, known, memo):
-    one = 0.5
+    one, met = 0.5, False
     for d in range(depth, -1, -1):
         context = history[len(history) - d :]
         key = (d, context, known)
         if key in counts:
             a, b = counts[key]
             own = (b + 0.5) / (a + b + 1)
-            stop = 1.0 if d == depth else math.exp(block(a, b) - math.log(2) - weighted(counts, depth, d, context, known, memo))
-            one = stop * own + (1 - stop) * one
+            stop = 1.0 if not met else math.exp(block(a, b) - math.log(2) - weighted(counts, depth, d, context, known, memo))
+            one, met = stop * own + (1 - stop) * one, True
     return one
 
 
@@ -98,25 +98,13 @@ def test_matches_the_recursion(spark):
             assert r.score == pytest.approx(expected, rel=1e-4)
 
 
-def test_shortened_contexts_keep_all_counts(spark):
+def test_predictions_sum_to_one(spark):
     docs = spark.createDataFrame([(t,) for _, t in rows()], "text string")
-    grams = C._gram_counts(docs, 4)
-    whole = grams.agg({"n": "sum"}).first()[0]
-    cut = C.shortened(grams, 4, 60).toPandas()
-    assert cut["n"].sum() == whole and set(cut["length"]) > {4}
-    tree = C.grow(cut["code"].to_numpy().view(np.uint64), cut["n"].to_numpy(float), cut["length"].to_numpy(), 4)
-    every = np.arange(256, dtype=np.uint64) | np.uint64(0x61620A20 << 8)
-    assert np.exp2(tree.log2(every)).sum() == pytest.approx(1, abs=1e-5)
-
-
-def test_shortening_keeps_the_most_frequent_at_any_count(spark):
-    counts = {(k << 40) | k: 1001 + k * k for k in range(1, 201)}
-    grams = spark.createDataFrame(list(counts.items()), "code long, n long")
-    deep = C.shortened(grams, 5, 100).where("length = 5").collect()
-    assert {r.code for r in deep} == set(sorted(counts, key=counts.get)[-50:])
-    # Where all counts are equal, a share of the level stays.
-    equal = C.shortened(grams.selectExpr("code", "5000L AS n"), 5, 100)
-    assert 25 <= equal.where("length = 5").count() <= 75 and equal.agg({"n": "sum"}).first()[0] == 200 * 5000
+    grams = C._gram_counts(docs, 4).toPandas().sort_values("code")
+    tree = C.grow(grams["code"].to_numpy().view(np.uint64), grams["n"].to_numpy(float), 4)
+    for context in (0x61620A20, 0x7A7A3920, 0xFFFFFFFF):
+        every = np.arange(256, dtype=np.uint64) | np.uint64(context << 8)
+        assert np.exp2(tree.log2(every)).sum() == pytest.approx(1, abs=1e-5)
 
 
 def test_the_model_keeps_every_gram(spark, monkeypatch):
@@ -127,8 +115,8 @@ def test_the_model_keeps_every_gram(spark, monkeypatch):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     grams = C._gram_counts(docs.where(~F.coalesce(fold_of("doc_id", 5) == 1, F.lit(False))), 5).toPandas().sort_values("code")
     assert len(grams) > 1 << 18
-    tree = C.grow(grams["code"].to_numpy().view(np.uint64), grams["n"].to_numpy(float), np.full(len(grams), 5), 5)
-    got = {r.doc_id: r.score for r in C.score(docs).collect()}
+    tree = C.grow(grams["code"].to_numpy().view(np.uint64), grams["n"].to_numpy(float), 5)
+    got = {r.doc_id: r.score for r in C.score(docs, depth=5).collect()}
     for i, text in data[::10]:
         raw = text.encode() + b" "
         code, _, _ = C.stream(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])), 5)
@@ -137,3 +125,9 @@ def test_the_model_keeps_every_gram(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert C.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_held_out_texts_cost_less_than_by_word_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sums = C.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert sums[0] > sums[1]

@@ -6,16 +6,15 @@ context of 0 to `depth` bytes before it (line feeds before the text) together wi
 far. A node estimates by Krichevsky-Trofimov from its counts and is weighted half against its
 children, one byte deeper: log Pw = log(1/2 exp(log Pe) + 1/2 exp(sum of the children's log Pw)). The
 share of the first term in the sum is the posterior weight of stopping there, and the model predicts
-by mixing the estimates of all depths with these weights. A context that training never met keeps
-the estimate 1/2 with all its weight.
+by mixing the estimates of all depths with these weights. Contexts that training never met are no part
+of the tree: the longest one that it met gets what weight is left, and without any the estimate is 1/2.
 
 Spark counts the (depth + 1)-grams of the training texts, all of them, in a table that grows with the
 corpus. It is dealt by the last SHARED bytes of the context, so that all nodes of that depth and below
 lie in one part and are grown there; what they weigh for their parents is summed, and only the nodes
 of fewer than SHARED bytes, whose number has a bound whatever the corpus, are gathered and broadcast.
 Texts are put together in blocks; the distinct codes of a block are dealt like the grams, answered
-where the nodes are, and brought back to the block's texts. (`shortened` fits a whole model into a
-given number of rows; the query does not use it.)
+where the nodes are, and brought back to the block's texts.
 
 The baseline counts are exact: training tokens are counted by their 64-bit hashes, the `common` most
 frequent ones (a bounded table) are scored where the text is read and all others by a join.
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fold_of, settle, stored
-from .kernels import U64, Words, lower, mix, pieces
+from .kernels import U64, Words, distinct, lower, mix, pieces
 from .ngrams import by_document, codes, counted, look_up, rows_within
 
 END = 0x0A
@@ -96,7 +95,7 @@ class Tree:
 
     def keep(self, code: np.ndarray) -> None:
         """Keep the answers for these codes."""
-        code = np.unique(code)
+        code = distinct(code)
         parts = np.array_split(code, max(1, len(code) >> 16))
         self.known, self.answers = code, np.concatenate([self._log2(c) for c in parts]).astype(np.float32)
 
@@ -116,57 +115,49 @@ class Tree:
         for k in range(8):
             known = (U64(1) << U64(k)) | (byte >> U64(8 - k))
             bit = ((byte >> U64(7 - k)) & U64(1)).astype(bool)
-            one = np.full(len(code), 0.5)
+            one, met = np.full(len(code), 0.5), np.zeros(len(code), bool)
             for d in range(self.depth, -1, -1):
                 key = ((context & U64((1 << 8 * d) - 1)) << U64(8)) | known
                 where, found = look_up(self.nodes[d], key)
                 if found.any():
-                    stop, own = self.stop[d][where], self.one[d][where]
+                    stop, own = np.where(met, self.stop[d][where], 1.0), self.one[d][where]
                     one = np.where(found, stop * own + (1 - stop) * one, one)
+                    met |= found
             total += np.log2(np.where(bit, one, 1 - one))
         return total
 
 
-def _nodes(code: np.ndarray, count: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes of one depth with their counts of zeros and ones, from counted codes of depth + 1 bytes."""
+def _nodes(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes of one depth with their counts of zeros and ones, from ascending counted codes of depth + 1 bytes."""
     context, byte = code >> U64(8), code & U64(255)
     keys, zeros, ones = [], [], []
     for k in range(8):
-        node, where = np.unique((context << U64(8)) | (U64(1) << U64(k)) | (byte >> U64(8 - k)), return_inverse=True)
+        # The codes ascend, so the nodes of one number of known bits do as well.
+        node = (context << U64(8)) | (U64(1) << U64(k)) | (byte >> U64(8 - k))
+        new = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
         bit = ((byte >> U64(7 - k)) & U64(1)).astype(bool)
-        keys.append(node)
-        zeros.append(np.bincount(where, count * ~bit, len(node)))
-        ones.append(np.bincount(where, count * bit, len(node)))
+        keys.append(node[new])
+        zeros.append(np.add.reduceat(count * ~bit, new) if len(new) else np.zeros(0))
+        ones.append(np.add.reduceat(count * bit, new) if len(new) else np.zeros(0))
     key = np.concatenate(keys)
-    order = np.argsort(key)
+    order = np.argsort(key, kind="stable")
     return key[order], np.concatenate(zeros)[order], np.concatenate(ones)[order]
 
 
-def grow(code: np.ndarray, count: np.ndarray, length: np.ndarray, depth: int, least: int = 0, below: tuple[np.ndarray, np.ndarray] | None = None) -> Tree:
-    """The weighted tree of counted grams; length: the context bytes that each gram has kept.
+def grow(code: np.ndarray, count: np.ndarray, depth: int, least: int = 0, below: tuple[np.ndarray, np.ndarray] | None = None) -> Tree:
+    """The weighted tree of counted grams of depth + 1 bytes.
 
     least: the depth where to end; below: what the nodes of depth + 1 add to those of depth, where there are any."""
     nodes, stop, one = [np.zeros(0, U64)] * (depth + 1), [np.zeros(0)] * (depth + 1), [np.zeros(0)] * (depth + 1)
     deepest = below is None
     below_key, below = (np.zeros(0, U64), np.zeros(0)) if below is None else below
     for d in range(depth, least - 1, -1):
-        use = length >= d
-        short, where = np.unique(code[use] & U64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-        node, zeros, ones = _nodes(short, np.bincount(where, count[use], len(short)), d)
+        short, where = np.unique(code & U64((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        node, zeros, ones = _nodes(short, np.bincount(where, count, len(short)))
         own = kt_block(zeros, ones)
         children = np.zeros(len(node))
         at, found = look_up(node, below_key)
         np.add.at(children, at[found], below[found])
-        # Counts that went no deeper leave the children incomplete: such a node is weighted as a leaf for them.
-        deeper = np.zeros(len(node))
-        if d < depth:
-            cut = length == d
-            if cut.any():
-                part, inv = np.unique(code[cut] & U64((1 << 8 * (d + 1)) - 1), return_inverse=True)
-                k, z, o = _nodes(part, np.bincount(inv, count[cut], len(part)), d)
-                at, found = look_up(node, k)
-                deeper[at[found]] = kt_block(z, o)[found]
-        children += deeper
         leaf = d == depth and deepest
         both = own if leaf else np.logaddexp(own, children) - math.log(2)
         nodes[d], one[d] = node, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32)
@@ -176,43 +167,6 @@ def grow(code: np.ndarray, count: np.ndarray, length: np.ndarray, depth: int, le
     return Tree(depth, nodes, stop, one, up=(below_key, below))
 
 
-def threshold(rows: DataFrame, room: int) -> tuple[int, float]:
-    """(least, share): at most about `room` rows have n > least or are of the share of those with n = least.
-
-    Exact at any size of counts: the range that the room ends in is cut in 1024 steps until it is one count."""
-    low, high, left = 0, (rows.agg(F.max("n")).first()[0] or 0) + 1, room
-    while True:
-        step = -(-(high - low) // 1024)
-        place = F.floor((F.col("n") - low) / step).cast("long").alias("s")
-        for r in rows.where(F.col("n").between(low, high - 1)).groupBy(place).agg(F.count("*").alias("k")).orderBy(F.desc("s")).collect():
-            if r.k > left:
-                low, high, last = low + r.s * step, min(high, low + (r.s + 1) * step), r.k
-                break
-            left -= r.k
-        else:
-            return low, 1.0
-        if high - low == 1:
-            return low, left / last
-
-
-def shortened(grams: DataFrame, depth: int, most_rows: int) -> DataFrame:
-    """(code, n, length): the grams, the rarest with shorter contexts until most_rows hold them."""
-    rows = settle(grams.withColumn("length", F.lit(depth)))
-    for d in range(depth, 1, -1):
-        whole, deepest = rows.count(), rows.where(F.col("length") == d)
-        if whole <= most_rows:
-            break
-        # The least count that leaves room, and by hash the share of its grams that still fit; rarer
-        # grams give their counts to contexts one byte shorter.
-        least, share = threshold(deepest, most_rows // 2)
-        tie = (F.col("n") == least) & (F.pmod(F.xxhash64("code"), F.lit(1 << 20)) < int(share * (1 << 20)))
-        keep = (F.col("length") < d) | (F.col("n") > least) | tie
-        short = F.col("code").bitwiseAND(F.lit((1 << 8 * d) - 1))
-        moved = rows.where(~keep).groupBy(short.alias("code")).agg(F.sum("n").alias("n")).withColumn("length", F.lit(d - 1))
-        rows = settle(rows.where(keep).unionByName(moved).groupBy("code", "length").agg(F.sum("n").alias("n")))
-    return rows
-
-
 def _gram_counts(docs: DataFrame, depth: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -295,7 +249,7 @@ def _blocks(docs: DataFrame, depth: int, shared: int, parts: int) -> DataFrame:
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 for rows in held:
                     writer.write_batch(rows)
-            code = np.unique(np.concatenate(own))
+            code = distinct(np.concatenate(own))
             dealt = [(k, _packed(code[at])) for k, at in _dealt(code, shared, parts)]
             n = len(dealt)
             return pa.RecordBatch.from_arrays(
@@ -305,7 +259,7 @@ def _blocks(docs: DataFrame, depth: int, shared: int, parts: int) -> DataFrame:
 
         for rows, data, offsets in pieces(batches):
             held.append(rows)
-            own.append(np.unique(stream(Words(lower(data), offsets), depth)[0]))
+            own.append(distinct(stream(Words(lower(data), offsets), depth)[0]))
             size += len(data) + 64 * rows.num_rows
             if size > BLOCK_BYTES:
                 yield out()
@@ -332,7 +286,7 @@ def _top(grams: DataFrame, depth: int, shared: int) -> Tree:
 
     def run(group: pa.Table) -> pa.Table:
         code, count = _trained(group)
-        key, below = grow(code, count, np.full(len(code), depth), depth, shared).up
+        key, below = grow(code, count, depth, shared).up
         key, where = np.unique(key, return_inverse=True)
         short, at = np.unique(code & U64((1 << 8 * shared) - 1), return_inverse=True)
         both = np.append(np.bincount(where, below, len(key)), np.bincount(at, count, len(short)))
@@ -341,72 +295,73 @@ def _top(grams: DataFrame, depth: int, shared: int) -> Tree:
     sums = grams.groupBy("part").applyInArrow(run, "node boolean, key long, x double").groupBy("node", "key").agg(F.sum("x").alias("x")).toPandas()
     node = sums["node"].to_numpy(bool)
     key, x = sums["key"].to_numpy(np.int64).view(U64), sums["x"].to_numpy(np.float64)
-    return grow(key[~node], x[~node], np.full((~node).sum(), shared - 1), shared - 1, 0, (key[node], x[node]))
+    return grow(key[~node], x[~node], shared - 1, 0, (key[node], x[node]))
 
 
 def _answered(rows: DataFrame, depth: int, shared: int, top) -> DataFrame:
-    """(block, codes, answers): for the codes that each block asks for, the model's log2."""
+    """(block, part, answers): for the codes that each block asks for, in their order, the model's log2."""
 
     def run(group: pa.Table) -> pa.Table:
-        own = grow(*(t := _trained(group)), np.full(len(t[0]), depth), depth, shared)
+        own = grow(*_trained(group), depth, shared)
         above = top.value
         tree = Tree(depth, above.nodes + own.nodes[shared:], above.stop + own.stop[shared:], above.one + own.one[shared:])
         asked = group.filter(pc.is_null(group.column("counts")))
-        raw = asked.column("codes").to_pylist()
-        wanted = [_unpacked(c) for c in raw]
+        wanted = [_unpacked(c) for c in asked.column("codes").to_pylist()]
         if wanted:
             tree.keep(np.concatenate(wanted))
         found = [tree.answers[look_up(tree.known, w)[0]].tobytes() for w in wanted]
-        return pa.table({"block": asked.column("block"), "codes": pa.array(raw, pa.binary()), "answers": pa.array(found, pa.binary())})
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "answers": pa.array(found, pa.binary())})
 
-    return rows.groupBy("part").applyInArrow(run, "block long, codes binary, answers binary")
+    return rows.groupBy("part").applyInArrow(run, "block long, part int, answers binary")
 
 
-def _score(answered: DataFrame, texts: DataFrame, depth: int, common) -> DataFrame:
+def _score(answered: DataFrame, texts: DataFrame, depth: int, shared: int, parts: int, common) -> DataFrame:
     """Per document (row id): the model's log2, sums over common tokens, and the tokens left for a join."""
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<token:bigint,k:bigint>>"
 
     def run(group: pa.Table) -> pa.Table:
         tokens, log_count, seen = common.value
-        codes_, answers, texts_ = (group.column(c).to_pylist() for c in ("codes", "answers", "texts"))
-        asked = [(_unpacked(c), np.frombuffer(x, np.float32)) for c, x in zip(codes_, answers, strict=True) if c is not None]
-        code_of, log2 = np.concatenate([c for c, _ in asked]), np.concatenate([x for _, x in asked])
-        order = np.argsort(code_of)
-        code_of, log2 = code_of[order], log2[order]
-        done = []
-        for batch in (b for raw in texts_ if raw is not None for b in pa.ipc.open_stream(raw)):
+        steps = []
+        for batch in (b for raw in group.column("texts").to_pylist() if raw is not None for b in pa.ipc.open_stream(raw)):
             for rows, data, offsets in pieces([batch]):
-                for a, b in rows_within(rows.num_rows):
-                    part, words = rows.slice(a, b - a), Words(lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
-                    n = b - a
-                    code, doc, _ = stream(words, depth)
-                    owner, code, count = by_document(code, doc)
-                    score = np.bincount(owner, log2[look_up(code_of, code)[0]] * count, n) * math.log10(2)
-                    # Tokens by document: the end is a token of every text.
-                    token = np.append(words.hashes(), np.zeros(n, U64))
-                    owner = np.append(words.doc_of(), np.arange(n))
-                    order = np.lexsort((token, owner))
-                    token, owner = token[order], owner[order]
-                    new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
-                    k = np.diff(np.append(new, len(token)))
-                    token, owner = token[new], owner[new]
-                    at, hit = look_up(tokens, token)
-                    known = np.bincount(owner[hit], k[hit] * seen[at[hit]], n).astype(np.int64)
-                    logs = np.bincount(owner[hit], k[hit] * log_count[at[hit]], n)
-                    rest = ~hit
-                    ends = np.zeros(n + 1, np.int32)
-                    np.cumsum(np.bincount(owner[rest], minlength=n), out=ends[1:])
-                    rare = pa.StructArray.from_arrays([pa.array(token[rest].view(np.int64)), pa.array(k[rest].astype(np.int64))], ["token", "k"])
-                    done.append(
-                        pa.RecordBatch.from_arrays(
-                            [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(words.counts + 1), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rare)],
-                            ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
-                        )
-                    )
+                for a, b in rows_within(rows.num_rows, 8 * (depth + 1)):
+                    words = Words(lower(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a])
+                    steps.append((rows.slice(a, b - a), words, *stream(words, depth)[:2]))
+        # The block's codes as they were dealt; each part has answered its own in their order.
+        code_of = distinct(np.concatenate([distinct(code) for _, _, code, _ in steps]))
+        answers = {k: x for k, x in zip(group.column("part").to_pylist(), group.column("answers").to_pylist(), strict=True) if x is not None}
+        log2 = np.zeros(len(code_of))
+        for k, at in _dealt(code_of, shared, parts):
+            log2[at] = np.frombuffer(answers.pop(k), np.float32)
+        done = []
+        for part, words, code, doc in steps:
+            n = part.num_rows
+            owner, code, count = by_document(code, doc, 8 * (depth + 1))
+            score = np.bincount(owner, log2[look_up(code_of, code)[0]] * count, n) * math.log10(2)
+            # Tokens by document: the end is a token of every text.
+            token = np.append(words.hashes(), np.zeros(n, U64))
+            owner = np.append(words.doc_of(), np.arange(n))
+            order = np.lexsort((token, owner))
+            token, owner = token[order], owner[order]
+            new = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])))
+            k = np.diff(np.append(new, len(token)))
+            token, owner = token[new], owner[new]
+            at, hit = look_up(tokens, token)
+            known = np.bincount(owner[hit], k[hit] * seen[at[hit]], n).astype(np.int64)
+            logs = np.bincount(owner[hit], k[hit] * log_count[at[hit]], n)
+            rest = ~hit
+            ends = np.zeros(n + 1, np.int32)
+            np.cumsum(np.bincount(owner[rest], minlength=n), out=ends[1:])
+            rare = pa.StructArray.from_arrays([pa.array(token[rest].view(np.int64)), pa.array(k[rest].astype(np.int64))], ["token", "k"])
+            done.append(
+                pa.RecordBatch.from_arrays(
+                    [part.column("row"), part.column("doc_id"), part.column("held_out"), pa.array(words.counts + 1), pa.array(known), pa.array(logs), pa.array(score), pa.ListArray.from_arrays(pa.array(ends), rare)],
+                    ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                )
+            )
         return pa.Table.from_batches(done)
 
-    none = F.lit(None).cast("binary")
-    both = answered.select("block", "codes", "answers", none.alias("texts")).union(texts.select("block", none.alias("codes"), none.alias("answers"), "texts"))
+    both = answered.select("block", "part", "answers", F.lit(None).cast("binary").alias("texts")).union(texts.select("block", "part", F.lit(None).cast("binary").alias("answers"), "texts"))
     return both.groupBy("block").applyInArrow(run, schema)
 
 
@@ -429,7 +384,7 @@ def frequent(tokens: DataFrame, most: int) -> int:
     return above if above is not None else (1 << 62)
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, common: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 6, common: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row; texts whose id's crc32 modulo folds is not `held` train the models."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -449,7 +404,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, common
     table = (top["token"].to_numpy().view(np.uint64), np.log10(top["c"].to_numpy(np.float64) + 0.5), np.ones(len(top), np.int64))
     asked = blocks.where("part >= 0").select("part", "block", "codes", F.lit(None).cast("binary").alias("counts"))
     answered = _answered(grams.union(asked), depth, shared, sc.broadcast(above))
-    scored = settle(_score(answered, blocks.where("part < 0"), depth, sc.broadcast(table)))
+    scored = settle(_score(answered, blocks.where("part < 0"), depth, shared, parts, sc.broadcast(table)))
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(tokens, "token", "left")
     rest = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("known2"), F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("logs2"))
     norm = math.log10(total + 0.5 * (types + 1))

@@ -49,6 +49,12 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct numbers in ascending order, by sorting: for 64-bit codes this is several times as fast as hashing them."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads their bits."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)

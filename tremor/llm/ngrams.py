@@ -6,31 +6,32 @@ import numpy as np
 
 from .kernels import U64
 
-#: Documents in one array step: their number must fit above a 48-bit code.
-MOST_DOCS = 1 << 16
-
-
-def rows_within(n: int) -> list[tuple[int, int]]:
-    """Row ranges of at most MOST_DOCS documents."""
-    return [(a, min(n, a + MOST_DOCS)) for a in range(0, n, MOST_DOCS)]
+def rows_within(n: int, bits: int = 48) -> list[tuple[int, int]]:
+    """Row ranges of so few documents that their number fits above a code of `bits` bits."""
+    most = 1 << min(16, 64 - bits)
+    return [(a, min(n, a + most)) for a in range(0, n, most)]
 
 
 def codes(symbols: np.ndarray, order: int, bits: int) -> np.ndarray:
     """For each place the code of the `order` symbols that end there, the last one in the low bits."""
+    if bits == 8 and order <= 8:
+        padded = np.zeros(len(symbols) + 7, np.uint8)
+        padded[7:] = symbols
+        return np.ndarray((len(symbols),), ">u8", padded, strides=(1,)).astype(U64) & U64((1 << 8 * order) - 1)
     out = symbols.astype(U64)
     for back in range(1, order):
         out[back:] |= symbols[:-back].astype(U64) << U64(bits * back)
     return out
 
 
-def by_document(code: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, code) with their counts; codes have 48 bits at most."""
-    key = np.sort((doc.astype(U64) << U64(48)) | code)
+def by_document(code: np.ndarray, doc: np.ndarray, bits: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (document, code) with their counts; codes have `bits` bits at most, documents the rest."""
+    key = np.sort((doc.astype(U64) << U64(bits)) | code)
     if not len(key):
         return np.zeros(0, np.int64), key, np.zeros(0, np.int64)
     new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     key, counts = key[new], np.diff(np.append(new, len(key)))
-    return (key >> U64(48)).astype(np.int64), key & U64((1 << 48) - 1), counts
+    return (key >> U64(bits)).astype(np.int64), key & U64((1 << bits) - 1), counts
 
 
 def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
