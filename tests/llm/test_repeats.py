@@ -59,3 +59,8 @@ def test_empty_table_and_missing_ids(spark):
     text = "".join(rng.choice("abcdef") for _ in range(400))
     got = R.deduplicate(spark.createDataFrame([(2, text), (2, text), (3, text[:250])], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(2, 400), (2, 400), (3, 250)]
+    # Rows are documents of their own, whatever their ids are.
+    other = "".join(rng.choice("ghijkl") for _ in range(300))
+    rows = [(1, text), (2, other), (2, text[:260]), (None, text), (None, other[:50] + "x"), (2, None)]
+    got = R.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("n_bytes", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(0, 0), (51, 0), (260, 260), (300, 0), (400, 400), (400, 400)]

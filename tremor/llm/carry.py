@@ -48,8 +48,8 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_NULL).to_numpy(zero_copy_only=False)
 
 
-def carried(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, packed) of all documents whose id is in wanted, and perhaps of some others."""
+def carried(docs: DataFrame, wanted: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, packed, the columns named by also) of all documents whose id is in wanted, and perhaps of some others."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -72,6 +72,7 @@ def carried(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             first, second = _places(_ids(batch.column("doc_id")))
             some = batch.filter(pa.array(bits[first] & bits[second]))
             packed = [packer.compress((t or "").encode()) for t in some.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(packed, pa.binary())], ["doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(packed, pa.binary()), *(some.column(c) for c in also)], ["doc_id", "packed", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, packed binary")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.select(*also).schema)
+    return docs.select("doc_id", "text", *also).mapInArrow(run, f"doc_id long, packed binary{more}")

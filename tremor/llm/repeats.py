@@ -11,9 +11,10 @@ each keyed by all bytes that its windows share, so a suffix array only holds wha
 of very many parts are cut on, to distinct parts and then to single windows, so that no task holds an
 unbounded group.
 
-Defined results. A null or empty text has no bytes. Rows that repeat an id must repeat the text, and are
-places like any other; rows without an id lose nothing but are places for others. Extra columns are ignored; an empty table
-gives an empty result.
+Defined results. A null or empty text has no bytes. Every row is a document of its own, whether its id
+is missing or repeated: rows are told apart by a 64-bit hash of id and text, equal rows being places of
+one another. Texts of any length are taken whole, one at a time. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ from .carry import carried, unpack, unpacked
 from .common import bounded_batches, small, stored
 from .kernels import U64, byte_rolling, covered, mix, pieces, repeated
 
-#: Bytes in the gram that anchors a window.
-GRAM = 24
+#: Bytes in the gram that anchors a window. Short grams recur by chance the oftener the larger the corpus is, and
+#: every context of a gram that recurs is exchanged; long ones make more anchors, 2 / (span - GRAM + 2) of all places.
+GRAM = 64
 #: Parts of one key that one suffix array holds.
 GROUP = 200
 #: Parts into which the windows around an anchor are cut.
@@ -41,7 +43,7 @@ PARTS = 3
 HOT = 1000
 #: Marks of a class: its windows are repeats; its one window range is to be compared; both, for others to compare with.
 REPEAT, OPEN, SOURCE = 0, 1, 2
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = "doc_id long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> A.Anchors:
@@ -59,7 +61,7 @@ def fingerprints(docs: DataFrame, span: int) -> DataFrame:
             sides = (found.left[own] << U64(32)) | found.right[own]
             yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in (found.gram[own], found.kind[own], sides)), pa.array(ids), pa.array(counts)], ["gram", "kind", "sides", "doc_id", "n"])
 
-    return docs.mapInArrow(run, "gram long, kind long, sides long, doc_id long, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, "gram long, kind long, sides long, doc_id long, n long")
 
 
 def marks_of(docs: DataFrame, span: int) -> DataFrame:
@@ -152,7 +154,7 @@ def finished(docs: DataFrame, marks: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             zero = pa.array(np.zeros(len(texts), np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), zero, zero, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), zero, zero, pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return docs.mapInArrow(run, _RESULT).join(marks.select("doc_id").distinct(), "doc_id", "left_anti")
 
@@ -305,18 +307,19 @@ def _close(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 runs.append(int(out[:1].sum() + (out[1:] & ~out[:-1]).sum()))
                 digests.append(hashlib.sha256(np.frombuffer(text, np.uint8)[~out].tobytes()).hexdigest())
                 sizes.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, runs)), pa.array(digests, pa.string())], ["doc_id", "id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     listed = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("found"))
-    return carried(docs, spans).join(listed, "doc_id").mapInArrow(run, _RESULT)
+    return carried(docs, spans, ("id",)).join(listed, "doc_id").mapInArrow(run, _RESULT)
 
 
 def deduplicate(docs: DataFrame, span: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row."""
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.xxhash64("id", "text").alias("doc_id"), "id", "text")
     spans = repeated_spans(docs, span)
-    return _close(docs, spans).union(finished(docs, spans))
+    return _close(docs, spans).union(finished(docs, spans)).drop("doc_id").withColumnRenamed("id", "doc_id")
 
 
 def repeated_spans(docs: DataFrame, span: int = 200) -> DataFrame:
