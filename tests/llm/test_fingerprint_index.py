@@ -50,5 +50,5 @@ def test_matches_brute_force(spark, seed, batches):
 def test_empty_table_and_missing_ids(spark):
     assert I.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     text = " ".join(f"w{n}" for n in range(20))
-    got = I.deduplicate(spark.createDataFrame([(None, text), (2, text), (2, text), (3, text)], "doc_id long, text string")).collect()
-    assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (2, 0), (2, 0), (3, 20)]
+    got = I.deduplicate(spark.createDataFrame([(None, text), (2, text), (2, text), (3, text), (3, "shares nothing " * 20)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 20, 0), (2, 20, 0), (2, 20, 0), (3, 20, 20), (3, 40, 0)]

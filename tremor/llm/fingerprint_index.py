@@ -12,7 +12,8 @@ Documents must reach the index in ascending order of their ids.
 
 Defined results. A null or empty text has no words; a document of fewer than `span` words loses
 nothing. Rows without an id lose nothing and make nobody else lose anything. Rows that repeat an id
-are no reason to remove anything from each other. Extra columns are ignored.
+are judged each by its own text and are no reason to remove anything from each other. Texts of any
+length are taken whole, one at a time. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .kernels import U64, Rolling, Words, covered, mix, pieces, repeated
 GRAM = 4
 #: Marks in the two low bits of a class: its windows are repeats; or its windows are still to be compared.
 REPEAT, OPEN = 0, 1
+_CO_PARTITION = "spark.sql.requireAllClusterKeysForCoPartition"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -78,7 +80,8 @@ class FingerprintIndex:
         self.runs: list[str] = []
         self.made = 0
         # Runs are bucketed by gram: joins on (gram, kind) then need no shuffle either.
-        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        self.before = spark.conf.get(_CO_PARTITION)
+        spark.conf.set(_CO_PARTITION, "false")
         spark.sql(f"CREATE DATABASE {self.database} LOCATION '{shared_path(spark, 'fingerprints')}'")
 
     def _write(self, rows: DataFrame) -> str:
@@ -130,6 +133,7 @@ class FingerprintIndex:
 
     def drop(self) -> None:
         self.spark.sql(f"DROP DATABASE {self.database} CASCADE")
+        self.spark.conf.set(_CO_PARTITION, self.before)
 
 
 _OPENED = "doc_id long, packed binary, n_words long, spans array<int>, hashes array<long>, checks array<int>, starts array<int>"
@@ -222,9 +226,10 @@ def deduplicate(docs: DataFrame, span: int = 13, batches: int = 2, fanout: int =
     found.append(index.undecided())
     marks = reduce(DataFrame.union, found)
     index.drop()
-    opened = stored(_open(docs, marks, span), "opened")
-    windows = opened.where(F.size("hashes") > 0).select("doc_id", F.explode(F.arrays_zip("hashes", "checks", "starts")).alias("w")).select("doc_id", "w.*")
+    # Rows that repeat an id are told apart by their texts.
+    opened = stored(_open(docs, marks, span), "opened").withColumn("row", F.xxhash64("packed"))
+    windows = opened.where(F.size("hashes") > 0).select("doc_id", "row", F.explode(F.arrays_zip("hashes", "checks", "starts")).alias("w")).select("doc_id", "row", "w.*")
     sources = windows.groupBy("hashes", "checks").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last")
-    hits = windows.join(sources, ["hashes", "checks"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_list("starts").alias("found"))
-    closed = _close(opened.select("doc_id", "packed", "n_words", "spans").join(hits, "doc_id", "left"), span)
+    hits = windows.join(sources, ["hashes", "checks"]).where("doc_id > source").groupBy("doc_id", "row").agg(F.collect_list("starts").alias("found"))
+    closed = _close(opened.select("doc_id", "row", "packed", "n_words", "spans").join(hits, ["doc_id", "row"], "left"), span)
     return closed.union(_finished(docs, marks))
