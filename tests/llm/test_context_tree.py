@@ -100,8 +100,7 @@ def test_matches_the_recursion(spark):
 
 def test_predictions_sum_to_one(spark):
     docs = spark.createDataFrame([(t,) for _, t in rows()], "text string")
-    grams = C._gram_counts(docs, 4).toPandas().sort_values("code")
-    tree = C.grow(grams["code"].to_numpy().view(np.uint64), grams["n"].to_numpy(float), 4)
+    tree = C.grow(*C._trained(C._grams(docs, 4, 3, 5).toArrow()), 4)
     for context in (0x61620A20, 0x7A7A3920, 0xFFFFFFFF):
         every = np.arange(256, dtype=np.uint64) | np.uint64(context << 8)
         assert np.exp2(tree.log2(every)).sum() == pytest.approx(1, abs=1e-5)
@@ -113,9 +112,9 @@ def test_the_model_keeps_every_gram(spark, monkeypatch):
     rng = random.Random(8)
     data = [(i, " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(1000))) for i in range(150)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
-    grams = C._gram_counts(docs.where(~F.coalesce(fold_of("doc_id", 5) == 1, F.lit(False))), 5).toPandas().sort_values("code")
-    assert len(grams) > 1 << 18
-    tree = C.grow(grams["code"].to_numpy().view(np.uint64), grams["n"].to_numpy(float), 5)
+    code, count = C._trained(C._grams(docs.where(~F.coalesce(fold_of("doc_id", 5) == 1, F.lit(False))), 5, 3, 7).toArrow())
+    assert len(code) > 1 << 18
+    tree = C.grow(code, count, 5)
     got = {r.doc_id: r.score for r in C.score(docs, depth=5).collect()}
     for i, text in data[::10]:
         raw = text.encode() + b" "

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, fold_of, settle, stored
 from .kernels import U64, Words, distinct, lower, mix, pieces
-from .ngrams import by_document, codes, counted, look_up, rows_within
+from .ngrams import by_document, codes, counted, look_up, rows_within, summed
 
 END = 0x0A
 #: Bytes of context that the nodes of one part share; nodes of fewer are gathered, 255 * 2^16 of the longest at most.
@@ -167,29 +167,6 @@ def grow(code: np.ndarray, count: np.ndarray, depth: int, least: int = 0, below:
     return Tree(depth, nodes, stop, one, up=(below_key, below))
 
 
-def _gram_counts(docs: DataFrame, depth: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            code = np.concatenate([c for c, _ in held])
-            code, where = np.unique(code, return_inverse=True)
-            n = np.bincount(where, np.concatenate([k for _, k in held]), len(code)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
-
-        for _, data, offsets in pieces(batches):
-            code, _, _ = stream(Words(lower(data), offsets), depth)
-            held.append(counted(code))
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
 def _token_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in pieces(batches, step=8 << 20):
@@ -211,6 +188,19 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps.T).view(U64).reshape(-1), dtype=U64)
 
 
+def _rounded(log2: np.ndarray) -> bytes:
+    """Single floats to 13 binary places of their mantissas (one part in 16,000), compressed by equal bytes of all of them."""
+    raw = (log2.astype("<f4").view("<u4") + np.uint32(0x200)) & np.uint32(0xFFFFFC00)
+    return zstandard.compress(np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 4)[:, 1:].T).tobytes(), 1)
+
+
+def _restored(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(3, -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, 1:] = planes.T
+    return out.view("<f4").reshape(-1)
+
+
 def _dealt(code: np.ndarray, shared: int, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """Where the codes of each part stand, in their order; a part has all codes of its contexts' last `shared` bytes."""
     part = (mix((code >> U64(8)) & U64((1 << 8 * shared) - 1)) % U64(parts)).astype(np.int64)
@@ -223,18 +213,31 @@ def _dealt(code: np.ndarray, shared: int, parts: int) -> Iterator[tuple[int, np.
 _PART = "part int, block long, codes binary, counts binary"
 
 
-def _grams_by_part(grams: DataFrame, shared: int, parts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            code, n = batch.column("code").to_numpy().view(U64), batch.column("n").to_numpy()
-            order = np.argsort(code)
-            code, n = code[order], n[order]
-            rows = [(k, _packed(code[at]), zstandard.compress(n[at].tobytes(), 1)) for k, at in _dealt(code, shared, parts)]
-            if rows:
-                part, codes_, counts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array(codes_, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "codes", "counts"])
+def _part_rows(code: np.ndarray, n: np.ndarray, shared: int, parts: int) -> pa.RecordBatch:
+    """Ascending codes and their counts as one row for each part."""
+    rows = [(k, _packed(code[at]), zstandard.compress(n[at].astype(np.int64).tobytes(), 1)) for k, at in _dealt(code, shared, parts)]
+    part, codes_, counts = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([-1] * len(rows), pa.int64()), pa.array(codes_, pa.binary()), pa.array(counts, pa.binary())], ["part", "block", "codes", "counts"])
+
+
+def _grams(docs: DataFrame, depth: int, shared: int, parts: int) -> DataFrame:
+    """The counted grams of depth + 1 bytes of all texts, one row for each part; summed in steps before they are exchanged."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, data, offsets in pieces(batches):
+            held.append(counted(stream(Words(lower(data), offsets), depth)[0]))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                yield _part_rows(*summed(held), shared, parts)
+                held, size = [], 0
+        if held:
+            yield _part_rows(*summed(held), shared, parts)
+
+    def merge(group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_part_rows(*_trained(group), shared, parts)])
 
-    return grams.select("code", "n").mapInArrow(run, _PART)
+    return docs.select("text").mapInArrow(count, _PART).groupBy("part").applyInArrow(merge, _PART)
 
 
 def _blocks(docs: DataFrame, depth: int, shared: int, parts: int) -> DataFrame:
@@ -270,13 +273,10 @@ def _blocks(docs: DataFrame, depth: int, shared: int, parts: int) -> DataFrame:
     return docs.select("row", "doc_id", "held_out", "text").mapInArrow(run, "part int, block long, codes binary, texts binary")
 
 
-def _trained(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of a part with their counts."""
+def _trained(group: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The grams of a part, ascending, with their counts."""
     codes_, counts = group.column("codes").to_pylist(), group.column("counts").to_pylist()
-    some = [(_unpacked(c), np.frombuffer(zstandard.decompress(n), np.int64)) for c, n in zip(codes_, counts, strict=True) if n is not None]
-    if not some:
-        return np.zeros(0, U64), np.zeros(0)
-    return np.concatenate([c for c, _ in some]), np.concatenate([n for _, n in some]).astype(np.float64)
+    return summed([(_unpacked(c), np.frombuffer(zstandard.decompress(n), np.int64)) for c, n in zip(codes_, counts, strict=True) if n is not None])
 
 
 def _top(grams: DataFrame, depth: int, shared: int) -> Tree:
@@ -284,15 +284,17 @@ def _top(grams: DataFrame, depth: int, shared: int) -> Tree:
     if not shared:
         return Tree(0, [], [], [])
 
-    def run(group: pa.Table) -> pa.Table:
-        code, count = _trained(group)
-        key, below = grow(code, count, depth, shared).up
-        key, where = np.unique(key, return_inverse=True)
-        short, at = np.unique(code & U64((1 << 8 * shared) - 1), return_inverse=True)
-        both = np.append(np.bincount(where, below, len(key)), np.bincount(at, count, len(short)))
-        return pa.table({"node": np.append(np.ones(len(key), bool), np.zeros(len(short), bool)), "key": np.append(key, short).view(np.int64), "x": both})
-
-    sums = grams.groupBy("part").applyInArrow(run, "node boolean, key long, x double").groupBy("node", "key").agg(F.sum("x").alias("x")).toPandas()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (batch.slice(i, 1) for batch in batches for i in range(batch.num_rows)):
+            code, count = _trained(row)
+            key, below = grow(code, count, depth, shared).up
+            key, where = np.unique(key, return_inverse=True)
+            short, at = np.unique(code & U64((1 << 8 * shared) - 1), return_inverse=True)
+            both = np.append(np.bincount(where, below, len(key)), np.bincount(at, count, len(short)))
+            node = np.append(np.ones(len(key), bool), np.zeros(len(short), bool))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.append(key, short).view(np.int64)), pa.array(both)], ["node", "key", "x"])
+
+    sums = grams.mapInArrow(run, "node boolean, key long, x double").groupBy("node", "key").agg(F.sum("x").alias("x")).toPandas()
     node = sums["node"].to_numpy(bool)
     key, x = sums["key"].to_numpy(np.int64).view(U64), sums["x"].to_numpy(np.float64)
     return grow(key[~node], x[~node], shared - 1, 0, (key[node], x[node]))
@@ -309,7 +311,7 @@ def _answered(rows: DataFrame, depth: int, shared: int, top) -> DataFrame:
         wanted = [_unpacked(c) for c in asked.column("codes").to_pylist()]
         if wanted:
             tree.keep(np.concatenate(wanted))
-        found = [tree.answers[look_up(tree.known, w)[0]].tobytes() for w in wanted]
+        found = [_rounded(tree.answers[look_up(tree.known, w)[0]]) for w in wanted]
         return pa.table({"block": asked.column("block"), "part": asked.column("part"), "answers": pa.array(found, pa.binary())})
 
     return rows.groupBy("part").applyInArrow(run, "block long, part int, answers binary")
@@ -332,7 +334,7 @@ def _score(answered: DataFrame, texts: DataFrame, depth: int, shared: int, parts
         answers = {k: x for k, x in zip(group.column("part").to_pylist(), group.column("answers").to_pylist(), strict=True) if x is not None}
         log2 = np.zeros(len(code_of))
         for k, at in _dealt(code_of, shared, parts):
-            log2[at] = np.frombuffer(answers.pop(k), np.float32)
+            log2[at] = _restored(answers.pop(k))
         done = []
         for part, words, code, doc in steps:
             n = part.num_rows
@@ -394,7 +396,7 @@ def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 6, common
     sc, shared = spark.sparkContext, min(SHARED, depth)
     # A part answers what about eight blocks ask for.
     parts = 64 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (8 * BLOCK_BYTES)
-    grams = stored(_grams_by_part(_gram_counts(train, depth), shared, parts), "grams")
+    grams = stored(_grams(train, depth, shared, parts), "grams")
     above = _top(grams, depth, shared)
     blocks = stored(_blocks(docs.withColumn("row", F.monotonically_increasing_id()), depth, shared, parts), "blocks")
     tokens = settle(_token_counts(train))

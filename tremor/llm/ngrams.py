@@ -39,6 +39,17 @@ def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code, return_counts=True)
 
 
+def summed(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Several tables of ascending codes with their counts as one."""
+    if not counts:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    code, n = (np.concatenate(x) for x in zip(*counts, strict=True))
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[new], np.add.reduceat(n, new) if len(new) else n
+
+
 def look_up(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each wanted code stands in a sorted table, and whether it does."""
     if not len(table):
