@@ -34,7 +34,7 @@ from .kernels import U64, byte_rolling, covered, mix, pieces, repeated
 
 #: Bytes in the gram that anchors a window. Short grams recur by chance the oftener the larger the corpus is, and
 #: every context of a gram that recurs is exchanged; long ones make more anchors, 2 / (span - GRAM + 2) of all places.
-GRAM = 64
+GRAM = 96
 #: Parts of one key that one suffix array holds.
 GROUP = 200
 #: Parts into which the windows around an anchor are cut.
