@@ -128,10 +128,10 @@ def fit(labelled: DataFrame, prior: float = 20.0, least_ratio: float = 1.0, fit_
         share = toxic / max(toxic + other, 1)
         return Model(zero, np.log(share / (1 - share)) if 0 < share < 1 else (500.0 if share else -500.0))
     share = toxic / (toxic + other)
-    table = counts(labelled).toPandas()
     ratio = zero.copy()
-    have = np.log((table["toxic"].to_numpy() + prior * share) / (table["other"].to_numpy() + prior * (1 - share))) - np.log(toxic / other)
-    ratio[table["feature"].to_numpy()] = np.where(np.abs(have) >= least_ratio, have, 0)
+    for table in counts(labelled).toArrow().to_batches():
+        have = np.log((table.column("toxic").to_numpy() + prior * share) / (table.column("other").to_numpy() + prior * (1 - share))) - np.log(toxic / other)
+        ratio[table.column("feature").to_numpy()] = np.where(np.abs(have) >= least_ratio, have, 0)
     chosen = np.flatnonzero(ratio)
     place_of = np.full(1 << BITS, -1, np.int32)
     place_of[chosen] = np.arange(len(chosen), dtype=np.int32)
@@ -158,9 +158,9 @@ def fit(labelled: DataFrame, prior: float = 20.0, least_ratio: float = 1.0, fit_
     ends = np.append(0, np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64))
     weight = np.where(label == 1, toxic / label.sum(), other / (1 - label).sum())
     w, b = logistic(ends, lists.flatten().to_numpy(), ratio[chosen], label, weight, ridge, rounds)
-    weights = zero.copy()
+    weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = ratio[chosen] * w
-    return Model(weights.astype(np.float32), float(b))
+    return Model(weights, float(b))
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:
