@@ -1,7 +1,10 @@
 import random
+from itertools import combinations
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tremor.llm import decontaminate, mixing, pii, simhash
+from tremor.llm import decontaminate, mixing, pii
 
 
 def test_stages_in_order(spark, tmp_path):
@@ -20,6 +23,7 @@ def test_stages_in_order(spark, tmp_path):
             words[7] = "60.153.215.203"
         docs.append((i, " ".join(words), "en", f"s{i % 3}", 0))
         labels.append((i, 1, int(toxic)))
+    docs += [(1100 + i, docs[i][1].replace(docs[i][1].split()[40], "edited", 1), "en", "s0", 0) for i in range(90) if len(docs[i][1].split()) > 60]
     docs += [(1000 + i, docs[i][1], "en", "s0", 0) for i in range(40)] + [(2000, None, None, None, None), (2001, "", "en", "s1", 0)]
     columns = "doc_id long, text string, lang string, source string, n_chars long"
     spark.createDataFrame(docs, columns).write.parquet(f"{tmp_path}/documents.parquet")
@@ -37,8 +41,27 @@ def test_stages_in_order(spark, tmp_path):
     assert kept.columns == [c.split()[0] for c in columns.split(", ")]
     clean = {r.doc_id for r in kept.collect()}
     assert clean == {i for i, t in text.items() if "badword" not in (t or "")}
-    classes = simhash.near_duplicates(kept).where("doc_id = component_id")
+    rows_of = {r.doc_id: (r.text or "").lower().split() for r in kept.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in rows_of.items()}
+    dropped = {b for a, b in combinations(sorted(sets), 2) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(dropped) >= 50
+    one = corpus_pipeline.one_of_each(spark, kept, str(tmp_path))
+    assert one.columns == kept.columns and {r.doc_id for r in one.collect()} == set(rows_of) - dropped
     bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
-    firsts = decontaminate.clean(kept.join(classes.select("doc_id"), "doc_id", "left_semi"), bench)
+    firsts = decontaminate.clean(kept.where(~F.col("doc_id").isin(list(dropped))), bench)
     expected = mixing.mix(pii.pseudonymise(firsts.select(kept.columns))).where("copies > 0")
     assert sorted(map(tuple, expected.select("doc_id", "text", "copies").collect())) == sorted((i, r.text, r.copies) for i, r in rows.items())
+
+
+def test_rows_without_ids_repeats_and_clashing_columns(spark, tmp_path):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(None, text, 1, 0.5), (4, text, 2, None), (4, text, 1, 0.1), (4, "another text " + text[:90], 3, 0.2), (5, None, 1, None), (6, "", 1, None), (7, "", 1, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, copies int, score double, source string")
+    got = corpus_pipeline.one_of_each(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.copies) for r in got) == [(4, 1), (4, 3), (5, 1), (6, 1)]
+    spark.createDataFrame([(1, text[:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    clean = corpus_pipeline.not_in_benchmark(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns and sorted(r.copies for r in clean.collect()) == [1, 1, 1, 3]
+    assert corpus_pipeline.not_toxic(spark, docs, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.mixed(spark, docs, str(tmp_path)).columns == ["doc_id", "text", "score", "source", "size", "copies", "taken"]

@@ -77,3 +77,34 @@ def test_empty_table_and_missing_ids(spark):
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = S.near_duplicates(spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c")], "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 4), (4, 4), (4, 4)]
+
+
+def test_similar_texts_are_linked_and_no_others(spark):
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in "abcdefghij" for b in ("la", "mi", "so", "re")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 150))) for _ in range(60)]
+    for k in range(60):
+        own = texts[k].split()
+        for _ in range(k % 4):
+            if len(own) > 20:
+                own[rng.randrange(len(own))] = "edited"
+        texts.append(" ".join(own).upper())
+    texts += [None, "", "   ", texts[3], texts[3] + " "]
+    sets = {t: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts if t is not None}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("name", S.F.xxhash64("text"))
+    name = {r.text: r.name for r in docs.collect() if r.text is not None}
+    found = {r["name"]: r["class"] for r in S.similar(docs.drop("name")).collect()}
+    linked = [(a, b) for a in name for b in name if a < b and sets[a] and alike(a, b)]
+    assert len(linked) > 30
+    # Linked texts are alike to another one of their class, and nearly all that are alike are linked.
+    for text, n in name.items():
+        if n in found:
+            assert any(alike(text, other) for other, m in found.items() for other in [next(t for t in name if name[t] == other)] if m == found[n] and other != text)
+    assert sum(found.get(name[a]) is not None and found.get(name[a]) == found.get(name[b]) for a, b in linked) >= 0.9 * len(linked)
+    assert S.similar(spark.createDataFrame([], "text string")).count() == 0
+
+
+def test_texts_without_words(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, " ")], "doc_id long, text string").coalesce(1)
+    assert {tuple(r) for r in S.near_duplicates(rows).select("doc_id", "component_id").collect()} == {(1, 1), (2, 1), (3, 1)}

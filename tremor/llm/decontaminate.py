@@ -212,7 +212,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, coverage
     return best.join(items.select("item", "item_id"), "item").select("doc_id", "item_id", "b.item_tokens", "b.covered", "b.tiles", "b.coverage")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that no item contaminates, with all their columns; each row is judged by its own text, whatever its id."""
+    named = docs.withColumn("__row", F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    bad = contaminated(named.select(F.col("__row").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), benchmark, **options)
+    return named.join(bad.select(F.col("doc_id").alias("__row")).distinct(), "__row", "left_anti").drop("__row")

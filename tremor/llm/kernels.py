@@ -172,6 +172,8 @@ def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int =
     eight = np.ndarray((n,), "<u8", padded, strides=(1,))
     four = np.ndarray((n,), "<u4", padded, strides=(1,))
     out = np.empty(len(starts), U64)
+    if not len(starts):
+        return out
     order = np.argsort(lengths.astype(np.uint16 if lengths.max(initial=0) < 65536 else np.int64), kind="stable")
     sizes, begins = np.unique(lengths[order], return_index=True)
     seed = U64(seed)

@@ -51,6 +51,10 @@ def filled(rows: DataFrame, group: Sequence[str], weight: str, limit: str, goal:
     return tried.withColumn("share", F.least(F.col(limit), F.coalesce(found * F.col(weight), F.col(limit)))).drop("level", "over", "rank")
 
 
+#: Columns that `mix` adds.
+RESULTS = ("size", "source_size", "target", "copies", "taken")
+
+
 def targets(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) of documents with source and size."""
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -68,7 +72,9 @@ def uniform(key: str, seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = 1.5, most: float = 2.0, tilt: float = 0.5, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """All rows of docs with size, source_size, target, copies and taken (their words times their copies)."""
+    """All rows of docs with size, source_size, target, copies and taken (their words times their copies).
+
+    Columns of docs that have one of these names give way to the results."""
     spark = docs.sparkSession
     names = {c: f"_{k}" for k, c in enumerate(docs.columns)}
     own = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
@@ -98,7 +104,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = 1.5,
     goals = settle(goals)
     goal = F.broadcast(goals) if goals.count() <= 100_000 else goals
     out = rows.select("a.*", copies.cast("long").alias("copies")).drop("source_size", "target").alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
-    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items() if c.lower() not in RESULTS), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def cut(drawn: DataFrame, buckets: int) -> DataFrame:
