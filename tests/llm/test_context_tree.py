@@ -128,5 +128,6 @@ def test_empty_table(spark):
 
 def test_held_out_texts_cost_less_than_by_word_counts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    sums = C.score(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    # With so little to learn from it takes six bytes of context; with ten times as much, five are enough.
+    sums = C.score(docs, depth=6).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert sums[0] > sums[1]

@@ -228,7 +228,7 @@ def _grams(docs: DataFrame, depth: int, shared: int, parts: int) -> DataFrame:
         for _, data, offsets in pieces(batches):
             held.append(counted(stream(Words(lower(data), offsets), depth)[0]))
             size += len(held[-1][0])
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield _part_rows(*summed(held), shared, parts)
                 held, size = [], 0
         if held:
@@ -386,7 +386,7 @@ def frequent(tokens: DataFrame, most: int) -> int:
     return above if above is not None else (1 << 62)
 
 
-def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 6, common: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, folds: int = 5, held: int = 1, depth: int = 5, common: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per input row; texts whose id's crc32 modulo folds is not `held` train the models."""
     spark = docs.sparkSession
     bounded_batches(spark)
