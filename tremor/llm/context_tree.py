@@ -169,10 +169,21 @@ def grow(code: np.ndarray, count: np.ndarray, depth: int, least: int = 0, below:
 
 def _token_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in pieces(batches, step=8 << 20):
-            token, n = counted(Words(lower(data), offsets).hashes())
-            ends = len(offsets) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(token, U64(0)).view(np.int64)), pa.array(np.append(n, ends))], ["token", "c"])
+        held, size, ends = [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            token, n = summed(held)
+            return pa.RecordBatch.from_arrays([pa.array(np.append(token, U64(0)).view(np.int64)), pa.array(np.append(n, ends))], ["token", "c"])
+
+        for _, data, offsets in pieces(batches):
+            held.append(counted(Words(lower(data), offsets).hashes()))
+            ends += len(offsets) - 1
+            size += len(held[-1][0])
+            if size > 500_000:
+                yield out()
+                held, size, ends = [], 0, 0
+        if ends:
+            yield out()
 
     return docs.select("text").mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
