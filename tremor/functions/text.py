@@ -56,22 +56,39 @@ def compact_time(x: Column, day_first: Column) -> Column:
     return F.when(F.length(digits) == 14, F.when(day_first, F.coalesce(day, year)).otherwise(F.coalesce(year, day)))
 
 
+def line_time(x: Column, day_first: Column) -> Column:
+    """The time of a file name in one form, as text; what cannot be read, is empty or begins with UNKNOWN stays as it is."""
+    raw = F.trim(F.coalesce(x, F.lit("")))
+    read = F.when(~F.startswith(F.upper(raw), F.lit("UNKNOWN")), F.date_format(compact_time(raw, day_first), "yyyyMMdd_HHmmss"))
+    return F.coalesce(read, raw)
+
+
 def name_token(stem: Column, sign: str, index: int) -> Column:
     """A part of a file name between signs, UNKNOWN beyond its end."""
     return F.coalesce(F.try_element_at(F.split(stem, sign), F.lit(index + 1)), F.lit("UNKNOWN"))
 
 
+#: Keys that imports leave in notes, and the tag of typical samples.
+NOTE_KEYS = ("result", "reason_auto", "fuzzy", "raw_result", "raw_reason", "raw_label", "factory_source_kind", "factory_source_path", "factory_source_row", "dedup_same_sample_source_label_count", "group", "reference")
+TYPICAL = "[[prototype]]"
+
+
 def clean_note(note: Column) -> Column:
-    """The segments of a note between bars that are no key=value pairs, each once trimmed."""
-    parts = F.transform(F.split(F.coalesce(note, F.lit("")), r"\|"), lambda p: F.trim(p))
-    return F.array_join(F.filter(parts, lambda p: (p != "") & ~F.rlike(p, F.lit(r"^\w+\s*="))), "|")
+    """A note without the segments between bars that imports leave, key=value of known keys; the typical tag leads."""
+    text = F.coalesce(note, F.lit(""))
+    parts = F.transform(F.split(F.replace(text, F.lit(TYPICAL), F.lit("")), r"\|"), lambda p: F.trim(p))
+    left = lambda p: F.contains(p, F.lit("=")) & F.lower(F.trim(F.substring_index(p, "=", 1))).isin(*NOTE_KEYS)
+    joined = F.array_join(F.filter(parts, lambda p: (p != "") & ~left(p)), " | ")
+    return F.when(F.contains(text, F.lit(TYPICAL)), F.trim(F.concat(F.lit(TYPICAL + " "), joined))).otherwise(joined)
 
 
 def byte_size(n: Column) -> Column:
-    """A number of bytes in the largest unit that leaves one or more, with one decimal."""
-    unit = F.least(F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) / 10 + 1e-12), F.lit(4)).cast("int")
-    names = F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB")))
-    return F.format_string("%.1f %s", n / F.pow(F.lit(1024.0), unit), F.element_at(names, unit + 1))
+    """A number of bytes in the largest unit that leaves one or more, with one decimal, halves to the even digit."""
+    size = F.greatest(n.cast("long"), F.lit(0))
+    steps = F.array(*(F.lit(1024**k) for k in range(1, 6)))
+    unit = F.size(F.filter(steps, lambda s: size >= s))
+    names = F.array(*(F.lit(u) for u in ("B", "KB", "MB", "GB", "TB", "PB")))
+    return F.format_string("%.1f %s", F.bround(size / F.pow(F.lit(1024.0), unit), 1), F.element_at(names, unit + 1))
 
 
 def group_key(line: Column, reference: Column, sn: Column, source_sn: Column, row: Column) -> Column:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import norm_text
+
 
 def dice(*key: Column) -> Column:
     """A number in [0, 1) that a key always gets, the same in every engine: 32 bits of its MD5."""
@@ -43,8 +45,9 @@ def split_overlap(rows: DataFrame, key: str) -> DataFrame:
 
 
 def decided(scores: Column, names: Sequence[str], thresholds: Sequence[float], ok: str) -> Column:
-    """The class of the highest score, first on ties, classes with thresholds of 1 or more left out; ok where its score is not above its threshold."""
-    usable = F.transform(F.arrays_zip(scores.alias("s"), F.array(*(F.lit(float(t)) for t in thresholds)).alias("t")), lambda x: F.when(x["t"] < 1, x["s"]).otherwise(F.lit(-1.0)))
+    """The class of the highest score, first on ties, classes other than ok with thresholds of 1 or more left out; ok where its score is not above its threshold."""
+    limits = F.array(*(F.lit(0.0 if n == ok else float(t)) for n, t in zip(names, thresholds, strict=True)))
+    usable = F.transform(F.arrays_zip(scores.alias("s"), limits.alias("t")), lambda x: F.when(x["t"] < 1, x["s"]).otherwise(F.lit(-1.0)))
     place = F.array_position(usable, F.array_max(usable)).cast("int")
     pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), place)
     return F.when(F.array_max(usable) <= pick([float(t) for t in thresholds]), F.lit(ok)).otherwise(pick(list(names)))
@@ -113,12 +116,35 @@ def correlated_pairs(rows: DataFrame, values: Sequence[str], least: float) -> Da
     return found.select(F.explode("p").alias("p")).select("p.*").where(F.abs("r") >= least)
 
 
-def issue(true_probability: Column, confidence: Column, seeds: Column) -> Column:
-    """What a repeated misclassification suggests."""
-    return F.when((confidence >= 0.9) & (true_probability <= 0.05) & (seeds > 1), "label_error").when(confidence >= 0.7, "confusing").otherwise("uncertain")
+def issue(truth: Column, predicted: Column, ok: int = 0) -> Column:
+    """What kind of mistake a wrong decision is."""
+    good, called = truth == ok, predicted == ok
+    return F.when(~good & called, "false_ok_NOK_as_OK").when(good & ~called, "false_reject_OK_as_NOK").when(~good & ~called & (truth != predicted), "nok_type_confusion").otherwise("other_mismatch")
+
+
+def priority(kind: Column, seeds: Column, confidence: Column) -> Column:
+    sure = (seeds >= 2) | (confidence >= 0.9)
+    false_ok = F.when(sure, "P0_critical_false_ok").otherwise("P1_false_ok")
+    reject = F.when(sure, "P2_false_reject").otherwise("P3_false_reject_low_conf")
+    return F.when(kind == "false_ok_NOK_as_OK", false_ok).when(kind == "false_reject_OK_as_NOK", reject).when(kind == "nok_type_confusion", "P3_nok_type_confusion").otherwise("P4_other")
+
 
+def suspect_score(kind: Column, seeds: Column, confidence: Column, true_probability: Column, source: Column, note: Column) -> Column:
+    """How much speaks for a wrong label: the kind of mistake, its repetition over seeds, sure decisions, sources that are no experts, fuzzy imports."""
+    base = F.when(kind == "false_ok_NOK_as_OK", 100).when(kind == "false_reject_OK_as_NOK", 65).when(kind == "nok_type_confusion", 40).otherwise(20)
+    text, of = F.coalesce(norm_text(note), F.lit("")), F.lower(F.coalesce(norm_text(source), F.lit("expert")))
+    signs = (confidence >= 0.9, true_probability <= 0.05, of != "expert", F.contains(text, F.lit("fuzzy=")) | F.contains(text, F.lit("中等-")))
+    bonus = sum((F.when(sign, 10).otherwise(0) for sign in signs), F.lit(0))
+    return base + F.least(F.greatest(seeds - 1, F.lit(0)) * 10, F.lit(40)) + bonus
 
-def audit(errors: DataFrame, key: str) -> DataFrame:
-    """Per sample the seeds that misclassify it, its extreme scores and what they suggest, worst first by score_gap."""
-    found = errors.groupBy(key).agg(F.count_distinct("seed").alias("seeds"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence"), F.min("true_probability").alias("min_true"), F.max(F.col("confidence") - F.col("true_probability")).alias("max_gap"))
-    return found.withColumn("issue", issue(F.col("min_true"), F.col("max_confidence"), F.col("seeds")))
+
+def audit(errors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Wrong decisions of several seeds by sample, true and predicted class, with what they suggest.
+
+    errors: keys, seed, truth, predicted, confidence, true_probability, source, note."""
+    found = errors.where("truth <> predicted").groupBy(*keys, "truth", "predicted").agg(
+        F.count_distinct("seed").alias("seeds"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence"), F.min("true_probability").alias("min_true"), F.min("source").alias("source"), F.min("note").alias("note")
+    )
+    found = found.withColumn("issue", issue(F.col("truth"), F.col("predicted")))
+    found = found.withColumn("priority", priority(F.col("issue"), F.col("seeds"), F.col("mean_confidence")))
+    return found.withColumn("score", suspect_score(*(F.col(c) for c in ("issue", "seeds", "mean_confidence", "min_true", "source", "note"))).cast("long"))

@@ -39,10 +39,10 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 5 AS a, l_tax * 6 AS b, 0.3::DOUBLE AS c FROM lineitem), y AS (SELECT *, greatest(a, b) AS m FROM x)
-SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a = m THEN CASE WHEN a <= 0.2 THEN 'ok' ELSE 'ok' END WHEN b <= 0.25 THEN 'ok' ELSE 'friction' END AS verdict FROM y""")
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN a = m THEN 'ok' WHEN b <= 0.25 THEN 'ok' ELSE 'friction' END AS verdict FROM y""")
 def threshold_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = F.array(F.col("l_discount") * 5, F.col("l_tax") * 6, F.lit(0.3))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", M.decided(scores, ["ok", "friction", "tremble"], [0.2, 0.25, 1.0], "ok").alias("verdict"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", M.decided(scores, ["ok", "friction", "tremble"], [1.0, 0.25, 1.0], "ok").alias("verdict"))
 
 
 @query("""WITH x AS (SELECT l_linestatus AS g, l_returnflag = 'R' AS p, l_discount AS s FROM lineitem), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / 2.0 AS k FROM x)
@@ -119,9 +119,17 @@ def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.correlated_pairs(_values(spark, sf_dir), _V, 0.05).withColumn("r", F.round("r", 9))
 
 
-@query("""WITH e AS (SELECT l_partkey AS sample, l_linenumber AS seed, l_discount * 10 AS c, l_tax AS t FROM lineitem WHERE l_returnflag = 'R'), g AS (
- SELECT sample, count(DISTINCT seed) AS seeds, round(avg(c), 9) AS mean_confidence, max(c) AS max_confidence, min(t) AS min_true, max(c - t) AS max_gap FROM e GROUP BY sample)
-SELECT *, CASE WHEN max_confidence >= 0.9 AND min_true <= 0.05 AND seeds > 1 THEN 'label_error' WHEN max_confidence >= 0.7 THEN 'confusing' ELSE 'uncertain' END AS issue FROM g""")
+@query("""WITH e AS (SELECT l_partkey AS sample, l_linenumber AS seed, l_suppkey % 3 AS truth, l_orderkey % 3 AS predicted, 0.4 + l_discount * 6 AS c, l_tax AS t, CASE WHEN l_returnflag = 'N' THEN 'Expert' ELSE 'operator' END AS source, CASE WHEN l_linestatus = 'O' THEN 'fuzzy=0.8' ELSE 'seen' END AS note FROM lineitem), g AS (
+ SELECT sample, truth, predicted, count(DISTINCT seed) AS seeds, avg(c) AS mean_confidence, max(c) AS max_confidence, min(t) AS min_true, min(source) AS source, min(note) AS note FROM e WHERE truth <> predicted GROUP BY ALL),
+k AS (SELECT *, CASE WHEN predicted = 0 THEN 'false_ok_NOK_as_OK' WHEN truth = 0 THEN 'false_reject_OK_as_NOK' ELSE 'nok_type_confusion' END AS issue, seeds >= 2 OR mean_confidence >= 0.9 AS sure FROM g)
+SELECT sample, truth, predicted, seeds, round(mean_confidence, 9) AS mean_confidence, max_confidence, min_true, issue,
+ CASE WHEN predicted = 0 THEN CASE WHEN sure THEN 'P0_critical_false_ok' ELSE 'P1_false_ok' END WHEN truth = 0 THEN CASE WHEN sure THEN 'P2_false_reject' ELSE 'P3_false_reject_low_conf' END ELSE 'P3_nok_type_confusion' END AS priority,
+ CAST(CASE WHEN predicted = 0 THEN 100 WHEN truth = 0 THEN 65 ELSE 40 END + least((seeds - 1) * 10, 40) + CASE WHEN mean_confidence >= 0.9 THEN 10 ELSE 0 END + CASE WHEN min_true <= 0.05 THEN 10 ELSE 0 END
+  + CASE WHEN lower(source) <> 'expert' THEN 10 ELSE 0 END + CASE WHEN note LIKE '%fuzzy=%' THEN 10 ELSE 0 END AS BIGINT) AS score FROM k""")
 def audit_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("sample"), F.col("l_linenumber").alias("seed"), (F.col("l_discount") * 10).alias("confidence"), F.col("l_tax").alias("true_probability"))
-    return M.audit(errors, "sample").withColumn("mean_confidence", F.round("mean_confidence", 9))
+    """Lines as decisions of several seeds on parts."""
+    errors = table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("sample"), F.col("l_linenumber").alias("seed"), (F.col("l_suppkey") % 3).alias("truth"), (F.col("l_orderkey") % 3).alias("predicted"), (F.lit(0.4) + F.col("l_discount") * 6).alias("confidence"),
+        F.col("l_tax").alias("true_probability"), F.when(F.col("l_returnflag") == "N", "Expert").otherwise("operator").alias("source"), F.when(F.col("l_linestatus") == "O", "fuzzy=0.8").otherwise("seen").alias("note"),
+    )
+    return M.audit(errors, ["sample"]).drop("source", "note").withColumn("mean_confidence", F.round("mean_confidence", 9))

@@ -68,17 +68,19 @@ def filename_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", *(T.name_token(stem, "/", k).alias(n) for k, n in enumerate(("lang", "sn", "time"))))
 
 
-@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS TIMESTAMP) AS VARCHAR) AS time FROM orders WHERE o_orderkey % 4 < 2 UNION ALL SELECT o_orderkey, NULL FROM orders WHERE o_orderkey % 4 = 2 UNION ALL SELECT o_orderkey, CAST(CAST(o_orderdate AS TIMESTAMP) AS VARCHAR) FROM orders WHERE o_orderkey % 4 = 3""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 2 THEN '99999999999999' WHEN 0 THEN CASE WHEN o_orderkey % 8 = 0 THEN 'unknown' || strftime(o_orderdate, '%Y%m%d%H%M%S') ELSE strftime(o_orderdate, '%Y%m%d_%H%M%S') END ELSE strftime(o_orderdate, '%Y%m%d_%H%M%S') END AS time FROM orders""")
 def time_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.date_format("o_orderdate", "ddMMyyyyHHmmss")
+    day, year = (F.date_format("o_orderdate", f) for f in ("ddMMyyyyHHmmss", "yyyyMMddHHmmss"))
     key = F.col("o_orderkey") % 4
-    text = F.when(key == 0, F.date_format("o_orderdate", "yyyyMMddHHmmss")).when(key == 1, day).when(key == 2, F.lit("99999999999999")).otherwise(F.concat(F.lit("x"), day))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(T.compact_time(text, key != 0), "yyyy-MM-dd HH:mm:ss").alias("time"))
+    text = F.when(key == 0, F.when(F.col("o_orderkey") % 8 == 0, F.concat(F.lit("unknown"), year)).otherwise(year)).when(key == 1, day).when(key == 2, F.lit(" 99999999999999")).otherwise(F.concat(F.lit("x"), day))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.line_time(text, key != 0).alias("time"))
 
 
-@query(r"""WITH x AS (SELECT event_id, event_type || ' | k=' || event_id || ' |keep ' || (event_id % 3) || '||' AS note FROM events) SELECT event_id, trim(string_split(note, '|')[1]) || '|' || trim(string_split(note, '|')[3]) AS note FROM x""")
+@query(r"""WITH x AS (SELECT event_id, event_type || ' | fuzzy=' || event_id || ' |torque = ' || (event_id % 3) || '||' || CASE WHEN event_id % 5 = 0 THEN '[[prototype]]' ELSE '' END || 'Reference = x' AS note FROM events)
+SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '[[prototype]] ' ELSE '' END || trim(string_split(note, '|')[1]) || ' | ' || trim(string_split(note, '|')[3]) AS note FROM x""")
 def note_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    note = F.concat(F.col("event_type"), F.lit(" | k="), F.col("event_id"), F.lit(" |keep "), F.col("event_id") % 3, F.lit("||"))
+    tag = F.when(F.col("event_id") % 5 == 0, T.TYPICAL).otherwise("")
+    note = F.concat(F.col("event_type"), F.lit(" | fuzzy="), F.col("event_id"), F.lit(" |torque = "), F.col("event_id") % 3, F.lit("||"), tag, F.lit("Reference = x"))
     return table(spark, sf_dir, "events").select("event_id", T.clean_note(note).alias("note"))
 
 
