@@ -81,3 +81,13 @@ def test_long_texts_other_columns_and_no_rows(spark):
     row = P.pseudonymise(docs, KEY).first()
     assert "60.153.215.203" not in row.text and row.text.startswith("word " * 20000) and (row.a, row.b) == (None, "keep")
     assert P.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_repeated_groups_capitals_and_repeated_rows(spark):
+    texts = ["a@b" + ".c" * 20000 + " end", "Password: hunter2hunter2 API_KEY=abcdefgh1234", "x " * 2_000_000 + "me@host.org", "1-" * 50_000 + " 4 " * 50_000, None, "", None]
+    docs = spark.createDataFrame([(i // 2, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, kind string")
+    out = [r.text for r in P.pseudonymise(docs, KEY).orderBy("doc_id", F.length("text")).collect()]
+    assert len(out) == len(texts) and not any("b.c.c" in (t or "") or "me@host.org" in (t or "") or "hunter2" in (t or "") or "abcdefgh1234" in (t or "") for t in out)
+    assert any(t and t.startswith("Password: ") for t in out) and sum(t is None for t in out) == 2
+    with pytest.raises(ValueError):
+        P.pseudonymise(docs, "")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tremor.llm import decontaminate, mixing, pii
+from tremor.llm.queries import pii_key
 
 
 def test_stages_in_order(spark, tmp_path):
@@ -49,7 +50,7 @@ def test_stages_in_order(spark, tmp_path):
     assert one.columns == kept.columns and {r.doc_id for r in one.collect()} == set(rows_of) - dropped
     bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
     firsts = decontaminate.clean(kept.where(~F.col("doc_id").isin(list(dropped))), bench)
-    expected = mixing.mix(pii.pseudonymise(firsts.select(kept.columns))).where("copies > 0")
+    expected = mixing.mix(pii.pseudonymise(firsts.select(kept.columns), pii_key(spark))).where("copies > 0")
     assert sorted(map(tuple, expected.select("doc_id", "text", "copies").collect())) == sorted((i, r.text, r.copies) for i, r in rows.items())
 
 

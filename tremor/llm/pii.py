@@ -20,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The forms that are looked for, the more special first.
-EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})++"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 ACCESS_KEY = r"\bAKIA[0-9A-Z]{16}\b"
-SECRET = r"\b(?:password|passwd|pwd|token|secret|api_key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,128}"
+SECRET = r"\b(?i:password|passwd|pwd|token|secret|api_key)\s?[=:]\s?[\"']?[A-Za-z0-9+/_-]{8,128}"
 IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\.?\d)"
 ISO_DATE = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DAY_DATE = r"(?<![\d/.])\d{1,2}([/.])\d{1,2}\1\d{4}(?![\d/])"
@@ -224,9 +224,11 @@ def pseudonymised(text: Column, key: str) -> Column:
     changed = F.transform(found, lambda m: pseudonym(m, key))
     between = F.split(text, pattern(), -1)
     joined = F.array_join(F.zip_with(between, changed, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(F.rlike(text, F.lit(r"[0-9@]|(?:password|passwd|pwd|token|secret|api_key)\s?[=:]")), joined).otherwise(text)
+    return F.when(F.rlike(text, F.lit(r"[0-9@]|(?i:password|passwd|pwd|token|secret|api_key)\s?[=:]")), joined).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, key: str = "replace this key", text_col: str = "text") -> DataFrame:
-    """docs with the text column pseudonymised."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """docs with the text column pseudonymised; who knows the key can undo the permutations, so it is to be kept secret."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     return docs.withColumn(text_col, pseudonymised(F.col(f"`{text_col}`").cast("string"), key))

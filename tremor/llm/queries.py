@@ -11,8 +11,16 @@ from . import context_tree, decontaminate, fingerprint_index, mixing, oracles, p
 from .common import read
 
 
+#: A public key, for the registered query and the pipeline on made-up texts where spark.tremor.pii.key is not set.
+DEMO_KEY = "public key of the registered query"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.tremor.pii.key", DEMO_KEY)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
