@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def _sum(x: Column, f=lambda v: v) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + f(v))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed once, not for each element of the lambdas that use it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def mean(x: Column) -> Column:
     return F.when(F.size(x) > 0, _sum(x) / F.size(x))
 
@@ -65,23 +72,28 @@ def windows(x: Column, width: int, hop: int) -> Column:
 
 def quantile(x: Column, q: float) -> Column:
     """Linear interpolation between the order statistics."""
-    s = F.array_sort(x)
-    place = (F.size(x) - 1) * F.lit(q)
+    return _let(F.array_sort(x), lambda s: _sorted_quantile(s, q))
+
+
+def _sorted_quantile(s: Column, q: float) -> Column:
+    place = (F.size(s) - 1) * F.lit(q)
     low = F.floor(place).cast("int")
     below = F.try_element_at(s, low + 1)
-    return below + (place - low) * (F.try_element_at(s, F.least(low + 2, F.size(x))) - below)
+    return below + (place - low) * (F.try_element_at(s, F.least(low + 2, F.size(s))) - below)
 
 
 def robust_scale(x: Column, floor: float = 1e-9) -> Column:
     """The largest of scaled median absolute deviation, scaled interquartile range and floor."""
-    deviations = F.transform(x, lambda v: F.abs(v - quantile(x, 0.5)))
-    return F.greatest(1.4826 * quantile(deviations, 0.5), (quantile(x, 0.75) - quantile(x, 0.25)) / 1.349, F.lit(floor))
+    deviations = lambda m: F.transform(x, lambda v: F.abs(v - m))
+    spread = _let(quantile(x, 0.5), lambda m: 1.4826 * quantile(deviations(m), 0.5))
+    between = _let(F.array_sort(x), lambda s: (_sorted_quantile(s, 0.75) - _sorted_quantile(s, 0.25)) / 1.349)
+    return F.greatest(spread, between, F.lit(floor))
 
 
 def energy_entropy(x: Column) -> Column:
     """Entropy of the shares of energy, in nats."""
-    energy = _sum(x, lambda v: v * v)
-    return F.when(energy > 0, -_sum(x, lambda v: F.when(v != 0, v * v / energy * F.log(v * v / energy)).otherwise(0.0))).otherwise(0.0)
+    entropy = lambda e: -_sum(x, lambda v: F.when(v != 0, v * v / e * F.log(v * v / e)).otherwise(0.0))
+    return _let(_sum(x, lambda v: v * v), lambda e: F.when(e > 0, entropy(e)).otherwise(0.0))
 
 
 def autocorrelation(x: Column, mu: Column, lag: int = 1) -> Column:
@@ -117,8 +129,8 @@ def haar(x: Column) -> Column:
 
 def to_db(power: Column, floor: float = 1e-10, top_db: float = 80.0) -> Column:
     """Decibels below the largest power, cut at top_db."""
-    high = F.greatest(F.array_max(power), F.lit(floor))
-    return F.transform(power, lambda p: F.greatest(10 * F.log10(F.greatest(p, F.lit(floor)) / high), F.lit(-top_db)))
+    level = lambda p, high: F.greatest(10 * F.log10(F.greatest(p, F.lit(floor)) / high), F.lit(-top_db))
+    return _let(F.greatest(F.array_max(power), F.lit(floor)), lambda high: F.transform(power, lambda p: level(p, high)))
 
 
 def fixed_length(x: Column, n: int) -> Column:
@@ -131,5 +143,5 @@ def decimate(x: Column, step: int) -> Column:
 
 
 def standardize(x: Column, eps: float = 1e-8) -> Column:
-    mu = mean(x)
-    return F.transform(x, lambda v: (v - mu) / (F.sqrt(central_moment(x, mu, 2)) + eps))
+    scaled = lambda mu, sd: F.transform(x, lambda v: (v - mu) / (sd + eps))
+    return _let(mean(x), lambda mu: _let(F.sqrt(central_moment(x, mu, 2)), lambda sd: scaled(mu, sd)))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
+from .ranks import below, drawn
 
 
 def dice(*key: Column) -> Column:
@@ -17,16 +20,14 @@ def dice(*key: Column) -> Column:
 
 def downsampled(rows: DataFrame, label: str, target: int, key: str, seed: int = 0) -> DataFrame:
     """At most target rows of each label, those of least dice."""
-    by = Window.partitionBy(label).orderBy(dice(F.col(key), F.lit(seed)), key)
-    return rows.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= target).drop("_n")
+    return drawn(rows, label, dice(F.col(key), F.lit(seed)), key, lambda n: F.lit(target)).where("_in").drop("_in", "_all")
 
 
 def rebalanced(rows: DataFrame, label: str, target: int, key: str, seed: int = 0) -> DataFrame:
     """Exactly target rows of each label: fewer are repeated in whole rounds, the rest by dice; `copies` says how often."""
-    by = Window.partitionBy(label)
-    placed = rows.withColumns({"_n": F.row_number().over(by.orderBy(dice(F.col(key), F.lit(seed)), key)), "_all": F.count("*").over(by)})
-    copies = F.floor(F.lit(target) / F.col("_all")) + (F.col("_n") <= F.lit(target) % F.col("_all")).cast("int")
-    return placed.withColumn("copies", copies.cast("int")).where("copies > 0").drop("_n", "_all")
+    placed = drawn(rows, label, dice(F.col(key), F.lit(seed)), key, lambda n: F.lit(target) % n)
+    copies = F.floor(F.lit(target) / F.col("_all")) + F.col("_in").cast("int")
+    return placed.withColumn("copies", copies.cast("int")).where("copies > 0").drop("_in", "_all")
 
 
 def group_split(rows: DataFrame, group: str, test: float = 0.1, validation: float = 0.125, seed: int = 0) -> DataFrame:
@@ -80,10 +81,10 @@ def quality_gate(rows: DataFrame, truth: Column, predicted: Column) -> DataFrame
 
 
 def auc(rows: DataFrame, group: str, positive: str, score: str) -> DataFrame:
-    """Area under the ROC curve by rank sums with mean ranks on ties; counts per score come first, so no task sorts raw rows."""
+    """Area under the ROC curve by rank sums with mean ranks on ties; counts per score come first, and ranks are dealt by score."""
     levels = rows.groupBy(group, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = levels.withColumn("won", F.col("p") * (below + F.col("q") / 2)).groupBy(group).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    won = below(levels, [group], score, "q").withColumn("won", F.col("p") * (F.col("below") + F.col("q") / 2))
+    sums = won.groupBy(group).agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     return sums.select(group, F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("won") / (F.col("p") * F.col("q"))).alias("auc"))
 
 
@@ -110,10 +111,14 @@ def feature_quality(rows: DataFrame, values: Sequence[str]) -> DataFrame:
 
 
 def correlated_pairs(rows: DataFrame, values: Sequence[str], least: float) -> DataFrame:
-    """Pairs of columns whose correlation is at least that strong, all in one aggregate."""
-    pairs = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :]]
-    found = rows.agg(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("r")) for a, b in pairs)).alias("p"))
-    return found.select(F.explode("p").alias("p")).select("p.*").where(F.abs("r") >= least)
+    """Pairs of columns whose correlation is at least that strong, from one pass over the rows that have all columns.
+
+    Only the matrix of correlations, columns by columns, is gathered; pairs with a constant column have none."""
+    columns = [F.col(v).cast("double").alias(v) for v in values]
+    vectors = VectorAssembler(inputCols=list(values), outputCol="_all", handleInvalid="skip").transform(rows.select(*columns))
+    matrix = Correlation.corr(vectors, "_all").head()[0].toArray()
+    pairs = [(a, b, float(matrix[i, j])) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and abs(matrix[i, j]) >= least]
+    return rows.sparkSession.createDataFrame(pairs, "a string, b string, r double")
 
 
 def issue(truth: Column, predicted: Column, ok: int = 0) -> Column:

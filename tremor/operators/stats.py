@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import below, joined
+
 
 def distribution(rows: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
     """Rows per grouping set, in one pass; columns that a set leaves out are null and `grain` names the set."""
@@ -43,6 +45,8 @@ def state_counts(states: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def percent_rank_average(rows: DataFrame, value: str) -> DataFrame:
-    """Rank from the top over the number of rows, ties at their mean rank."""
-    by = Window.partitionBy(F.lit(0)).orderBy(F.desc(value))
-    return rows.withColumn("percent_rank", (F.rank().over(by) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2) / F.count("*").over(Window.partitionBy(F.lit(0))))
+    """Rank from the top over the number of rows, ties at their mean rank; counts per value come first, and ranks are dealt by value."""
+    counted = rows.groupBy(value).agg(F.count("*").alias("_n")).withColumn("_one", F.lit(0))
+    placed = below(counted, ["_one"], value, "_n")
+    rank = F.col("total") - F.col("below") - F.col("_n") + 1 + (F.col("_n") - 1) / 2
+    return joined(rows, placed.select(value, (rank / F.col("total")).alias("percent_rank")), [value])

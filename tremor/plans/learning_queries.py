@@ -11,7 +11,7 @@ from ..sources.proxies import table
 from .registry import query
 
 _DICE = "CAST(('0x' || substr(md5({} || ':0'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
-_V = [f"v{k}" for k in range(6)]
+_V = [f"v{k}" for k in range(64)]
 
 
 def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +111,8 @@ def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.feature_quality(_values(spark, sf_dir), _V).withColumn("variance", F.round("variance", 9))
 
 
-_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 9) AS r FROM w" for i, a in enumerate(_V) for b in _V[i + 1 :])
-
-
-@query(f"WITH w AS (SELECT {_COLUMNS} FROM embeddings), p AS ({_PAIRS}) SELECT * FROM p WHERE abs(r) >= 0.05")
+@query("""WITH w AS (SELECT vec_id, k, CAST(embedding[k + 1] AS DOUBLE) AS x FROM embeddings, range(64) AS r(k)), p AS (SELECT 'v' || l.k AS a, 'v' || h.k AS b, corr(l.x, h.x) AS r FROM w AS l JOIN w AS h ON l.vec_id = h.vec_id AND l.k < h.k GROUP BY l.k, h.k)
+SELECT a, b, round(r, 9) AS r FROM p WHERE abs(r) >= 0.05""")
 def corr_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.correlated_pairs(_values(spark, sf_dir), _V, 0.05).withColumn("r", F.round("r", 9))
 
