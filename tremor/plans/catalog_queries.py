@@ -151,10 +151,10 @@ def _feature() -> Column:
 
 
 @query("""WITH r AS (SELECT CASE p_size % 6 WHEN 0 THEN 'mel_band' WHEN 1 THEN 'mel_shock' WHEN 2 THEN 'dwt' WHEN 3 THEN 'time' WHEN 4 THEN 'peak' ELSE 'other' END AS family, p_partkey + 1 AS place, p_retailprice AS i FROM part)
-SELECT family, count(*) AS features, count(*) FILTER (WHERE place <= 20) AS among_top, avg(i) AS mean_importance, sum(i) AS sum_importance, min(-i) AS best_score FROM r GROUP BY family""")
+SELECT family, count(*) AS features, count(*) FILTER (WHERE place <= 20) AS among_top, round(avg(i), 6) AS mean_importance, round(sum(i), 4) AS sum_importance, min(-i) AS best_score FROM r GROUP BY family""")
 def feature_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranking = table(spark, sf_dir, "part").select(_feature().alias("feature"), (F.col("p_partkey") + 1).alias("place"), F.col("p_retailprice").alias("importance"), (-F.col("p_retailprice")).alias("score"))
-    return P.group_summary(ranking)
+    return P.group_summary(ranking).withColumns({"mean_importance": F.round("mean_importance", 6), "sum_importance": F.round("sum_importance", 4)})
 
 
 @query("""WITH c AS (SELECT p_partkey, unnest(CASE p_size % 4 WHEN 0 THEN ['A_up', 'A_down'] WHEN 1 THEN ['B', 'C'] WHEN 2 THEN ['[]'] ELSE [p_name] END) AS sample_id FROM part) SELECT * FROM c""")
