@@ -46,3 +46,60 @@ SELECT o.doc_id, o.size, t.source_size, t.target,
        o.size * CAST(coalesce(o.whole, 0) + CASE WHEN o.rank IS NOT NULL AND o.upto <= e.stop THEN 1 ELSE 0 END AS BIGINT) AS taken
 FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source LEFT JOIN e ON o.source IS NOT DISTINCT FROM e.source
 """
+
+#: Subtree sums by pairing every node with all nodes above it; crc32 is written out.
+OP13 = r"""
+WITH own AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos,
+         {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (SELECT conv_id, list(t ORDER BY pos) AS turns FROM own GROUP BY conv_id),
+h AS (
+  SELECT *, conv_id - conv_id % 5 AS base,
+         xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+           lambda x, d: list_reduce(list_concat([xor(x, d)], range(8)), lambda y, i: xor(y >> 1, 3988292384::BIGINT * (y & 1))))) % 9 AS h
+  FROM c
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(list_slice(b.turns, 1, h.h), []), coalesce(list_slice(h.turns, h.h + 1, len(h.turns)), [])) AS turns
+  FROM h LEFT JOIN c AS b ON b.conv_id = h.base
+), m AS (SELECT conv_id, len(turns) AS total, unnest(range(len(turns) + 1)) AS depth, turns FROM r),
+k AS (SELECT conv_id, total, depth, list_slice(turns, 1, depth) AS path, coalesce(strlen(turns[depth].text), 0) AS bytes FROM m),
+n AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(bytes) AS own,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE total = depth), '')) AS ends_sha256
+  FROM k GROUP BY path, depth
+), kids AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+up AS (SELECT list_slice(path, 1, above) AS path, n_children, own FROM (SELECT *, unnest(range(depth + 1)) AS above FROM f)),
+s AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM up GROUP BY path)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.path = f.path LEFT JOIN f AS p ON f.depth > 0 AND p.depth = f.depth - 1 AND p.path = list_slice(f.path, 1, f.depth - 1)
+"""
+
+#: Each source against each other one of its language, and against the language.
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT lang, source, unnest(list_distinct(terms)) AS term, terms FROM (
+  SELECT lang, source, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM d)),
+w AS (SELECT lang, source, term, CAST(len(list_filter(terms, lambda x: x = term)) AS BIGINT) AS n FROM t),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(*) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+gn AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+ln AS (SELECT lang, sum(total) AS total FROM gn GROUP BY lang),
+p AS (
+  SELECT gn.lang, gn.source, kept.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000 * CAST(coalesce(c.n, 0) + 5 AS HUGEINT)) // CAST(gn.total + 5 * v.v AS HUGEINT) AS BIGINT) AS p
+  FROM gn JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = gn.lang AND c.source = gn.source AND c.term = kept.term
+), q AS (
+  SELECT lang, term, CAST(1 + (1000000000 * CAST(s + 5 AS HUGEINT)) // CAST(ln.total + 5 * v.v AS HUGEINT) AS BIGINT) AS q
+  FROM (SELECT lang, term, sum(n) AS s FROM c GROUP BY ALL) JOIN ln USING (lang) JOIN v USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p AS x JOIN p AS y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) AS f
+  ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+every AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM every WHERE part = 'pair' OR rank <= 50
+"""
