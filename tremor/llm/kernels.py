@@ -95,11 +95,11 @@ def byte_rolling(data: np.ndarray) -> Rolling:
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a batch: byte spans, and the index of each document's first word."""
+    """Words `[^\\x20\\x09-\\x0D]+` of a batch, or runs of the bytes in solid: byte spans, and the index of each document's first word."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None):
         self.data, self.offsets = data, offsets
-        solid = ~_WHITE[data]
+        solid = ~_WHITE[data] if solid is None else solid
         before = np.zeros(len(data), bool)
         before[1:] = solid[:-1]
         begins = offsets[:-1]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, fingerprint_index, mixing, oracles, perplexity, pii, prefix_trie, repeats, rules, simhash, toxicity
+from . import context_tree, decontaminate, fingerprint_index, mixing, oracles, perplexity, pii, prefix_trie, repeats, rules, simhash, source_audit, toxicity
 from .common import read
 
 
@@ -61,6 +61,10 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(read(spark, sf_dir, "documents"), folds=5, held=1)
 
 
+def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(read(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(*prefix_trie.placed(read(spark, sf_dir, "conversations"))))
 
@@ -76,10 +80,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_maximal_repeats": op9_maximal_repeats,
     "op10_context_tree": op10_context_tree,
+    "op11_source_audit": op11_source_audit,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_pareto_mixing": oracles.OP6,
+    "op11_source_audit": oracles.OP11,
     "op13_prefix_trie": oracles.OP13,
 }
