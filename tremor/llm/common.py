@@ -73,6 +73,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         pairs = settle(small.distinct())
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first())
         if state == seen:
-            break
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    raise RuntimeError(f"components are not complete after {rounds} rounds")

@@ -103,3 +103,23 @@ p AS (
 every AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
 SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM every WHERE part = 'pair' OR rank <= 50
 """
+
+#: All pairs that share an n-gram, counted, and reachability by labels that spread.
+OP12 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS grams FROM d
+), k AS (SELECT grams, min(doc_id) AS name, len(grams) AS n FROM (SELECT doc_id, list_sort(grams) AS grams FROM s) WHERE len(grams) > 0 GROUP BY grams),
+g AS (SELECT name, n, unnest(grams) AS gram FROM k),
+p AS (
+  SELECT a.name AS u, b.name AS v FROM g AS a JOIN g AS b ON a.gram = b.gram AND a.name < b.name
+  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.name, b.name, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r AS (SELECT DISTINCT u AS a, u AS b FROM e UNION SELECT r.a, e.v FROM r JOIN e ON e.u = r.b),
+c AS (SELECT a AS name, min(b) AS root FROM r GROUP BY a)
+SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(c.root, k.name, s.doc_id) AS component_id
+FROM s LEFT JOIN k ON k.grams = list_sort(s.grams) LEFT JOIN c ON c.name = k.name
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, fingerprint_index, mixing, oracles, perplexity, pii, prefix_trie, repeats, rules, simhash, source_audit, toxicity
+from . import context_tree, decontaminate, fingerprint_index, jaccard_join, mixing, oracles, perplexity, pii, prefix_trie, repeats, rules, simhash, source_audit, toxicity
 from .common import read
 
 
@@ -65,6 +65,10 @@ def op11_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.divergence(read(spark, sf_dir, "documents"), least_docs=30, top=50)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_classes(read(spark, sf_dir, "documents"), percent=85, words=4)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(*prefix_trie.rebuilt(*prefix_trie.placed(read(spark, sf_dir, "conversations"))))
 
@@ -81,11 +85,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_maximal_repeats": op9_maximal_repeats,
     "op10_context_tree": op10_context_tree,
     "op11_source_audit": op11_source_audit,
+    "op12_jaccard_join": op12_jaccard_join,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_pareto_mixing": oracles.OP6,
     "op11_source_audit": oracles.OP11,
+    "op12_jaccard_join": oracles.OP12,
     "op13_prefix_trie": oracles.OP13,
 }

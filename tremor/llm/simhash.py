@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     return prints.join(classes, "fp").select("doc_id", text, "component_id")
 
 
-def _shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct hashes of each text's shingles, and where each text's begin; a shorter text is one shingle."""
     found = Words(lower(data), offsets)
     every = Rolling(found.hashes())
@@ -264,7 +264,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches):
-            hashes, ends = _shingle_sets(data, offsets, words)
+            hashes, ends = shingle_sets(data, offsets, words)
             some = np.flatnonzero(np.diff(ends))
             least = np.stack([np.minimum.reduceat(mix(hashes ^ s), ends[some]) for s in seeds], 1) if len(some) else np.zeros((0, buckets), U64)
             at = pa.array(np.arange(0, buckets * len(some) + 1, buckets, dtype=np.int32))
@@ -288,7 +288,7 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(unpacked(batches)):
-            hashes, ends = _shingle_sets(data, offsets, words)
+            hashes, ends = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["name", "shingles"])
 
     wanted = settle(pairs.select("name").union(pairs.select("other")).distinct())
