@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(_NULL).to_numpy(zero_copy_only=False)
 
 
-def carried(docs: DataFrame, wanted: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, packed, the columns named by also) of all documents whose id is in wanted, and perhaps of some others."""
+def wanted_ids(docs: DataFrame, wanted: DataFrame) -> Broadcast:
+    """The filter over the ids in wanted, as every task gets it."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << FILTER_BITS, bool)
@@ -63,14 +64,24 @@ def carried(docs: DataFrame, wanted: DataFrame, also: tuple[str, ...] = ()) -> D
     words = wanted.select("doc_id").mapInArrow(collect, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
     table = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     table[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    return docs.sparkSession.sparkContext.broadcast(table)
+
+
+def some_of(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The rows whose doc_id the filter lets through."""
+    bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
+    for batch in batches:
+        first, second = _places(_ids(batch.column("doc_id")))
+        yield batch.filter(pa.array(bits[first] & bits[second]))
+
+
+def carried(docs: DataFrame, wanted: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, packed, the columns named by also) of all documents whose id is in wanted, and perhaps of some others."""
+    shared = wanted_ids(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
         packer = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            first, second = _places(_ids(batch.column("doc_id")))
-            some = batch.filter(pa.array(bits[first] & bits[second]))
+        for some in some_of(batches, shared):
             packed = [packer.compress((t or "").encode()) for t in some.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(packed, pa.binary()), *(some.column(c) for c in also)], ["doc_id", "packed", *also])
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .carry import carried, unpacked
+from .carry import some_of, wanted_ids
 from .common import bounded_batches, components, settle, stored
 from .kernels import U64, mix, pieces, repeated
 from .simhash import shingle_sets
@@ -48,19 +48,30 @@ PIVOTS = 8
 CLASSES = 256
 #: Cells, as a power of two, of the table of how frequent n-grams are.
 CELL_BITS = 20
+#: N-grams among which those that recur are counted at a time.
+HELD = 1 << 20
 
 
 def frequencies(docs: DataFrame, words: int) -> np.ndarray:
     """For each cell of n-grams' hashes the binary logarithm of how often its n-grams recur; any table is right, a good one keeps regions small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << CELL_BITS, np.int64)
-        for _, data, offsets in pieces(batches, step=8 << 20):
-            hashes = np.sort(shingle_sets(data, offsets, words)[0])
+        counts, held = np.zeros(1 << CELL_BITS, np.int64), []
+
+        def add() -> None:
+            hashes = np.sort(np.concatenate(held))
             new = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.zeros(0, np.int64)
             n = np.diff(np.append(new, len(hashes)))
             many = n > 2
             np.add.at(counts, (hashes[new[many]] >> U64(64 - CELL_BITS)).astype(np.int64), n[many])
+            held.clear()
+
+        for _, data, offsets in pieces(batches):
+            held.append(shingle_sets(data, offsets, words)[0])
+            if sum(map(len, held)) >= HELD:
+                add()
+        if held:
+            add()
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["cell", "n"])
 
@@ -126,13 +137,14 @@ def _by_counts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(name, grams): the sets of the wanted classes, read from the text of one of their documents; wanted: name, rep, k1, k2, n."""
 
+    shared = wanted_ids(docs, wanted.select(F.col("rep").alias("doc_id")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in pieces(unpacked(batches)):
+        for _, data, offsets in pieces(some_of(batches, shared)):
             hashes, ends = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays([*map(pa.array, _keys(hashes, ends)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["k1", "k2", "n", "grams"])
 
-    texts = carried(docs, wanted.select(F.col("rep").alias("doc_id")))
-    found = texts.mapInArrow(run, "k1 long, k2 long, n long, grams array<long>").join(wanted.select("name", "k1", "k2", "n"), ["k1", "k2", "n"])
+    found = docs.mapInArrow(run, "k1 long, k2 long, n long, grams array<long>").join(wanted.select("name", "k1", "k2", "n"), ["k1", "k2", "n"])
     return found.groupBy("name").agg(F.first("grams").alias("grams"))
 
 
