@@ -31,11 +31,13 @@ from .common import bounded_batches, settle, stored
 from .kernels import Words, lower, pieces
 
 #: Terms that the tries of a task hold before they are written out.
-LEAVES = 100_000
+LEAVES = 250_000
 #: Groups of language and source that are broadcast at once, if no single language has more.
 GROUPS = 50_000
 #: Sources whose pairs with all others one task sums.
 STRIP = 256
+#: Bytes of text whose distinct terms are looked up together.
+STEP = 4 << 20
 #: Cells of a matrix of terms and sources.
 CELLS = 1 << 20
 
@@ -47,16 +49,19 @@ class Trie:
     """A byte radix trie: edges carry byte strings, and nodes at which a term ends have a number."""
 
     def __init__(self):
-        self.root, self.size = [-1, {}], 0
+        self.root, self.size = [-1, None], 0
 
     def add(self, term: bytes) -> int:
         """The number of a term, a new one if it is not there yet."""
         node, at = self.root, 0
         while at < len(term):
-            edge = node[1].get(term[at])
+            edges = node[1]
+            if edges is None:
+                edges = node[1] = {}
+            edge = edges.get(term[at])
             if edge is None:
-                fresh = [-1, {}]
-                node[1][term[at]] = (term[at:], fresh)
+                fresh = [-1, None]
+                edges[term[at]] = (term[at:], fresh)
                 node = fresh
                 break
             label, below = edge
@@ -65,7 +70,7 @@ class Trie:
                 while shared < len(term) - at and term[at + shared] == label[shared]:
                     shared += 1
                 middle = [-1, {label[shared]: (label[shared:], below)}]
-                node[1][term[at]] = (label[:shared], middle)
+                edges[term[at]] = (label[:shared], middle)
                 label, below = label[:shared], middle
             node, at = below, at + len(label)
         if node[0] < 0:
@@ -80,7 +85,8 @@ class Trie:
             term, (number, edges) = left.pop()
             if number >= 0:
                 yield term, number
-            left += [(term + edges[b][0], edges[b][1]) for b in sorted(edges, reverse=True)]
+            if edges:
+                left += [(term + edges[b][0], edges[b][1]) for b in sorted(edges, reverse=True)]
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -165,7 +171,7 @@ def _batch(lang, term, docs: np.ndarray, sources: pa.Array, counts: np.ndarray,
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = _Counter()
-    for piece in pieces(batches):
+    for piece in pieces(batches, step=STEP):
         counter.count(*piece)
         if counter.size() >= LEAVES:
             yield from counter.written()
