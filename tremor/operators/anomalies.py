@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..sources.shared import settle
+from .ranks import numbered
 
 NODES = "tree int, node int, feature int, cut double, left int, right int, size int, depth int"
 #: Euler's constant, in the mean depth of a search that fails.
@@ -116,20 +117,12 @@ def isolated(rows: DataFrame, nodes: DataFrame, features: Sequence[str], sample:
 
 
 def for_normal_fit(rows: DataFrame, label: str, normal: str, key: str) -> DataFrame:
-    """rows of splits for a fit on normal rows alone: half of the training anomalies, in order of key, go to validation, the others to test.
-
-    Ranks are taken in parts of the keys' range, whose sizes are summed before, so no task holds all anomalies."""
-    odd = (F.col("split") == "train") & (F.col(label) != normal)
-    some = settle(rows.where(odd).repartitionByRange(key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33).cast("int")
-    sizes, before, begins = sorted((r[0], r[1]) for r in some.groupBy(part).count().collect()), 0, []
-    for number, n in sizes:
-        begins.append((number, before))
-        before += n
-    offsets = F.broadcast(rows.sparkSession.createDataFrame(begins, "_part int, _begin long"))
-    ranked = some.withColumn("_part", part).join(offsets, "_part").withColumn("_k", F.col("_begin") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    moved = ranked.withColumn("split", F.when(F.col("_k") < before // 2, "validation").otherwise("test")).select(rows.columns)
-    return rows.where(~F.coalesce(odd, F.lit(False))).union(moved)
+    """rows of splits for a fit on normal rows alone: half of the training anomalies, in order of key, go to validation, the others to test."""
+    odd = F.coalesce((F.col("split") == "train") & (F.col(label) != normal), F.lit(False))
+    ranked = numbered(rows.where(odd), [key], "_k")
+    half = ranked.count() // 2
+    moved = ranked.withColumn("split", F.when(F.col("_k") < half, "validation").otherwise("test")).select(rows.columns)
+    return rows.where(~odd).union(moved)
 
 
 def anomaly_run(rows: DataFrame, features: Sequence[str], label: str, normal: str, key: str, contamination: float | None = None, threshold: float = 0.0, normal_only: bool = True, trees: int = 100, sample: int = 256, seed: int = 0) -> DataFrame:

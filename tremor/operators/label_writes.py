@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
 from .labels import status
+from .ranks import numbered
 
 #: What an event's status can be.
 STATUSES = ("confirmed", "unconfirmed", "pending", "rejected")
@@ -27,10 +28,14 @@ def checked(new: DataFrame, samples: DataFrame, keys: Sequence[str] = ("line", "
 
 
 def appended(events: DataFrame, new: DataFrame, samples: DataFrame) -> DataFrame:
-    """The events and the new ones, which get ids above all there are."""
-    above = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_above"))
-    own = checked(new, samples).withColumn("_n", F.monotonically_increasing_id() + 1).crossJoin(F.broadcast(above))
-    return events.unionByName(own.withColumn("id", F.col("_above") + F.col("_n")).select(events.columns))
+    """The events and the new ones, which get the ids that follow the highest there is, in order of sample, time, source and their other values."""
+    repeated = samples.groupBy("line", "sn", "direction").count().where("count > 1")
+    if not repeated.isEmpty():
+        raise ValueError(f"samples repeat: {repeated.first().asDict()}")
+    above = events.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    own = checked(new, samples)
+    own = numbered(own, ["sample_pk", "timestamp", "source", *sorted(c for c in own.columns if c not in ("sample_pk", "timestamp", "source"))], "_n")
+    return events.unionByName(own.withColumn("id", F.lit(above + 1) + F.col("_n")).select(events.columns))
 
 
 def replaced(events: DataFrame, new: DataFrame, samples: DataFrame, of_status: str = "unconfirmed") -> DataFrame:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import settle
+
 #: Parts that a group's range is cut into, twice.
 PARTS = 1024
 #: Parts of the range of dice; a group's parts have a 4,096th of its rows each.
@@ -61,3 +63,18 @@ def drawn(rows: DataFrame, group: str, die: Column, tie: str, quota: Callable[[C
     counts = counts.withColumns({"_all": F.sum("_n").over(by), "_left": quota(F.sum("_n").over(by)) - _before(F.col("_n"), by.orderBy("_part"))})
     rank = F.row_number().over(Window.partitionBy(group, "_part").orderBy("_die", tie))
     return joined(placed, counts.drop("_n"), [group, "_part"]).withColumn("_in", (F.col("_left") > 0) & (rank <= F.col("_left"))).drop("_die", "_part", "_left")
+
+
+def numbered(rows: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
+    """rows with their place in the order, from 0 without gaps: dealt by range, and counted by the sizes of the ranges before.
+
+    Rows that the order does not tell apart get places in any order."""
+    dealt = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33).cast("int")
+    sizes, upto, begins = sorted((r[0], r[1]) for r in dealt.groupBy(part.alias("_part")).count().collect()), 0, []
+    for number, n in sizes:
+        begins.append((number, upto))
+        upto += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(begins, "_part int, _begin long"))
+    placed = dealt.withColumn("_part", part).join(offsets, "_part")
+    return placed.select(*(F.col(c) for c in rows.columns), (F.col("_begin") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))

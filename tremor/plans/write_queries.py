@@ -28,19 +28,19 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_events(spark, sf_dir).select("id", "sample_pk", "timestamp", "source", "reason_key", "result_key", "status")
 
 
-_COUNTED = "sample_pk, source, reason_key, status, count(*) AS n"
+def _appended_sql(kept: str) -> str:
+    return f"""{_S}, {_NEW_SQL}, kept AS (SELECT id, sample_pk, timestamp, source, reason_key, result_key, status FROM ev {kept})
+SELECT * FROM kept UNION ALL SELECT CAST((SELECT coalesce(max(id), 0) FROM kept) + row_number() OVER (ORDER BY sample_pk NULLS FIRST, timestamp NULLS FIRST, source NULLS FIRST, reason_key NULLS FIRST, result_key NULLS FIRST, status NULLS FIRST) AS BIGINT), sample_pk, timestamp, source, reason_key, result_key, status FROM new"""
 
 
-@query(f"{_S}, {_NEW_SQL} SELECT {_COUNTED} FROM (SELECT sample_pk, source, reason_key, status FROM ev UNION ALL SELECT sample_pk, source, reason_key, status FROM new) GROUP BY ALL")
+@query(_appended_sql(""))
 def append_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = W.appended(_events(spark, sf_dir), _new(spark, sf_dir), samples(spark, sf_dir))
-    return out.groupBy("sample_pk", "source", "reason_key", "status").agg(F.count("*").alias("n"))
+    return W.appended(_events(spark, sf_dir), _new(spark, sf_dir), samples(spark, sf_dir))
 
 
-@query(f"{_S}, {_NEW_SQL} SELECT {_COUNTED} FROM (SELECT sample_pk, source, reason_key, status FROM ev WHERE status <> 'unconfirmed' UNION ALL SELECT sample_pk, source, reason_key, status FROM new) GROUP BY ALL")
+@query(_appended_sql("WHERE status <> 'unconfirmed'"))
 def replace_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = W.replaced(_events(spark, sf_dir), _new(spark, sf_dir), samples(spark, sf_dir))
-    return out.groupBy("sample_pk", "source", "reason_key", "status").agg(F.count("*").alias("n"))
+    return W.replaced(_events(spark, sf_dir), _new(spark, sf_dir), samples(spark, sf_dir))
 
 
 @query(f"""{_E}, c AS (SELECT id, 'operator_new' AS source, 'r9' AS reason_key FROM ev WHERE source = 'expert_b')
