@@ -179,10 +179,9 @@ EVENT_COLUMNS = ("line", "sn", "sample_id", "event_uuid", "timestamp", "source",
 def exported_records(samples: DataFrame, events: DataFrame, id_col: str = "id") -> dict[str, DataFrame]:
     """The sheets samples, label_events and sample_labels (samples with their latest confirmed event), as text with '' for what is missing."""
     key = ["line", "sn", "sample_id"]
-    named = events.join(samples.select(F.col(id_col).alias("sample_pk"), *key), "sample_pk")
+    named = events.drop(*key).join(samples.select(F.col(id_col).alias("sample_pk"), *key), "sample_pk")
     last = named.where("status = 'confirmed'").groupBy("sample_pk").agg(F.max(F.struct("timestamp", "id", F.struct(*(c for c in EVENT_COLUMNS[3:] if c in named.columns)).alias("e")))["e"].alias("e"))
-    both = samples.join(last, samples[id_col] == last["sample_pk"], "left")
-    both = both.select(*samples.columns, "e.*") if "e" in both.columns else both
+    both = samples.join(last.withColumnRenamed("sample_pk", "_pk"), F.col(id_col) == F.col("_pk"), "left").select(*samples.columns, "e.*")
 
     def sheet(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns))
