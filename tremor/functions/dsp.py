@@ -189,3 +189,69 @@ def robust_scale(x: np.ndarray, floor: float = 1e-9) -> float:
 def longest_true(x: np.ndarray) -> int:
     edges = np.flatnonzero(np.diff(np.concatenate([[0], x.astype(np.int8), [0]])))
     return int((edges[1::2] - edges[::2]).max(initial=0))
+
+
+#: Order and ripple in decibels of the low-pass before samples are left out, its edge as a share of the new limit.
+DECIMATION = (8, 0.05, 0.8)
+
+
+def decimated(x: np.ndarray, step: int) -> np.ndarray:
+    """Every step-th value after a zero-phase Chebyshev low-pass, ends mirrored about their last value."""
+    n = len(x)
+    if step < 2 or n < 2:
+        return x
+    order, ripple, edge = DECIMATION
+    pad = min(n - 1, 27 * step)
+    y = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    w = np.tan(np.pi * np.clip(np.fft.rfftfreq(len(y)), 0, 0.5 - 1e-9)) / np.tan(np.pi * edge / step / 2)
+    chebyshev = np.where(w <= 1, np.cos(order * np.arccos(np.minimum(w, 1))), np.cosh(order * np.arccosh(np.maximum(w, 1))))
+    with np.errstate(over="ignore"):
+        # Even orders begin at the ripple's depth; forward and backward squares the magnitude.
+        gain = 1 / (1 + (10 ** (ripple / 10) - 1) * chebyshev**2)
+    return np.fft.irfft(np.fft.rfft(y) * gain, len(y))[pad : pad + n][::step]
+
+
+def biased_kurtosis(x: np.ndarray) -> float:
+    """Fourth moment over the squared variance, 0 for fewer than four values or none that differ."""
+    if len(x) < 4:
+        return 0.0
+    d = x - x.mean()
+    m2 = float((d * d).mean())
+    return float((d**4).mean()) / (m2 * m2) if m2 > 0 else 0.0
+
+
+def prefix_moments(x: np.ndarray) -> np.ndarray:
+    """Sums of the first to fourth powers before each place, about the mean of all, from which any segment's moments follow."""
+    d = x - x.mean() if len(x) else x
+    out = np.zeros((4, len(x) + 1))
+    np.cumsum(np.stack([d, d**2, d**3, d**4]), axis=1, out=out[:, 1:])
+    return out
+
+
+def segment_kurtosis(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, biased: bool = True, fisher: bool = False) -> np.ndarray:
+    """Kurtosis of segments in constant time each; 0 for three values or fewer, NaN where none differ."""
+    n = (ends - starts).astype(float)
+    m1, e2, e3, e4 = (sums[:, ends] - sums[:, starts]) / np.maximum(n, 1)
+    m2 = e2 - m1 * m1
+    m4 = e4 - 4 * m1 * e3 + 6 * m1 * m1 * e2 - 3 * m1**4
+    # What is left of the sums of all where a segment's cancel.
+    noise = 1e-13 * sums[1, -1] / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        k = m4 / (m2 * m2)
+        if not biased:
+            k = ((n * n - 1) * k - 3 * (n - 1) ** 2) / ((n - 2) * (n - 3)) + 3
+    k = np.where(m2 <= noise, np.nan, k - 3 * fisher)
+    return np.where(n > 3, k, 0.0)
+
+
+def smoothed(x: np.ndarray, width: int) -> np.ndarray:
+    """Each value by the parabola that fits the odd number of values around it best; the ends by the parabolas of the first and last of them."""
+    if len(x) < width or width < 4:
+        return x
+    half = width // 2
+    t = np.arange(-half, half + 1)
+    base = np.stack([t**0, t, t**2], 1).astype(float)
+    fit = np.linalg.pinv(base)
+    out = np.convolve(x, fit[0][::-1], "same")
+    out[:half], out[-half:] = (base @ (fit @ x[:width]))[:half], (base @ (fit @ x[-width:]))[-half:]
+    return out

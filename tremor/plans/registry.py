@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import action_queries, catalog_queries, import_queries, label_queries, learning_queries, model_queries, recording_queries, signal_queries, split_queries, stat_queries, training_queries, write_queries  # noqa: E402, F401
+from . import action_queries, catalog_queries, import_queries, label_queries, learning_queries, model_queries, recording_queries, signal_queries, spectrum_queries, split_queries, stat_queries, training_queries, write_queries  # noqa: E402, F401
