@@ -10,11 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import settle
 
-#: Parts that a group's range is cut into, twice.
-PARTS = 1024
 #: Parts of the range of dice; a group's parts have a 4,096th of its rows each.
 DICE_PARTS = 4096
-_LARGEST = 1.7976931348623157e308
 
 
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -31,26 +28,17 @@ def _before(total: Column, by) -> Column:
 def below(levels: DataFrame, groups: Sequence[str], value: str, count: str) -> DataFrame:
     """levels with `below`, the sum of count over smaller values of the group, and `total`, over all of it.
 
-    levels has each value of a group once. The range of a group is cut into parts of equal width and each part again by its own
-    range; sums of whole parts come from windows over at most PARTS rows, and only the values of one part meet in one task.
-    Null is the least value, NaN the greatest."""
-    keys, out = list(groups), levels
-    for place in ("_part1", "_part2"):
-        x = F.col(value).cast("double")
-        finite = F.when(F.abs(x) <= _LARGEST, x)
-        out = joined(out, out.groupBy(*keys).agg(F.min(finite).alias("_low"), F.max(finite).alias("_high")), keys)
-        share = F.try_divide(x - F.col("_low"), F.col("_high") - F.col("_low"))
-        part = F.when(x >= F.col("_high"), PARTS - 1).when((share > 0) & ~F.isnan(share), F.least(F.floor(share * PARTS), F.lit(PARTS - 1)).cast("int")).otherwise(0)
-        out = out.withColumn(place, part).drop("_low", "_high")
-        keys.append(place)
-    inner = out.groupBy(*keys).agg(F.sum(count).alias("_s"))
-    outer = inner.groupBy(*keys[:-1]).agg(F.sum("_s").alias("_s"))
+    levels has each value of a group once. Rows are dealt by range of group and value, in parts that Spark cuts by a sample
+    of what there is, so that no distribution of values fills one part; a part's own sums are taken inside it, and those
+    of the parts before from a row for each group and part. Null is the least value, NaN the greatest."""
+    order = [*groups, value]
+    dealt = settle(levels.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    keys = [*groups, "_part"]
+    parts = dealt.groupBy(*keys).agg(F.sum(count).alias("_s"))
     whole = Window.partitionBy(*groups)
-    outer = outer.select(*keys[:-1], _before(F.col("_s"), whole.orderBy("_part1")).alias("_outer"), F.sum("_s").over(whole).alias("total"))
-    inner = inner.withColumn("_inner", _before(F.col("_s"), Window.partitionBy(*keys[:-1]).orderBy("_part2"))).drop("_s")
-    own = _before(F.col(count), Window.partitionBy(*keys).orderBy(value))
-    out = joined(out, joined(inner, outer, keys[:-1]), keys)
-    return out.withColumn("below", F.col("_outer") + F.col("_inner") + own).drop("_part1", "_part2", "_outer", "_inner")
+    parts = parts.select(*keys, _before(F.col("_s"), whole.orderBy("_part")).alias("_outer"), F.sum("_s").over(whole).alias("total"))
+    own = dealt.withColumn("_own", _before(F.col(count), Window.partitionBy(*keys).orderBy(value)))
+    return joined(own, parts, keys).withColumn("below", F.col("_outer") + F.col("_own")).drop("_part", "_outer", "_own")
 
 
 def drawn(rows: DataFrame, group: str, die: Column, tie: str, quota: Callable[[Column], Column]) -> DataFrame:
