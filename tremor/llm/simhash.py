@@ -13,8 +13,10 @@ instead of all pairs.
 changes five of these, so such texts may differ in many more than 3 bits, beyond what partitions can
 find at this length; classes of near fingerprints (over two words, which an edit changes less) are
 therefore only one kind of bucket, and equal MinHash values of the five-word shingles are others. In
-each bucket a text is compared with the least one, not with all, and linked only after the shingles of
-both have been compared exactly.
+each bucket every text is compared with the least one first. Where that leaves several classes, texts of
+different classes are compared with each other, in large buckets after a cut by a second MinHash value, and
+in what stays large with the least text of each class. Texts are linked only after their shingles have been
+compared exactly.
 
 Defined results. A null or empty text has fingerprint zero and is linked like any other. A row
 without an id gets its text's fingerprint and component but never names one. Repeated rows stay.
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .carry import carried, unpacked
+from .carry import some_of, wanted_ids
 from .common import bounded_batches, components, settle
 from .kernels import U64, Rolling, Words, distinct as distinct_of, lower, mix, pieces, xxh64
 
@@ -39,6 +41,8 @@ from .kernels import U64, Rolling, Words, distinct as distinct_of, lower, mix, p
 BUCKET = 128
 #: Fingerprints in one block of the block-wise comparison.
 BLOCK = 512
+#: Texts of a bucket that are all compared with each other, where their classes differ.
+FULL = 64
 
 
 def simhash(data: np.ndarray, offsets: np.ndarray, shingle: int = 3) -> np.ndarray:
@@ -254,6 +258,38 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.
     return np.concatenate(sets), ends
 
 
+def _mixed(dealt: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several classes, with their number k."""
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    return settle(dealt.join(sizes.select("key", "k"), "key"))
+
+
+def _alike(pairs: DataFrame, similarity: float, buckets: int) -> DataFrame:
+    """Pairs (name, other) whose sizes and MinHash values allow the similarity.
+
+    Two texts as similar as that agree in 0.8 of the values on average; in less than 3 of 8 once in 800 times."""
+    agree = F.size(F.expr("filter(zip_with(least, theirs, (a, b) -> a = b), x -> x)"))
+    near = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).where(agree * 3 >= buckets)
+    return settle(near.select("name", "other").distinct())
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs as links (u, v) whose texts share that part of their shingles, exactly."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in pieces(some_of(batches, shared)):
+            hashes, ends = shingle_sets(data, offsets, words)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["name", "shingles"])
+
+    wanted = settle(pairs.select("name").union(pairs.select("other")).distinct())
+    shared = wanted_ids(texts, wanted.withColumnRenamed("name", "doc_id"))
+    shingles = texts.mapInArrow(sets, "name long, shingles array<long>").groupBy("name").agg(F.first("shingles").alias("shingles")).join(wanted, "name", "left_semi")
+    both = pairs.join(shingles, "name").join(shingles.select(F.col("name").alias("other"), F.col("shingles").alias("theirs")), "other")
+    common = F.size(F.array_intersect("shingles", "theirs"))
+    linked = both.where(common >= similarity * (F.size("shingles") + F.size("theirs") - common))
+    return linked.select(F.col("name").alias("u"), F.col("other").alias("v"))
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 3, shingle: int = 2, buckets: int = 8) -> DataFrame:
     """(name, class) for each distinct text that is similar to another one: name is xxhash64 of the text, class the least name.
 
@@ -281,21 +317,27 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance:
     own = F.concat(own, F.when(F.col("root").isNotNull(), F.array(F.struct(F.lit(-1).alias("r"), F.col("root").alias("value")))).otherwise(F.array()))
     dealt = sketches.join(near, "fp", "left").select("name", "n", "least", F.explode(own).alias("key"))
     first = dealt.groupBy("key").agg(F.min(F.struct("name", "n", "least")).alias("one"), F.count("*").alias("k")).where("k > 1")
-    # Two texts as similar as that agree in 0.8 of the MinHash values on average; in less than 3 of 8 once in 800 times, and then in another bucket.
-    agree = F.size(F.expr("filter(zip_with(least, one.least, (a, b) -> a = b), x -> x)"))
-    pairs = dealt.join(first, "key").where("name <> one.name").where(F.least("n", "one.n") >= similarity * F.greatest("n", "one.n")).where(agree * 3 >= buckets)
-    pairs = settle(pairs.select("name", F.col("one.name").alias("other")).distinct())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in pieces(unpacked(batches)):
-            hashes, ends = shingle_sets(data, offsets, words)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["name", "shingles"])
-
-    wanted = settle(pairs.select("name").union(pairs.select("other")).distinct())
-    packed = carried(texts, wanted.withColumnRenamed("name", "doc_id")).groupBy("doc_id").agg(F.first("packed").alias("packed"))
-    shingles = packed.join(wanted.withColumnRenamed("name", "doc_id"), "doc_id", "left_semi").mapInArrow(sets, "name long, shingles array<long>")
-    both = pairs.join(shingles, "name").join(shingles.select(F.col("name").alias("other"), F.col("shingles").alias("theirs")), "other")
-    shared = F.size(F.array_intersect("shingles", "theirs"))
-    linked = both.where(shared >= similarity * (F.size("shingles") + F.size("theirs") - shared))
-    roots = components(linked.select(F.col("name").alias("u"), F.col("other").alias("v")))
+    shared = settle(dealt.join(first, "key"))
+    pairs = shared.where("name <> one.name").select("name", "n", "least", F.col("one.name").alias("other"), F.col("one.n").alias("m"), F.col("one.least").alias("theirs"))
+    linked = settle(_verified(texts, _alike(pairs, similarity, buckets), similarity, words))
+    # What a bucket's least text does not link is compared with each other, where classes differ.
+    roots = components(linked)
+    of = roots.select("node", "root").union(roots.select("root", "root")).distinct()
+    classed = shared.join(of, F.col("name") == F.col("node"), "left").select("name", "n", "least", "key", F.coalesce("root", "name").alias("class"))
+    mixed = _mixed(classed)
+    # Large buckets are cut by the other MinHash values first.
+    fine = mixed.where(F.col("k") > FULL).select("name", "n", "least", "class", "key", F.posexplode("least").alias("r", "value"))
+    fine = _mixed(fine.select("name", "n", "least", "class", F.struct("key", "r", "value").alias("key")))
+    more = None
+    for some in (mixed, fine):
+        own = some.where(F.col("k") <= FULL)
+        other = own.select("key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("least").alias("theirs"), F.col("class").alias("there"))
+        found = own.join(other, "key").where("name < other AND class <> there").select("name", "n", "least", "other", "m", "theirs")
+        more = found if more is None else more.union(found)
+    # In what stays large, each class's least text is compared with the bucket's.
+    still = fine.where(F.col("k") > FULL).groupBy("key", "class").agg(F.min(F.struct("name", "n", "least")).alias("a"))
+    heads = still.groupBy("key").agg(F.min("a").alias("b"))
+    found = still.join(heads, "key").where("a.name <> b.name").select("a.*", F.col("b.name").alias("other"), F.col("b.n").alias("m"), F.col("b.least").alias("theirs"))
+    linked = linked.union(_verified(texts, _alike(more.union(found), similarity, buckets), similarity, words))
+    roots = components(linked)
     return roots.select("node", "root").union(roots.select("root", "root")).distinct().toDF("name", "class")
