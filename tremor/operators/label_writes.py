@@ -16,6 +16,8 @@ from .ranks import numbered
 
 #: What an event's status can be.
 STATUSES = ("confirmed", "unconfirmed", "pending", "rejected")
+#: Fixed value: a label that has no name.
+NO_NAME = "未填写"
 
 
 def checked(new: DataFrame, samples: DataFrame, keys: Sequence[str] = ("line", "sn", "direction")) -> DataFrame:
@@ -81,6 +83,13 @@ def history(events: DataFrame, keys: Sequence[str] = ("sample_pk",)) -> DataFram
     return events.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("timestamp", "id", "source", "reason_key", "status"))).alias("history"))
 
 
+def reason_preview(events: DataFrame, top: int = 20) -> DataFrame:
+    """The most frequent labels of confirmed events, by reason's name, else its key, else the result's name."""
+    name = F.coalesce(*(F.when(F.col(c) != "", F.col(c)) for c in ("reason_name", "reason_key", "result_name") if c in events.columns), F.lit(NO_NAME))
+    counts = events.where("status = 'confirmed'").groupBy(name.alias("label")).agg(F.count("*").alias("count"))
+    return counts.orderBy(F.desc("count"), "label").limit(top)
+
+
 def preview(events: DataFrame) -> DataFrame:
     """Events, samples, first and last day by source and status."""
     return events.groupBy("source", "status").agg(F.count("*").alias("events"), F.count_distinct("sample_pk").alias("samples"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))

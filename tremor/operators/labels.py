@@ -104,9 +104,12 @@ def imported(stored: DataFrame, batch: DataFrame, columns: Sequence[str]) -> Dat
     return stored.unionByName(batch.join(stored, condition, "left_anti"))
 
 
-def with_fallback(samples: DataFrame, labels: DataFrame, keys: Sequence[str], loose: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Labels by all keys, and where these miss, by the loose keys among labels without a line."""
-    exact = labels.where("line IS NOT NULL").select(*keys, F.struct(*values).alias("exact"))
-    rest = labels.where("line IS NULL").select(*loose, F.struct(*values).alias("rest"))
+def with_fallback(samples: DataFrame, labels: DataFrame, keys: Sequence[str], loose: Sequence[str], values: Sequence[str], order: str | None = None) -> DataFrame:
+    """Labels by all keys, and where these miss, by the loose keys among labels without a line.
+
+    Of several labels of a key the last in the order counts, without one the greatest, so no sample is repeated."""
+    last = lambda name: (F.max(F.struct(*values)) if order is None else F.max_by(F.struct(*values), F.struct(order, F.struct(*values)))).alias(name)
+    exact = labels.where("line IS NOT NULL").groupBy(*keys).agg(last("exact"))
+    rest = labels.where("line IS NULL").groupBy(*loose).agg(last("rest"))
     joined = samples.join(exact, list(keys), "left").join(rest, list(loose), "left")
     return joined.select(*samples.columns, *(F.coalesce(F.col(f"exact.{v}"), F.col(f"rest.{v}")).alias(v) for v in values))

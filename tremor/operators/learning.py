@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_text
-from .ranks import below, drawn
+from .ranks import below, drawn, numbered
 
 
 def dice(*key: Column) -> Column:
@@ -30,6 +30,22 @@ def rebalanced(rows: DataFrame, label: str, target: int, key: str, seed: int = 0
     return placed.withColumn("copies", copies.cast("int")).where("copies > 0").drop("_in", "_all")
 
 
+def rebalanced_to(rows: DataFrame, label: str, targets: Mapping[object, int], key: str, seed: int = 0, oversample: bool = True) -> DataFrame:
+    """rows of the labels in targets with `copies`: all of a label whose target is below 0, so many of least dice of one that has more, and of one that has fewer all, and more of them by draws with replacement where that is allowed.
+
+    Rows with 0 copies are what is left."""
+    numbers = F.create_map(*(F.lit(x) for k, n in targets.items() for x in (str(k), n)))
+    kept = rows.where(F.col(label).isin(list(targets))).withColumn("_die", dice(F.col(key), F.lit(seed)))
+    ranked = numbered(kept, [label, "_die", key], "_at")
+    sizes = ranked.groupBy(label).agg(F.min("_at").alias("_first"), F.count("*").alias("_n")).withColumn("_target", numbers[F.col(label).cast("string")])
+    draws = sizes.where((F.col("_target") > F.col("_n")) & F.lit(oversample)).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_target") - F.col("_n"), F.lit(1)))))
+    place = F.col("_first") + F.floor(dice(F.col(label), F.col("_draw"), F.lit(seed)) * F.col("_n"))
+    more = draws.groupBy(place.alias("_at")).agg(F.count("*").alias("_more"))
+    out = ranked.join(sizes, label).join(more, "_at", "left")
+    inside = (F.col("_target") < 0) | (F.col("_at") - F.col("_first") < F.col("_target"))
+    return out.select(*rows.columns, (F.when(inside, 1).otherwise(0) + F.coalesce("_more", F.lit(0))).cast("int").alias("copies"))
+
+
 def group_split(rows: DataFrame, group: str, test: float = 0.1, validation: float = 0.125, seed: int = 0) -> DataFrame:
     """train, validation or test for whole groups, by the group's dice; validation is a share of what test leaves."""
     d = dice(F.col(group), F.lit(seed))
@@ -111,14 +127,32 @@ def feature_quality(rows: DataFrame, values: Sequence[str]) -> DataFrame:
 
 
 def correlated_pairs(rows: DataFrame, values: Sequence[str], least: float) -> DataFrame:
-    """Pairs of columns whose correlation is at least that strong, from one pass over the rows that have all columns.
-
-    Only the matrix of correlations, columns by columns, is gathered; pairs with a constant column have none."""
-    columns = [F.col(v).cast("double").alias(v) for v in values]
-    vectors = VectorAssembler(inputCols=list(values), outputCol="_all", handleInvalid="skip").transform(rows.select(*columns))
-    matrix = Correlation.corr(vectors, "_all").head()[0].toArray()
-    pairs = [(a, b, float(matrix[i, j])) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and abs(matrix[i, j]) >= least]
-    return rows.sparkSession.createDataFrame(pairs, "a string, b string, r double")
+    """Pairs of columns (a, b, r) whose correlation is at least that strong, each from the rows that have both columns.
+
+    A task adds up products of its rows, about the columns' means, and sends one row per pair; pairs with fewer than two
+    rows, or a column that is constant in them, have none."""
+    number = lambda c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double"))
+    names, plain = list(values), rows.select(*(number(v).alias(f"_{k}") for k, v in enumerate(values)))
+    means = plain.agg(*(F.avg(c) for c in plain.columns)).first()
+    middle = np.array([0.0 if m is None else m for m in means])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns], 1) if batch.num_rows else np.zeros((0, len(names)))
+            there = np.isfinite(x)
+            x, m = np.where(there, x - middle, 0.0), there.astype(float)
+            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        a, b = np.triu_indices(len(names), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(s[a, b]) for s in sums)], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = plain.mapInArrow(products, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    total = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy"))).where("n >= 2")
+    spread = lambda a: F.col(a + a) - F.col(a) * F.col(a) / F.col("n")
+    tiny = 1e-13 * F.greatest("xx", "yy")
+    r = F.when((spread("x") > tiny) & (spread("y") > tiny), (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / F.sqrt(spread("x") * spread("y")))
+    name = lambda c: F.element_at(F.array(*(F.lit(v) for v in names)), F.col(c).cast("int") + 1)
+    return total.select(name("i").alias("a"), name("j").alias("b"), r.alias("r")).where(F.abs("r") >= least)
 
 
 def issue(truth: Column, predicted: Column, ok: int = 0) -> Column:

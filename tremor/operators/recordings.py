@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: How names of recordings end, plain and packed.
 PLAIN, PACKED = ".tdms", ".tdms.zst"
@@ -109,9 +112,15 @@ def rewritten(manifest: DataFrame, rows: DataFrame, root: str = "", lines: Seque
     return manifest.where(~inside).unionByName(rows)
 
 
+@F.pandas_udf(StringType())
+def composed(names: pd.Series) -> pd.Series:
+    """Names in Unicode's composed form, in which an accent and its letter are one character."""
+    return names.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
 def same_names(files: DataFrame) -> DataFrame:
-    """Names that several files have, with their paths in order, the largest groups first."""
-    found = files.groupBy(file_name(F.col("path")).alias("name")).agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
+    """Names that several files have, in composed form, with their paths in order, the largest groups first."""
+    found = files.groupBy(composed(file_name(F.col("path"))).alias("name")).agg(F.count("*").alias("files"), F.array_join(F.array_sort(F.collect_list("path")), "|").alias("paths"))
     return found.where("files > 1").orderBy(F.desc("files"), "name")
 
 

@@ -14,12 +14,13 @@ def newest(rows: DataFrame, keys: Sequence[str], created: str, tie: str) -> Data
     return rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def content_duplicates(files: DataFrame, key: str, content: str) -> DataFrame:
-    """Files of equal content: hashed only where another file has the same size; the least key is kept."""
+def content_duplicates(files: DataFrame, key: str, content: str, modified: str | None = None) -> DataFrame:
+    """Files of equal content: hashed only where another file has the same size; the oldest by `modified` is kept, of equally old ones the one of least key."""
+    kept = F.min(key) if modified is None else F.min(F.struct(F.col(modified).isNull(), modified, key))[key]
     sized = files.withColumn("size", F.octet_length(content))
     several = sized.groupBy("size").agg(F.count("*").alias("_k")).where("_k > 1")
     hashed = sized.join(several, "size").withColumn("sha1", F.sha1(F.col(content).cast("binary")))
-    groups = hashed.groupBy("sha1", "size").agg(F.count("*").alias("files"), F.min(key).alias("kept"))
+    groups = hashed.groupBy("sha1", "size").agg(F.count("*").alias("files"), kept.alias("kept"))
     return groups.where("files > 1")
 
 

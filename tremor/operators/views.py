@@ -66,12 +66,19 @@ def inconsistent_samples(events: DataFrame, key: str, order: str) -> DataFrame:
     return found.where(F.size("p") > 1).select(key, F.size("p").alias("variants"), F.array_join("p", "; ").alias("labels"), *(F.col(f"l.{c}").alias(f"latest_{c}") for c in ("result_key", "reason_key", "timestamp", "source")))
 
 
-def with_latest_run(projects: DataFrame, runs: DataFrame, project: str, created: str, run: str, values: Sequence[str]) -> DataFrame:
-    """Projects with values of their newest run, the greater run id on ties; null for none."""
-    newest = runs.groupBy(project).agg(F.max(F.struct(created, run, *(v for v in values if v not in (created, run)))).alias("_r"))
+def with_latest_run(projects: DataFrame, runs: DataFrame, project: str, created: str, run: str, values: Sequence[str], succeeded: Column | None = None) -> DataFrame:
+    """Projects with values of their newest run, of those that succeeded where that is asked for, the greater run id on ties; null for none."""
+    newest = (runs if succeeded is None else runs.where(succeeded)).groupBy(project).agg(F.max(F.struct(created, run, *(v for v in values if v not in (created, run)))).alias("_r"))
     return projects.join(newest.select(project, *(F.col(f"_r.{v}").alias(f"latest_{v}") for v in values)), project, "left")
 
 
+def current_results(projects: DataFrame, runs: DataFrame, results: DataFrame, project: str, created: str, run: str, succeeded: Column) -> DataFrame:
+    """Projects and whether their results are those of the newest run, and that run succeeded; results: project and run."""
+    newest = runs.groupBy(project).agg(F.max(F.struct(created, run, succeeded.alias("ok"))).alias("_r"))
+    found = projects.join(newest, project, "left").join(results.select(project, F.col(run).alias("_have")), project, "left")
+    return found.select(*projects.columns, F.coalesce((F.col("_have") == F.col(f"_r.{run}")) & F.col("_r.ok"), F.lit(False)).alias("current"))
+
+
 def misaligned(samples: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that keep samples and features from being trained on: repeated on a side, or not as often on both."""
     both = samples.select(*keys, F.lit(1).alias("_s"), F.lit(0).alias("_f")).unionByName(features.select(*keys, F.lit(0).alias("_s"), F.lit(1).alias("_f")))
@@ -94,12 +101,13 @@ def rate_probe(samples: DataFrame) -> DataFrame:
     return found.withColumn("complete", (F.col("total") > 0) & (F.col("missing") == 0))
 
 
-def review_rows(errors: DataFrame, order: str, top: int) -> DataFrame:
+def review_rows(errors: DataFrame, order: str, top: int, by_line: bool = False) -> DataFrame:
     """All wrong rows of the `top` serials that occur first, with the serial's place; rows without a serial are left out.
 
-    errors: sn, score_gap, confidence, true_probability, sample_id and a column of order. Sort by place, then the widest gap."""
+    Serials of different lines are different ones where by_line says so. errors: sn, score_gap, confidence, true_probability, sample_id and a column of order. Sort by place, then the widest gap."""
     sn = norm_text(F.col("sn").cast("string"))
-    named = errors.withColumn("_sn", sn).where("_sn IS NOT NULL")
+    own = F.struct(F.coalesce(norm_text(F.col("line").cast("string")), F.lit("")).alias("line"), sn.alias("sn")) if by_line else sn
+    named = errors.withColumn("_sn", own).where(sn.isNotNull())
     first = named.groupBy("_sn").agg(F.min(order).alias("_first")).orderBy("_first", "_sn").limit(top)
     place = first.select("_sn", F.row_number().over(Window.orderBy("_first", "_sn")).alias("place"))
     out = named.join(F.broadcast(place), "_sn").drop("_sn")

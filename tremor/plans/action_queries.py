@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import label_writes as W
+from ..operators import learning as M
 from ..operators import locations as P
 from ..operators import overviews as O
 from ..operators import reasons as R
+from ..operators import views as V
 from ..sources import store as S
 from ..sources.proxies import EVENTS_SQL, SAMPLES_SQL, label_events, samples, table
 from ..sources.shared import shared_path
@@ -149,3 +152,39 @@ def available_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_MANIFEST} SELECT DISTINCT 'line' AS kind, line AS value FROM m WHERE line IS NOT NULL UNION ALL SELECT DISTINCT 'reference', line || '/' || reference FROM m WHERE line IS NOT NULL AND reference <> '' UNION ALL SELECT DISTINCT 'folder', '/' FROM m WHERE relative_path = '/abs'")
 def training_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.options(_manifest(spark, sf_dir))
+
+
+@query(f"{_E} SELECT reason_key AS label, count(*) AS count FROM e WHERE status = 'confirmed' GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 3")
+def reason_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.reason_preview(_events(spark, sf_dir), 3)
+
+
+_RUNS = "r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders), s AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders WHERE o_orderstatus = 'F')"
+
+
+@query(f"WITH {_RUNS} SELECT c_custkey, s.o_orderkey AS latest_o_orderkey FROM customer LEFT JOIN s ON s.o_custkey = c_custkey AND s.k = 1")
+def latest_successful_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return V.with_latest_run(table(spark, sf_dir, "customer").select("c_custkey"), runs, "c_custkey", "o_orderdate", "o_orderkey", ["o_orderkey"], F.col("o_orderstatus") == "F")
+
+
+@query(f"WITH {_RUNS} SELECT c_custkey, coalesce(s.o_orderkey = r.o_orderkey, false) AS current FROM customer LEFT JOIN r ON r.o_custkey = c_custkey AND r.k = 1 LEFT JOIN s ON s.o_custkey = c_custkey AND s.k = 1")
+def result_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the results of a customer's last finished order are those of the newest one."""
+    runs = table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    done = F.col("o_orderstatus") == "F"
+    results = V.with_latest_run(table(spark, sf_dir, "customer").select("c_custkey"), runs, "c_custkey", "o_orderdate", "o_orderkey", ["o_orderkey"], done)
+    return V.current_results(table(spark, sf_dir, "customer").select("c_custkey"), runs, results.withColumnRenamed("latest_o_orderkey", "o_orderkey"), "c_custkey", "o_orderdate", "o_orderkey", done)
+
+
+def _dice_sql(*parts: str) -> str:
+    return f"(CAST('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+@query(f"""WITH g AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {_dice_sql("vec_id", "3")}, vec_id) - 1 AS at, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE label IN (0, 1, 2)),
+t AS (SELECT label, any_value(n) AS n, CASE label WHEN 0 THEN -1 WHEN 1 THEN 20 ELSE 90 END AS target FROM g GROUP BY label),
+d AS (SELECT label, CAST(floor({_dice_sql("label", "draw", "3")} * n) AS BIGINT) AS at, count(*) AS more FROM (SELECT *, unnest(range(1, greatest(target - n, 0) + 1)) AS draw FROM t) GROUP BY ALL)
+SELECT vec_id, label, CAST(CASE WHEN t.target < 0 OR g.at < t.target THEN 1 ELSE 0 END + coalesce(more, 0) AS INTEGER) AS copies FROM g JOIN t USING (label) LEFT JOIN d ON d.label = g.label AND d.at = g.at""")
+def rebalance_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One label whole, one cut down, one filled up by draws with replacement."""
+    return M.rebalanced_to(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label", {0: -1, 1: 20, 2: 90}, "vec_id", 3)
