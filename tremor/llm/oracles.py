@@ -123,3 +123,29 @@ c AS (SELECT a AS name, min(b) AS root FROM r GROUP BY a)
 SELECT s.doc_id, CAST(len(s.grams) AS BIGINT) AS n_shingles, coalesce(c.root, k.name, s.doc_id) AS component_id
 FROM s LEFT JOIN k ON k.grams = list_sort(s.grams) LEFT JOIN c ON c.name = k.name
 """
+
+#: Windows as joined words; a word is covered if a repeated window begins at most twelve words before it.
+OP7 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+f AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+b AS (SELECT doc_id, p AS start FROM s JOIN f USING (g) WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+c AS (SELECT x.doc_id, p, word, coalesce(p - max(start) OVER (PARTITION BY x.doc_id ORDER BY p) <= 12, false) AS gone FROM x LEFT JOIN b ON b.doc_id = x.doc_id AND start = p),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""
+
+#: Every window of 200 bytes by the MD5 of its hexadecimal digits.
+OP9 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+l AS (SELECT doc_id, c, substr(h, 2 * c + 1, 10398) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 5000)) AS c FROM d)),
+s AS (SELECT doc_id, c + p AS p, md5(substr(part, 2 * p + 1, 400)) AS g FROM (SELECT doc_id, c, part, unnest(range(0, least(5000, len(part) // 2 - 199))) AS p FROM l WHERE len(part) >= 400)),
+f AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+b AS (SELECT doc_id, p FROM s SEMI JOIN f USING (g)),
+n AS (SELECT doc_id, p, coalesce(p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) > 200, true) AS begins FROM b),
+i AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS z FROM (SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM n) GROUP BY doc_id, run),
+g AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM i),
+k AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+"""

@@ -91,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_pareto_mixing": oracles.OP6,
+    "op7_fingerprint_index": oracles.OP7,
+    "op9_maximal_repeats": oracles.OP9,
     "op11_source_audit": oracles.OP11,
     "op12_jaccard_join": oracles.OP12,
     "op13_prefix_trie": oracles.OP13,
