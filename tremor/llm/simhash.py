@@ -14,9 +14,9 @@ changes five of these, so such texts may differ in many more than 3 bits, beyond
 find at this length; classes of near fingerprints (over two words, which an edit changes less) are
 therefore only one kind of bucket, and equal MinHash values of the five-word shingles are others. In
 each bucket every text is compared with the least one first. Where that leaves several classes, texts of
-different classes are compared with each other, in large buckets after a cut by a second MinHash value, and
-in what stays large with the least text of each class. Texts are linked only after their shingles have been
-compared exactly.
+different classes are compared with each other, in buckets of more than FULL texts the least one of each class
+with that of the largest class. Texts are linked only after their shingles have been compared exactly. So a
+pair can be missed that shares no small bucket.
 
 Defined results. A null or empty text has fingerprint zero and is linked like any other. A row
 without an id gets its text's fingerprint and component but never names one. Repeated rows stay.
@@ -325,19 +325,13 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance:
     of = roots.select("node", "root").union(roots.select("root", "root")).distinct()
     classed = shared.join(of, F.col("name") == F.col("node"), "left").select("name", "n", "least", "key", F.coalesce("root", "name").alias("class"))
     mixed = _mixed(classed)
-    # Large buckets are cut by the other MinHash values first.
-    fine = mixed.where(F.col("k") > FULL).select("name", "n", "least", "class", "key", F.posexplode("least").alias("r", "value"))
-    fine = _mixed(fine.select("name", "n", "least", "class", F.struct("key", "r", "value").alias("key")))
-    more = None
-    for some in (mixed, fine):
-        own = some.where(F.col("k") <= FULL)
-        other = own.select("key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("least").alias("theirs"), F.col("class").alias("there"))
-        found = own.join(other, "key").where("name < other AND class <> there").select("name", "n", "least", "other", "m", "theirs")
-        more = found if more is None else more.union(found)
-    # In what stays large, each class's least text is compared with the bucket's.
-    still = fine.where(F.col("k") > FULL).groupBy("key", "class").agg(F.min(F.struct("name", "n", "least")).alias("a"))
-    heads = still.groupBy("key").agg(F.min("a").alias("b"))
-    found = still.join(heads, "key").where("a.name <> b.name").select("a.*", F.col("b.name").alias("other"), F.col("b.n").alias("m"), F.col("b.least").alias("theirs"))
+    own = mixed.where(F.col("k") <= FULL)
+    other = own.select("key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("least").alias("theirs"), F.col("class").alias("there"))
+    more = own.join(other, "key").where("name < other AND class <> there").select("name", "n", "least", "other", "m", "theirs")
+    # In large buckets the least texts of the classes are compared with the least one of the largest class.
+    heads = mixed.where(F.col("k") > FULL).groupBy("key", "class").agg(F.min(F.struct("name", "n", "least")).alias("a"), F.count("*").alias("members"))
+    main = heads.groupBy("key").agg(F.max_by("a", F.struct("members", "class")).alias("b"))
+    found = heads.join(main, "key").where("a.name <> b.name").select("a.*", F.col("b.name").alias("other"), F.col("b.n").alias("m"), F.col("b.least").alias("theirs"))
     linked = linked.union(_verified(texts, _alike(more.union(found), similarity, buckets), similarity, words))
     roots = components(linked)
     return roots.select("node", "root").union(roots.select("root", "root")).distinct().toDF("name", "class")
