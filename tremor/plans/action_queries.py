@@ -137,10 +137,9 @@ def database_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.distribution(manifest, labels, "n").select("line", "reference", "files", "labels", "labeled_serials")
 
 
-@query(f"""{_E} SELECT sn, count(*) AS rows, count(DISTINCT result_key) AS results, string_agg(DISTINCT result_key, '|' ORDER BY result_key) AS result_keys FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY sample_pk ORDER BY timestamp DESC, id DESC) = 1) GROUP BY line, sn HAVING count(DISTINCT result_key) > 1""")
+@query(f"""{_E} SELECT sn, count(*) AS rows, count(DISTINCT result_key) AS results, string_agg(DISTINCT result_key, '|' ORDER BY result_key) AS result_keys FROM e GROUP BY line, sn HAVING count(DISTINCT result_key) > 1""")
 def mixed_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = O.mixed_channels(O.latest_labels(_events(spark, sf_dir), confirmed=False), ["line", "sn"])
-    return found.select("sn", "rows", "results", "result_keys")
+    return O.mixed_channels(_events(spark, sf_dir), ["line", "sn"]).select("sn", "rows", "results", "result_keys")
 
 
 @query(f"{_E} SELECT CAST(substr(reason_key, 2) AS INTEGER) AS reason_id, CASE substr(reason_key, 2) WHEN '0' THEN 'clean' ELSE substr(reason_key, 2) END AS reason_name, count(*) AS reason_count FROM e GROUP BY ALL")
