@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 EMPTY = ("", "nan", "none", "null")
 #: Names of source categories.
 SOURCE_ALIASES = {"expert": "expert", "专家": "expert", "operator": "operator", "员工": "operator", "人工": "operator", "model": "model", "ai": "model"}
-#: Order of trust of the categories; others have OTHER_RANK.
+#: Order of trust of the categories; others have OTHER_RANK.
 SOURCE_RANKS = {"expert": 0, "operator": 1, "model": 2}
 OTHER_RANK = 99
 

@@ -28,6 +28,7 @@ IGNORED = r"[\s_\-—,，。.:：;；、/\\()（）\[\]{}]+"
 #: Forms of times in sheets.
 TIME_FORMS = ("yyyy-M-d'T'H:m:s", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d H:m", "yyyy/M/d H:m", "yyyy-M-d", "yyyy/M/d")
 ISO = "yyyy-MM-dd'T'HH:mm:ss"
+#: Columns of annotators in sheets.
 FIELDS = ("operator", "up", "up_type", "down", "down_type", "result")
 
 

@@ -155,6 +155,9 @@ def correlated_pairs(rows: DataFrame, values: Sequence[str], least: float) -> Da
     return total.select(name("i").alias("a"), name("j").alias("b"), r.alias("r")).where(F.abs("r") >= least)
 
 
+# Names of mistakes and priorities, limits, and the points of the score, in the three functions below.
+
+
 def issue(truth: Column, predicted: Column, ok: int = 0) -> Column:
     """What kind of mistake a wrong decision is."""
     good, called = truth == ok, predicted == ok
