@@ -1,5 +1,7 @@
 """Rules that earlier versions left out."""
 
+import functools
+import operator
 import unicodedata
 
 import numpy as np
@@ -61,3 +63,21 @@ def test_serials_by_line_in_reviews(spark):
     errors = spark.createDataFrame([(*r, 0.5, 0.1, str(r[0])) for r in rows], "n int, line string, sn string, score_gap double, confidence double, true_probability double, sample_id string")
     assert [(r["n"], r["place"]) for r in V.review_rows(errors, "n", 2, by_line=True).collect()] == [(0, 1), (1, 2)]
     assert [(r["n"], r["place"]) for r in V.review_rows(errors, "n", 1).collect()] == [(1, 1), (0, 1), (3, 1)]
+
+
+#: Added from left to right, these six make 0.8999999999999999 of a mean of 0.9.
+_SIX = [0.4 + d * 6 for d in (0.09, 0.1, 0.09, 0.09, 0.09, 0.04)]
+
+
+def _candidates(spark, values):
+    rows = [(1, k, 0, 1, v, 0.5, "Expert", "seen") for k, v in enumerate(values)]
+    return M.audit(spark.createDataFrame(rows, "sample int, seed int, truth int, predicted int, confidence double, true_probability double, source string, note string").coalesce(1), ["sample"])
+
+
+def test_scores_at_a_limit_do_not_depend_on_the_order_of_rows(spark):
+    added = lambda v: functools.reduce(operator.add, v)
+    assert added(_SIX) / 6 < 0.9 <= added(sorted(_SIX)) / 6
+    found = [_candidates(spark, v).first() for v in (_SIX, sorted(_SIX), _SIX[::-1])]
+    assert {(r["mean_confidence"], r["score"]) for r in found} == {(0.9, 65 + 40 + 10)}
+    mean = lambda v: spark.createDataFrame([(x,) for x in v], "x double").agg(M.exact_mean(F.col("x")).alias("m")).first()["m"]
+    assert mean([]) is None and mean([None, 0.5]) == 0.5 and np.isnan(mean([0.5, float("nan")])) and mean([1e30, 3e30]) == 2e30

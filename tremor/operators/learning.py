@@ -180,12 +180,20 @@ def suspect_score(kind: Column, seeds: Column, confidence: Column, true_probabil
     return base + F.least(F.greatest(seeds - 1, F.lit(0)) * 10, F.lit(40)) + bonus
 
 
+def exact_mean(value: Column) -> Column:
+    """The mean of numbers, the same in whatever order they are added: sums of doubles differ in their last bit, which decides at a limit.
+
+    Decimals of 18 places hold numbers below 10^10; a group with a NaN or a larger one has the mean of its doubles."""
+    decimal = value.try_cast("decimal(28,18)")
+    return F.when(F.count(decimal) == F.count(value), F.avg(decimal).cast("double")).otherwise(F.avg(value))
+
+
 def audit(errors: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Wrong decisions of several seeds by sample, true and predicted class, with what they suggest.
 
     errors: keys, seed, truth, predicted, confidence, true_probability, source, note."""
     found = errors.where("truth <> predicted").groupBy(*keys, "truth", "predicted").agg(
-        F.count_distinct("seed").alias("seeds"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence"), F.min("true_probability").alias("min_true"), F.min("source").alias("source"), F.min("note").alias("note")
+        F.count_distinct("seed").alias("seeds"), exact_mean(F.col("confidence")).alias("mean_confidence"), F.max("confidence").alias("max_confidence"), F.min("true_probability").alias("min_true"), F.min("source").alias("source"), F.min("note").alias("note")
     )
     found = found.withColumn("issue", issue(F.col("truth"), F.col("predicted")))
     found = found.withColumn("priority", priority(F.col("issue"), F.col("seeds"), F.col("mean_confidence")))
