@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tremor.operators import labels as L
 from tremor.operators import learning as M
+from tremor.operators import prediction as P
 from tremor.operators import recordings as C
 from tremor.operators import registry as G
 from tremor.operators import views as V
@@ -81,3 +82,9 @@ def test_scores_at_a_limit_do_not_depend_on_the_order_of_rows(spark):
     assert {(r["mean_confidence"], r["score"]) for r in found} == {(0.9, 65 + 40 + 10)}
     mean = lambda v: spark.createDataFrame([(x,) for x in v], "x double").agg(M.exact_mean(F.col("x")).alias("m")).first()["m"]
     assert mean([]) is None and mean([None, 0.5]) == 0.5 and np.isnan(mean([0.5, float("nan")])) and mean([1e30, 3e30]) == 2e30
+
+
+def test_scores_of_serials_do_not_depend_on_the_order_of_rows(spark):
+    for values in (_SIX, sorted(_SIX)):
+        found = P.suspicious_serials(_candidates(spark, values).withColumn("at", F.col("truth") * 10 + F.col("predicted")), ["sample"], "at").first()
+        assert found["max_suspect_score"] == 115 and found["mean_suspect_score"] == 115
