@@ -122,3 +122,22 @@ def test_similar_finds_what_an_exact_join_links(spark):
     needed, missed = classes.agg(F.sum(F.col("n") - 1), F.sum(F.col("k") - 1)).first()
     assert needed >= 40 and missed <= 0.05 * needed
     assert found.groupBy("class").agg(F.count_distinct("component_id").alias("k")).where("k > 1").isEmpty()
+
+
+def test_large_buckets_lose_no_links(spark, monkeypatch):
+    """Pairs of alike texts whose pair with the least text of the bucket is not: all lie in one bucket of fingerprints."""
+    monkeypatch.setattr(S, "FULL", 4)
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(60)]
+    texts = []
+    for _ in range(12):
+        own = common + [f"w{rng.randrange(10**9)}" for _ in range(40)]
+        texts += [" ".join(own), " ".join([*own[:-2], "edited", "here"])]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    # One bucket holds all texts, as if their fingerprints were near.
+    one = lambda distinct, distance=3: distinct.agg(S.F.min("rep").alias("v")).join(distinct.select(S.F.col("rep").alias("u"))).select("u", "v")
+    monkeypatch.setattr(S, "links", one)
+    found = {r["name"]: r["class"] for r in S.similar(rows, buckets=1).collect()}
+    name = {r["text"]: r["name"] for r in rows.withColumn("name", S.F.xxhash64("text")).collect()}
+    assert len(found) == 24 and len(set(found.values())) == 12
+    assert all(found[name[a]] == found[name[b]] for a, b in zip(texts[::2], texts[1::2], strict=True))

@@ -56,23 +56,30 @@ def fold_of(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
+#: Edges of one partition while components are looked for.
+EDGES = 1 << 14
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (u, v); root is the component's least node.
 
     Alternates large-star and small-star steps, each a group-wise minimum and a join, so a node of
     any degree is handled by ordinary aggregation; stops when the star forest no longer changes.
+    A round's tables have as many partitions as their edges fill, as each shuffle costs files for each.
     """
     pairs = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
+    n, seen = pairs.count(), None
     for _ in range(rounds):
+        parts = 2 + n // EDGES
+        pairs = pairs.coalesce(parts)
         both = pairs.union(pairs.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
-        pairs = settle(small.distinct())
+        pairs = settle(small.coalesce(parts).distinct().coalesce(parts))
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first())
         if state == seen:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+        n, seen = state[0], state
     raise RuntimeError(f"components are not complete after {rounds} rounds")

@@ -14,9 +14,10 @@ changes five of these, so such texts may differ in many more than 3 bits, beyond
 find at this length; classes of near fingerprints (over two words, which an edit changes less) are
 therefore only one kind of bucket, and equal MinHash values of the five-word shingles are others. In
 each bucket every text is compared with the least one first. Where that leaves several classes, texts of
-different classes are compared with each other, in buckets of more than FULL texts the least one of each class
-with that of the largest class. Texts are linked only after their shingles have been compared exactly. So a
-pair can be missed that shares no small bucket.
+different classes are compared with each other, whatever the bucket's size: in buckets of more than FULL texts the
+least one of each class with that of the largest class, and where classes still differ then, all of them as
+`jaccard_join.compared` does it, exactly. Texts are linked only after their shingles have been compared exactly.
+So a pair can be missed only if it shares no bucket, or in small ones if less than 3 of 8 MinHash values agree.
 
 Defined results. A null or empty text has fingerprint zero and is linked like any other. A row
 without an id gets its text's fingerprint and component but never names one. Repeated rows stay.
@@ -34,8 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .carry import some_of, wanted_ids
-from .common import bounded_batches, components, settle
-from .kernels import U64, Rolling, Words, distinct as distinct_of, lower, mix, pieces, xxh64
+from .common import bounded_batches, components, settle, stored
+from .jaccard_join import compared
+from .kernels import U64, Words, lower, mix, pieces, shingle_sets, xxh64
 
 #: Members of a bucket up to which its pairs are joined as they are.
 BUCKET = 128
@@ -244,20 +246,6 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     return prints.join(classes, "fp").select("doc_id", text, "component_id")
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct hashes of each text's shingles, and where each text's begin; a shorter text is one shingle."""
-    found = Words(lower(data), offsets)
-    every = Rolling(found.hashes())
-    spans = np.where(found.counts >= words, found.counts - words + 1, np.minimum(found.counts, 1))
-    doc = np.repeat(np.arange(len(spans)), spans)
-    start = found.first[doc] + np.arange(len(doc)) - (np.cumsum(spans) - spans)[doc]
-    hashes = mix(every.spans(start, start + np.minimum(found.counts[doc], words)))
-    sets = [distinct_of(x) for x in np.split(hashes, np.cumsum(spans)[:-1])]
-    ends = np.zeros(len(sets) + 1, np.int64)
-    np.cumsum([len(x) for x in sets], out=ends[1:])
-    return np.concatenate(sets), ends
-
-
 def _mixed(dealt: DataFrame) -> DataFrame:
     """The rows of buckets that hold several classes, with their number k."""
     sizes = dealt.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
@@ -273,23 +261,38 @@ def _alike(pairs: DataFrame, similarity: float, buckets: int) -> DataFrame:
     return settle(near.select("name", "other").distinct())
 
 
-def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The pairs as links (u, v) whose texts share that part of their shingles, exactly."""
+def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(name, shingles) of the wanted texts; wanted: name."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(some_of(batches, shared)):
             hashes, ends = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["name", "shingles"])
 
-    wanted = settle(pairs.select("name").union(pairs.select("other")).distinct())
+    wanted = settle(wanted)
     shared = wanted_ids(texts, wanted.withColumnRenamed("name", "doc_id"))
-    shingles = texts.mapInArrow(sets, "name long, shingles array<long>").groupBy("name").agg(F.first("shingles").alias("shingles")).join(wanted, "name", "left_semi")
+    return texts.mapInArrow(sets, "name long, shingles array<long>").groupBy("name").agg(F.first("shingles").alias("shingles")).join(wanted, "name", "left_semi")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The pairs as links (u, v) whose texts share that part of their shingles, exactly."""
+    shingles = _sets(texts, pairs.select("name").union(pairs.select("other")).distinct(), words)
     both = pairs.join(shingles, "name").join(shingles.select(F.col("name").alias("other"), F.col("shingles").alias("theirs")), "other")
     common = F.size(F.array_intersect("shingles", "theirs"))
     linked = both.where(common >= similarity * (F.size("shingles") + F.size("theirs") - common))
     return linked.select(F.col("name").alias("u"), F.col("other").alias("v"))
 
 
+def _classes(linked: DataFrame) -> DataFrame:
+    """(name, class) of every text that has a link (u, v)."""
+    roots = components(linked)
+    return roots.select("node", "root").union(roots.select("root", "root")).distinct().toDF("name", "class")
+
+
+def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes, "name", "left").withColumn("class", F.coalesce("class", "name"))
+
+
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 3, shingle: int = 2, buckets: int = 8) -> DataFrame:
     """(name, class) for each distinct text that is similar to another one: name is xxhash64 of the text, class the least name.
 
@@ -321,17 +324,23 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance:
     pairs = shared.where("name <> one.name").select("name", "n", "least", F.col("one.name").alias("other"), F.col("one.n").alias("m"), F.col("one.least").alias("theirs"))
     linked = settle(_verified(texts, _alike(pairs, similarity, buckets), similarity, words))
     # What a bucket's least text does not link is compared with each other, where classes differ.
-    roots = components(linked)
-    of = roots.select("node", "root").union(roots.select("root", "root")).distinct()
-    classed = shared.join(of, F.col("name") == F.col("node"), "left").select("name", "n", "least", "key", F.coalesce("root", "name").alias("class"))
-    mixed = _mixed(classed)
+    mixed = _mixed(_classed(shared, _classes(linked)).select("name", "n", "least", "key", "class"))
     own = mixed.where(F.col("k") <= FULL)
     other = own.select("key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("least").alias("theirs"), F.col("class").alias("there"))
     more = own.join(other, "key").where("name < other AND class <> there").select("name", "n", "least", "other", "m", "theirs")
-    # In large buckets the least texts of the classes are compared with the least one of the largest class.
+    # In large buckets the least texts of the classes are compared with the least one of the largest class first.
     heads = mixed.where(F.col("k") > FULL).groupBy("key", "class").agg(F.min(F.struct("name", "n", "least")).alias("a"), F.count("*").alias("members"))
     main = heads.groupBy("key").agg(F.max_by("a", F.struct("members", "class")).alias("b"))
     found = heads.join(main, "key").where("a.name <> b.name").select("a.*", F.col("b.name").alias("other"), F.col("b.n").alias("m"), F.col("b.least").alias("theirs"))
     linked = linked.union(_verified(texts, _alike(more.union(found), similarity, buckets), similarity, words))
-    roots = components(linked)
-    return roots.select("node", "root").union(roots.select("root", "root")).distinct().toDF("name", "class")
+    classes = settle(_classes(linked))
+    # Then all texts of a large bucket whose classes still differ are compared, around pivots and in blocks; of buckets with equal members one.
+    left = _mixed(_classed(mixed.where(F.col("k") > FULL).drop("class", "k"), classes))
+    if left.isEmpty():
+        return classes
+    members = left.groupBy("key").agg(F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("y"))
+    one = members.groupBy("x", "y").agg(F.min("key").alias("key")).select("key")
+    cells = settle(left.join(one, "key").select(F.xxhash64("key").alias("cell"), "name", F.col("n").cast("long").alias("n"), F.lit(True).alias("own")))
+    sets = stored(_sets(texts, cells.select("name").distinct(), words).withColumnRenamed("shingles", "grams"), "shingles")
+    classes = compared(cells, sets, classes, round(100 * similarity))
+    return classes.union(classes.select("class", "class")).distinct()
