@@ -88,3 +88,17 @@ def test_scores_of_serials_do_not_depend_on_the_order_of_rows(spark):
     for values in (_SIX, sorted(_SIX)):
         found = P.suspicious_serials(_candidates(spark, values).withColumn("at", F.col("truth") * 10 + F.col("predicted")), ["sample"], "at").first()
         assert found["max_suspect_score"] == 115 and found["mean_suspect_score"] == 115
+
+
+def test_files_of_short_serials_are_reduced_before_the_join(spark, monkeypatch):
+    monkeypatch.setattr(C, "FILES", 20)
+    paths = [f"L{k % 3}/part_{k}.v{k % 2}.tdms" for k in range(90)] + ["L0/1", "L9/.1"]
+    serials = ["1", "12", "part_7", "", "none", None]
+    found = C.by_name_part(spark.createDataFrame([(s,) for s in serials], "sn string"), spark.createDataFrame([(p,) for p in paths], "path string"))
+    name = lambda p: p.split("/")[-1]
+    stem = lambda p: name(p).rsplit(".", 1)[0] or name(p)
+    expected = {s: min((len(name(p)), p) for p in paths if s in stem(p))[1] for s in ("1", "12", "part_7")}
+    assert {r["sn"]: r["path"] for r in found.collect()} == expected
+    # A serial that most names hold comes to the join once, not with all its files.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftSemi") < plan.index("Aggregate [sn") < plan.index("Generate explode")

@@ -83,17 +83,24 @@ def one_per_serial(files: DataFrame, registered: DataFrame) -> DataFrame:
     return kept.select("sn", F.when(upgraded, F.col("k.packed")).otherwise(F.col("k.path")).alias("relative_path"), upgraded.alias("upgraded"), (F.col("n") - 1 - upgraded.cast("int")).alias("skipped"))
 
 
+#: Files whose names' parts one task sorts.
+FILES = 10_000
+
+
 def by_name_part(serials: DataFrame, files: DataFrame) -> DataFrame:
     """For each sn the file whose stem contains it; of several the shortest name, then the first path.
 
-    Parts of stems that are as long as some serial are joined by equality, so no pair that does not match is looked at."""
+    Parts of stems that are as long as some serial are joined by equality, so no pair that does not match is looked at.
+    Each task keeps the best file of every part of its FILES files or so, so a short serial that most stems hold is no task's alone."""
     wanted = serials.select("sn").where("sn <> ''").distinct()
     lengths = wanted.agg(F.collect_set(F.length("sn")).alias("_lengths"))
     stem = F.regexp_replace(file_name(F.col("path")), r"(?<=.)\.[^.]+$", "")
     places = lambda n: F.sequence(F.lit(1), F.length("_stem") - n + 1)
     of_length = lambda n: F.when(F.length("_stem") >= n, F.transform(places(n), lambda p: F.substring(F.col("_stem"), p, n))).otherwise(F.array().cast("array<string>"))
-    parts = files.select("path", stem.alias("_stem")).join(F.broadcast(lengths)).select("path", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", of_length)))).alias("sn"))
-    return parts.join(wanted, "sn").groupBy("sn").agg(F.min(F.struct(F.length(file_name(F.col("path"))).alias("n"), "path"))["path"].alias("path"))
+    dealt = files.select("path").repartition(1 + files.count() // FILES, "path")
+    parts = dealt.select("path", stem.alias("_stem")).join(F.broadcast(lengths)).select("path", F.explode(F.array_distinct(F.flatten(F.transform("_lengths", of_length)))).alias("sn"))
+    best = parts.groupBy("sn").agg(F.min(F.struct(F.length(file_name(F.col("path"))).alias("n"), "path"))["path"].alias("path"))
+    return best.join(wanted, "sn", "left_semi")
 
 
 def pruned(samples: DataFrame, events: DataFrame, present: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
