@@ -265,7 +265,7 @@ def _sized(cells: DataFrame, classes: DataFrame) -> DataFrame:
     return settle(cells.join(sizes.where("a <> b AND some").select("cell", "k"), "cell").select("cell", "k", "name", "n", "own", "before", "class"))
 
 
-def compared(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _split(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The classes after all members of the cells have been compared; each round's cells are smaller, or compared in blocks."""
     edges, round = classes.select(F.col("name").alias("u"), F.col("class").alias("v")), 0
     cells = _sized(cells.withColumn("before", F.lit(None).cast("long")), classes)
@@ -292,6 +292,10 @@ def compared(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int
     return classes
 
 
+#: The same for other modules.
+compared = _split
+
+
 def join_classes(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row: its set's size, and the least doc_id that links reach.
 
@@ -317,7 +321,7 @@ def join_classes(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str
     sets = stored(_sets(docs, settle(wanted.join(sets_of, "name").select("name", "rep", *key)), words), "sets")
     classes = _classes_of(_linked(pairs, sets, percent))
     cells = many.where(F.col("name") != F.col("least.name")).select(F.col("region").alias("cell"), "name", "n", F.lit(True).alias("own"))
-    classes = compared(cells, sets, classes, percent)
+    classes = _split(cells, sets, classes, percent)
     named = sets_of.select(*key, "rep", "name").join(classes, "name", "left").withColumn("class", F.coalesce("class", "name"))
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
     named = settle(named.join(least, "class").select(*key, "component_id"))
