@@ -141,3 +141,18 @@ def test_large_buckets_lose_no_links(spark, monkeypatch):
     name = {r["text"]: r["name"] for r in rows.withColumn("name", S.F.xxhash64("text")).collect()}
     assert len(found) == 24 and len(set(found.values())) == 12
     assert all(found[name[a]] == found[name[b]] for a, b in zip(texts[::2], texts[1::2], strict=True))
+
+
+def test_links_do_not_depend_on_buckets(spark):
+    """Pairs just above the similarity, of which one MinHash value would bring only some together."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(40):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(100)]
+        rows += [" ".join(own), " ".join([*own[:45], "edited", *own[46:90]])]
+    shingles = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(map(shingles, rows[::2]), map(shingles, rows[1::2]), strict=True))
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    name = {r["text"]: r["name"] for r in docs.withColumn("name", F.xxhash64("text")).collect()}
+    found = {r["name"]: r["class"] for r in S.similar(docs, buckets=1).collect()}
+    assert len(set(found.values())) == 40 and all(found[name[a]] == found[name[b]] for a, b in zip(rows[::2], rows[1::2], strict=True))

@@ -35,6 +35,21 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of one partition of a settled table.
+ROWS = 1 << 15
+
+
+def filling(rows: int) -> int:
+    """Partitions for so many rows of a few numbers."""
+    return 2 + rows // ROWS
+
+
+def filled(df: DataFrame) -> DataFrame:
+    """df settled, in as many partitions as its rows fill, as a later shuffle costs files for each."""
+    df = settle(df)
+    return df.coalesce(filling(df.count()))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

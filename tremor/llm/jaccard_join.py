@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .carry import some_of, wanted_ids
-from .common import bounded_batches, components, settle, stored
+from .common import bounded_batches, components, filled, filling, settle, stored
 from .kernels import U64, mix, pieces, repeated, shingle_sets
 
 #: Members of a region whose pairs are all compared.
@@ -90,9 +90,12 @@ def _keys(hashes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0].view(np.int64), out[1].view(np.int64)
 
 
-def sketches(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, k1, k2, prefix, counts): the size and name of each document's set, its pivots of one n-gram, its counts by class."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _names(k1: np.ndarray, k2: np.ndarray, salt: int) -> np.ndarray:
+    return mix(k1.view(U64) + mix(k2.view(U64) + U64(salt))).view(np.int64)
+
+
+def sketches(docs: DataFrame, words: int, salt: int = 0) -> DataFrame:
+    """(doc_id, n, k1, k2, name, counts): the size and names of each document's set, its counts by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in pieces(batches):
@@ -100,16 +103,31 @@ def sketches(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> D
             n = np.diff(ends)
             doc = np.repeat(np.arange(len(n)), n)
             k1, k2 = _keys(hashes, ends)
-            order = np.lexsort((hashes, shared.value[(hashes >> U64(64 - CELL_BITS)).astype(np.int64)], doc))
-            first = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
-            prefix = hashes[order][np.repeat(ends[:-1], first) + repeated(first)]
             counts = np.bincount(doc * CLASSES + (hashes >> U64(56)).astype(np.int64), minlength=CLASSES * len(n))
             counts = np.minimum(counts, 255).astype(np.uint8).tobytes()
-            at = pa.array(np.append(0, np.cumsum(first)).astype(np.int32))
             classes = pa.array([counts[k : k + CLASSES] for k in range(0, len(counts), CLASSES)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(at, pa.array(prefix.view(np.int64))), classes], ["doc_id", "n", "k1", "k2", "prefix", "counts"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), *map(pa.array, (k1, k2, _names(k1, k2, salt))), classes], ["doc_id", "n", "k1", "k2", "name", "counts"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, name long, counts binary")
+
+
+def _pivots(docs: DataFrame, levels: np.ndarray, words: int, percent: int, salt: int) -> DataFrame:
+    """(region, name, n): the sets' pivots of one n-gram; equal sets that are read together count once."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in pieces(batches):
+            hashes, ends = shingle_sets(data, offsets, words)
+            n = np.diff(ends)
+            name = _names(*_keys(hashes, ends), salt)
+            once = np.zeros(len(n), bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            order = np.lexsort((hashes, shared.value[(hashes >> U64(64 - CELL_BITS)).astype(np.int64)], np.repeat(np.arange(len(n)), n)))
+            first = np.where(once & (n > 0), n - -(-percent * n // 100) + 1, 0)
+            prefix = hashes[order][np.repeat(ends[:-1], first) + repeated(first)]
+            yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(np.repeat(name, first)), pa.array(np.repeat(n, first))], ["region", "name", "n"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>, counts binary")
+    return docs.select("text").mapInArrow(run, "region long, name long, n long")
 
 
 def _sizes_fit(n: Column, m: Column, percent: int) -> Column:
@@ -133,18 +151,17 @@ def _by_counts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(other, "v").mapInArrow(run, "u long, v long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(name, grams): the sets of the wanted classes, read from the text of one of their documents; wanted: name, rep, k1, k2, n."""
+def _sets(docs: DataFrame, wanted: DataFrame, words: int, salt: int) -> DataFrame:
+    """(name, grams): the wanted sets, read from the text of one of their documents; wanted: name, rep."""
 
     shared = wanted_ids(docs, wanted.select(F.col("rep").alias("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in pieces(some_of(batches, shared)):
             hashes, ends = shingle_sets(data, offsets, words)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, _keys(hashes, ends)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["k1", "k2", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(_names(*_keys(hashes, ends), salt)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["name", "grams"])
 
-    found = docs.mapInArrow(run, "k1 long, k2 long, n long, grams array<long>").join(wanted.select("name", "k1", "k2", "n"), ["k1", "k2", "n"])
-    return found.groupBy("name").agg(F.first("grams").alias("grams"))
+    return docs.mapInArrow(run, "name long, grams array<long>").join(wanted.select("name"), "name", "left_semi").groupBy("name").agg(F.first("grams").alias("grams"))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -258,11 +275,16 @@ def _classes_of(edges: DataFrame) -> DataFrame:
     return components(edges).select(F.col("node").alias("name"), F.col("root").alias("class"))
 
 
+def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    return rows.join(classes, "name", "left").withColumn("class", F.coalesce("class", "name"))
+
+
 def _sized(cells: DataFrame, classes: DataFrame) -> DataFrame:
     """The cells of several classes that hold members of their own, with their sizes; cells: cell, name, n, own, before."""
-    cells = cells.join(classes, "name", "left").withColumn("class", F.coalesce("class", "name"))
+    parts = filling(cells.count())
+    cells = _classed(cells, classes).coalesce(parts)
     sizes = cells.groupBy("cell").agg(F.count("*").alias("k"), F.min("class").alias("a"), F.max("class").alias("b"), F.max("own").alias("some"))
-    return settle(cells.join(sizes.where("a <> b AND some").select("cell", "k"), "cell").select("cell", "k", "name", "n", "own", "before", "class"))
+    return filled(cells.join(sizes.where("a <> b AND some").select("cell", "k"), "cell").select("cell", "k", "name", "n", "own", "before", "class"))
 
 
 def _split(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -275,7 +297,7 @@ def _split(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int)
         large, round = cells.where(whole), round + 1
         following = None
         if not large.isEmpty():
-            near = settle(_to_pivots(large, sets, percent, round))
+            near = filled(_to_pivots(large, sets, percent, round))
             found = found.union(near.select(F.col("name").alias("u"), F.explode("links").alias("v")))
             # Where members go to most of the cells, the pivots do not part them.
             parted = near.groupBy("cell").agg((F.sum(F.size("targets")) <= F.count("*") * (PIVOTS / 2)).alias("parted"))
@@ -284,7 +306,7 @@ def _split(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int)
             child = child.select(F.xxhash64("cell", "to", F.lit(round)).alias("cell"), "name", "n", (F.col("own") & F.col("to").eqNullSafe(F.col("nearest"))).alias("own"), F.col("k").alias("before"))
             same = near.where("NOT parted").select("cell", "name", "n", "own", F.lit(0).cast("long").alias("before"))
             following = child.union(same)
-        edges = settle(edges.union(found).distinct())
+        edges = filled(edges.union(found).distinct())
         classes = _classes_of(edges)
         if following is None:
             break
@@ -292,8 +314,55 @@ def _split(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int)
     return classes
 
 
-#: The same for other modules.
-compared = _split
+def classes_of(docs: DataFrame, percent: int, words: int, known: DataFrame | None = None, few: int = SMALL) -> DataFrame:
+    """(doc_id, n, component_id, alone), one row per input row: its set's size, the least doc_id that links reach, and whether that is no other one.
+
+    docs: doc_id, text. known: links (u, v) by doc_id that were found before; sets of one class are not compared again. few: members of a region whose pairs are all joined."""
+    for salt in range(8):
+        sketch = stored(sketches(docs, words, salt), "sketches")
+        sets_of = settle(sketch.where("n > 0").groupBy("k1", "k2", "n", "name").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")))
+        distinct_sets = sets_of.count()
+        sets_of = sets_of.coalesce(filling(distinct_sets))
+        if distinct_sets == sets_of.select("name").distinct().count():
+            break
+    else:
+        raise RuntimeError("sets cannot be told apart by 64 bits")
+    edges = None
+    if known is not None:
+        by_doc = sketch.where("n > 0").select(F.col("doc_id"), "name")
+        ends = (by_doc.select(F.col("doc_id").alias(c), F.col("name").alias(to)) for c, to in (("u", "a"), ("v", "b")))
+        edges = known.join(next(ends), "u").join(next(ends), "v").select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct()
+        edges = filled(edges)
+    # Regions of single n-grams; of those with equal members, one. What stands in one set only goes no further than its first shuffle.
+    by = Window.partitionBy("region")
+    tokens = _pivots(docs, frequencies(docs, words), words, percent, salt).withColumns({"lo": F.min("name").over(by), "hi": F.max("name").over(by)})
+    tokens = stored(tokens.where("lo <> hi").select("region", "name", "n").distinct(), "regions")
+    parts = filling(tokens.count())
+    tokens = tokens.coalesce(parts).withColumn("class", F.col("name")) if edges is None else _classed(tokens.coalesce(parts), _classes_of(edges)).coalesce(parts)
+    regions = tokens.groupBy("region").agg(
+        F.count("*").alias("k"), F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("y"), F.min(F.struct("name", "n", "class")).alias("least"), F.min("class").alias("a"), F.max("class").alias("b")
+    )
+    regions = filled(regions.where("a <> b").coalesce(parts).groupBy("k", "x", "y", "least").agg(F.min("region").alias("region")))
+    members = filled(tokens.join(regions.select("region", "k", "least"), "region"))
+    some, many = members.where(F.col("k") <= few), members.where(F.col("k") > few)
+    other = some.select("region", F.col("name").alias("v"), F.col("n").alias("m"), F.col("class").alias("there"))
+    pairs = some.join(other, "region").where((F.col("name") < F.col("v")) & (F.col("class") != F.col("there")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select(F.col("name").alias("u"), "v")
+    stars = many.where(F.col("class") != F.col("least.class")).where(_sizes_fit(F.col("n"), F.col("least.n"), percent)).select(F.col("least.name").alias("u"), F.col("name").alias("v"))
+    pairs = filled(pairs.union(stars).distinct())
+    compared_sets = filled(pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct())
+    counts = sketch.select("name", "n", "counts").where("n > 0").join(compared_sets, "name", "left_semi").groupBy("name", "n").agg(F.first("counts").alias("counts"))
+    pairs = filled(_by_counts(pairs, stored(counts, "counts"), percent))
+    wanted = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).union(many.select("name")).distinct()
+    sets = stored(_sets(docs, filled(sets_of.select("name", "rep").join(wanted, "name", "left_semi")), words, salt), "sets")
+    links = _linked(pairs, sets, percent)
+    classes = filled(_classes_of(links if edges is None else links.union(edges)))
+    cells = many.where(F.col("name") != F.col("least.name")).select(F.col("region").alias("cell"), "name", "n", F.lit(True).alias("own"))
+    classes = _split(cells, sets, classes, percent)
+    named = filled(_classed(sets_of.select("name", "rep", "last"), classes))
+    least = named.groupBy("class").agg(F.min("rep").alias("component_id"), (F.coalesce(F.min("rep") == F.max("last"), F.lit(False)) & (F.count("*") == 1)).alias("alone"))
+    named = named.join(least, "class").select("name", "component_id", "alone")
+    out = sketch.select("doc_id", "n", F.when(F.col("n") > 0, F.col("name")).alias("name")).join(named, "name", "left")
+    return out.select("doc_id", "n", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("alone", F.lit(True)).alias("alone"))
 
 
 def join_classes(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,27 +372,4 @@ def join_classes(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str
     lower case; a text of fewer words is one n-gram."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = stored(sketches(docs, frequencies(docs, words), words, percent), "sketches")
-    key = ["k1", "k2", "n"]
-    distinct_sets = sketch.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("counts").alias("counts"))
-    sets_of = settle(distinct_sets.select(*key, "rep", "prefix", "counts", F.monotonically_increasing_id().alias("name")))
-    # Regions of single n-grams; of those with equal members, one.
-    tokens = sets_of.select("name", "n", F.explode("prefix").alias("region"))
-    regions = tokens.groupBy("region").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("y"), F.min(F.struct("name", "n")).alias("least"))
-    regions = settle(regions.where("k > 1").groupBy("k", "x", "y", "least").agg(F.min("region").alias("region")))
-    members = settle(tokens.join(regions.select("region", "k", "least"), "region"))
-    few, many = members.where(F.col("k") <= SMALL), members.where(F.col("k") > SMALL)
-    other = few.select("region", F.col("name").alias("v"), F.col("n").alias("m"))
-    pairs = few.join(other, "region").where((F.col("name") < F.col("v")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select(F.col("name").alias("u"), "v")
-    stars = many.where(F.col("name") != F.col("least.name")).where(_sizes_fit(F.col("n"), F.col("least.n"), percent)).select(F.col("least.name").alias("u"), F.col("name").alias("v"))
-    pairs = settle(_by_counts(pairs.union(stars).distinct(), sets_of, percent))
-    wanted = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).union(many.select("name")).distinct()
-    sets = stored(_sets(docs, settle(wanted.join(sets_of, "name").select("name", "rep", *key)), words), "sets")
-    classes = _classes_of(_linked(pairs, sets, percent))
-    cells = many.where(F.col("name") != F.col("least.name")).select(F.col("region").alias("cell"), "name", "n", F.lit(True).alias("own"))
-    classes = _split(cells, sets, classes, percent)
-    named = sets_of.select(*key, "rep", "name").join(classes, "name", "left").withColumn("class", F.coalesce("class", "name"))
-    least = named.groupBy("class").agg(F.min("rep").alias("component_id"))
-    named = settle(named.join(least, "class").select(*key, "component_id"))
-    out = sketch.select("doc_id", *key).join(named, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return classes_of(docs, percent, words).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -9,15 +9,11 @@ are estimated from all fingerprints. Buckets that stay large are cut by a second
 their other bits, and what is still large is compared block by block, emitting a forest of links
 instead of all pairs.
 
-`similar` goes on from there to texts that share 0.8 or more of their five-word shingles. An edited word
-changes five of these, so such texts may differ in many more than 3 bits, beyond what partitions can
-find at this length; classes of near fingerprints (over two words, which an edit changes less) are
-therefore only one kind of bucket, and equal MinHash values of the five-word shingles are others. In
-each bucket every text is compared with the least one first. Where that leaves several classes, texts of
-different classes are compared with each other, whatever the bucket's size: in buckets of more than FULL texts the
-least one of each class with that of the largest class, and where classes still differ then, all of them as
-`jaccard_join.compared` does it, exactly. Texts are linked only after their shingles have been compared exactly.
-So a pair can be missed only if it shares no bucket, or in small ones if less than 3 of 8 MinHash values agree.
+`similar` goes on from there to texts that share 0.8 or more of their five-word shingles. Every text of a class of near
+fingerprints (over two words, which an edit changes less) is compared with the least one of its class, exactly, where enough
+MinHash values agree. An edited word changes five shingles, so such texts may differ in many more than 3 bits, beyond what
+partitions can find at this length: `jaccard_join.classes_of` therefore goes on from these classes and compares across them
+all that can still be linked, whatever a bucket's size. No pair is missed.
 
 Defined results. A null or empty text has fingerprint zero and is linked like any other. A row
 without an id gets its text's fingerprint and component but never names one. Repeated rows stay.
@@ -35,15 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .carry import some_of, wanted_ids
-from .common import bounded_batches, components, settle, stored
-from .jaccard_join import compared
+from .common import bounded_batches, components, filled, settle
+from .jaccard_join import classes_of
 from .kernels import U64, Words, lower, mix, pieces, shingle_sets, xxh64
 
 #: Members of a bucket up to which its pairs are joined as they are.
 BUCKET = 128
 #: Fingerprints in one block of the block-wise comparison.
 BLOCK = 512
-#: Texts of a bucket that are all compared with each other, where their classes differ.
+#: Texts of a region of the exact join whose pairs are joined as they are, where their classes differ.
 FULL = 64
 
 
@@ -246,19 +242,13 @@ def near_duplicates(docs: DataFrame, distance: int = 3, id_col: str = "doc_id",
     return prints.join(classes, "fp").select("doc_id", text, "component_id")
 
 
-def _mixed(dealt: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several classes, with their number k."""
-    sizes = dealt.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
-    return settle(dealt.join(sizes.select("key", "k"), "key"))
-
-
 def _alike(pairs: DataFrame, similarity: float, buckets: int) -> DataFrame:
     """Pairs (name, other) whose sizes and MinHash values allow the similarity.
 
     Two texts as similar as that agree in 0.8 of the values on average; in less than 3 of 8 once in 800 times."""
     agree = F.size(F.expr("filter(zip_with(least, theirs, (a, b) -> a = b), x -> x)"))
     near = pairs.where(F.least("n", "m") >= similarity * F.greatest("n", "m")).where(agree * 3 >= buckets)
-    return settle(near.select("name", "other").distinct())
+    return filled(near.select("name", "other").distinct())
 
 
 def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -269,7 +259,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             hashes, ends = shingle_sets(data, offsets, words)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["name", "shingles"])
 
-    wanted = settle(wanted)
+    wanted = filled(wanted)
     shared = wanted_ids(texts, wanted.withColumnRenamed("name", "doc_id"))
     return texts.mapInArrow(sets, "name long, shingles array<long>").groupBy("name").agg(F.first("shingles").alias("shingles")).join(wanted, "name", "left_semi")
 
@@ -283,16 +273,6 @@ def _verified(texts: DataFrame, pairs: DataFrame, similarity: float, words: int)
     return linked.select(F.col("name").alias("u"), F.col("other").alias("v"))
 
 
-def _classes(linked: DataFrame) -> DataFrame:
-    """(name, class) of every text that has a link (u, v)."""
-    roots = components(linked)
-    return roots.select("node", "root").union(roots.select("root", "root")).distinct().toDF("name", "class")
-
-
-def _classed(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    return rows.join(classes, "name", "left").withColumn("class", F.coalesce("class", "name"))
-
-
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance: int = 3, shingle: int = 2, buckets: int = 8) -> DataFrame:
     """(name, class) for each distinct text that is similar to another one: name is xxhash64 of the text, class the least name.
 
@@ -312,35 +292,14 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, distance:
             names = rows.column("doc_id").take(pa.array(some))
             yield pa.RecordBatch.from_arrays([names, pa.array(fp), pa.array(size), pa.ListArray.from_arrays(at, pa.array(least.reshape(-1).view(np.int64)))], ["name", "fp", "n", "least"])
 
-    sketches = settle(texts.mapInArrow(sketch, "name long, fp long, n int, least array<long>").groupBy("name").agg(*(F.first(c).alias(c) for c in ("fp", "n", "least"))))
-    prints = settle(sketches.groupBy("fp").agg(F.count("*").alias("k")))
+    sketches = filled(texts.mapInArrow(sketch, "name long, fp long, n int, least array<long>").groupBy("name").agg(*(F.first(c).alias(c) for c in ("fp", "n", "least"))))
+    prints = filled(sketches.groupBy("fp").agg(F.count("*").alias("k")))
     roots = components(links(prints.select("fp", F.col("fp").alias("rep")), distance))
-    near = prints.join(roots, F.col("fp") == F.col("node"), "left").where("k > 1 OR root IS NOT NULL").select("fp", F.coalesce("root", "fp").alias("root"))
-    own = F.expr("transform(least, (x, r) -> struct(r, x AS value))")
-    own = F.concat(own, F.when(F.col("root").isNotNull(), F.array(F.struct(F.lit(-1).alias("r"), F.col("root").alias("value")))).otherwise(F.array()))
-    dealt = sketches.join(near, "fp", "left").select("name", "n", "least", F.explode(own).alias("key"))
-    first = dealt.groupBy("key").agg(F.min(F.struct("name", "n", "least")).alias("one"), F.count("*").alias("k")).where("k > 1")
-    shared = settle(dealt.join(first, "key"))
-    pairs = shared.where("name <> one.name").select("name", "n", "least", F.col("one.name").alias("other"), F.col("one.n").alias("m"), F.col("one.least").alias("theirs"))
-    linked = settle(_verified(texts, _alike(pairs, similarity, buckets), similarity, words))
-    # What a bucket's least text does not link is compared with each other, where classes differ.
-    mixed = _mixed(_classed(shared, _classes(linked)).select("name", "n", "least", "key", "class"))
-    own = mixed.where(F.col("k") <= FULL)
-    other = own.select("key", F.col("name").alias("other"), F.col("n").alias("m"), F.col("least").alias("theirs"), F.col("class").alias("there"))
-    more = own.join(other, "key").where("name < other AND class <> there").select("name", "n", "least", "other", "m", "theirs")
-    # In large buckets the least texts of the classes are compared with the least one of the largest class first.
-    heads = mixed.where(F.col("k") > FULL).groupBy("key", "class").agg(F.min(F.struct("name", "n", "least")).alias("a"), F.count("*").alias("members"))
-    main = heads.groupBy("key").agg(F.max_by("a", F.struct("members", "class")).alias("b"))
-    found = heads.join(main, "key").where("a.name <> b.name").select("a.*", F.col("b.name").alias("other"), F.col("b.n").alias("m"), F.col("b.least").alias("theirs"))
-    linked = linked.union(_verified(texts, _alike(more.union(found), similarity, buckets), similarity, words))
-    classes = settle(_classes(linked))
-    # Then all texts of a large bucket whose classes still differ are compared, around pivots and in blocks; of buckets with equal members one.
-    left = _mixed(_classed(mixed.where(F.col("k") > FULL).drop("class", "k"), classes))
-    if left.isEmpty():
-        return classes
-    members = left.groupBy("key").agg(F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("y"))
-    one = members.groupBy("x", "y").agg(F.min("key").alias("key")).select("key")
-    cells = settle(left.join(one, "key").select(F.xxhash64("key").alias("cell"), "name", F.col("n").cast("long").alias("n"), F.lit(True).alias("own")))
-    sets = stored(_sets(texts, cells.select("name").distinct(), words).withColumnRenamed("shingles", "grams"), "shingles")
-    classes = compared(cells, sets, classes, round(100 * similarity))
-    return classes.union(classes.select("class", "class")).distinct()
+    near = prints.join(roots, F.col("fp") == F.col("node"), "left").where("k > 1 OR root IS NOT NULL").select("fp", F.coalesce("root", "fp").alias("key"))
+    dealt = filled(sketches.join(near, "fp").select("name", "n", "least", "key"))
+    first = dealt.groupBy("key").agg(F.min(F.struct("name", "n", "least")).alias("one"))
+    pairs = dealt.join(first, "key").where("name <> one.name").select("name", "n", "least", F.col("one.name").alias("other"), F.col("one.n").alias("m"), F.col("one.least").alias("theirs"))
+    known = filled(_verified(texts, _alike(pairs, similarity, buckets), similarity, words))
+    # Whatever that leaves apart is compared by the exact join, across classes.
+    found = classes_of(texts, round(100 * similarity), words, known, FULL).where("NOT alone")
+    return found.select(F.col("doc_id").alias("name"), F.col("component_id").alias("class")).distinct()
