@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm import decontaminate, mixing, pii, simhash, toxicity
-from tremor.llm.common import read, shared_path
+from tremor.llm.carry import some_of, wanted_ids
+from tremor.llm.common import bounded_batches, read, settle, shared_path
 from tremor.llm.queries import pii_key
 
 
@@ -35,10 +36,19 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     named = docs.withColumns({_NAME: F.xxhash64("text"), _ROW: F.xxhash64("doc_id", "text")})
     classes = simhash.similar(docs.select("text"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", _ROW)
-    firsts = named.select(_NAME, "doc_id", _ROW).join(classes, F.col(_NAME) == F.col("name"), "left")
-    firsts = firsts.groupBy(F.coalesce("class", _NAME)).agg(F.min(order).alias("one")).select(F.col(f"one.{_ROW}").alias(_ROW))
-    kept = named.join(firsts, _ROW, "left_semi").groupBy(_ROW).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("one"))
-    return kept.select("one.*")
+    firsts = named.select(_NAME, "doc_id", _ROW).join(classes, F.col(_NAME) == F.col("name"), "left").withColumn("class", F.coalesce("class", _NAME))
+    firsts = settle(firsts.groupBy("class").agg(F.min(order).alias("one"), F.count("*").alias("n")).select("class", F.col(f"one.{_ROW}").alias(_ROW), "n"))
+    # Rows that are alone in their class stay where they are; texts of all others, and of some that a full filter takes for such, are shuffled.
+    many = settle(firsts.where("n > 1").select("class"))
+    some = named.select(_NAME, _ROW).join(classes, F.col(_NAME) == F.col("name"), "left").select(F.coalesce("class", _NAME).alias("class"), _ROW).join(many, "class", "left_semi")
+    shared = wanted_ids(docs, some.select(F.col(_ROW).alias("doc_id")))
+    rows = named.select(F.col(_ROW).alias("doc_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("one"))
+    schema = rows.schema
+    bounded_batches(spark)
+    alone = rows.mapInArrow(lambda batches: some_of(batches, shared, False), schema).select("one.*")
+    rest = rows.mapInArrow(lambda batches: some_of(batches, shared), schema)
+    kept = rest.join(firsts.select(F.col(_ROW).alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("one").alias("one"))
+    return alone.union(kept.select("one.*"))
 
 
 def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,14 @@ def test_rows_without_ids_repeats_and_clashing_columns(spark, tmp_path):
     assert clean.columns == docs.columns and sorted(r.copies for r in clean.collect()) == [1, 1, 1, 3]
     assert corpus_pipeline.not_toxic(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.mixed(spark, docs, str(tmp_path)).columns == ["doc_id", "text", "score", "source", "size", "copies", "taken"]
+
+
+def test_rows_that_are_alone_are_not_shuffled(spark):
+    """Which of equal rows stays is the same; rows alone in their class stay where they are."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    rows = [(i, t, "a") for i, t in enumerate(texts)] + [(3, texts[3], "b"), (30, texts[4], "a"), (None, texts[5], "a"), (None, "only one", "a"), (6, "another text", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = corpus_pipeline.one_of_each(spark, docs, "")
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([*rows[:20], *rows[23:]], key=repr)
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")

@@ -67,12 +67,12 @@ def wanted_ids(docs: DataFrame, wanted: DataFrame) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast(table)
 
 
-def some_of(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """The rows whose doc_id the filter lets through."""
+def some_of(batches: Iterator[pa.RecordBatch], shared: Broadcast, through: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows whose doc_id the filter lets through, or all others."""
     bits = np.unpackbits(shared.value.view(np.uint8), bitorder="little").view(bool)
     for batch in batches:
         first, second = _places(_ids(batch.column("doc_id")))
-        yield batch.filter(pa.array(bits[first] & bits[second]))
+        yield batch.filter(pa.array((bits[first] & bits[second]) == through))
 
 
 def carried(docs: DataFrame, wanted: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
