@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -72,3 +73,49 @@ def test_model_is_a_distribution():
 
 def test_empty_table(spark):
     assert P.filter_quality(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
+
+
+def kneser_ney(texts):
+    """Plain modified Kneser-Ney of characters of order 4: log perplexity of each text."""
+    texts = ["\n" * 3 + (t or "") for t in texts]
+    counts = {4: Counter(t[i - 3 : i + 1] for t in texts for i in range(3, len(t)))}
+    for k in (3, 2, 1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    p = {"": 1 / (len(counts[1]) + 1)}
+    for k in range(1, 5):
+        many = Counter(counts[k].values())
+        n1, n2, n3, n4 = (max(many[i], 1) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        off = [min(max(i - (i + 1) * y * b / a, 0.05), i - 0.05) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+        total, taken = Counter(), Counter()
+        for g, n in counts[k].items():
+            total[g[:-1]] += n
+            taken[g[:-1]] += off[min(n, 3) - 1]
+        p |= {g: (n - off[min(n, 3) - 1] + taken[g[:-1]] * p[g[1:]]) / total[g[:-1]] for g, n in counts[k].items()}
+    return [-sum(math.log(p[t[i - 3 : i + 1]]) for i in range(3, len(t))) / (len(t) - 3) if len(t) > 3 else None for t in texts]
+
+
+@pytest.mark.parametrize("more", [{}, {"common": 300}])
+def test_perplexity_is_kneser_ney_of_characters(spark, more):
+    data = [*rows(60), (904, "ÄäAaBb 漢字 🙂 " * 30, "en"), (905, "ÄäAaCc 漢学 🙁 " * 30, "en"), (906, "\n", None), (906, "🙂", None)]
+    out = P.filter_quality(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3), **more).collect()
+    expected = {}
+    for (i, _, _), value in zip(data, kneser_ney([t for _, t, _ in data]), strict=True):
+        expected.setdefault(i, []).append(value)
+    found = {}
+    for r in out:
+        found.setdefault(r.doc_id, []).append(r.log_perplexity)
+    assert found.keys() == expected.keys()
+    for i, values in expected.items():
+        assert sorted(found[i], key=str) == [v if v is None else pytest.approx(v, abs=1e-8) for v in sorted(values, key=str)], i
+
+
+def test_counted_grams_and_invalid_bytes(spark):
+    data = np.frombuffer(b"ab\xff\xc3" + "é🙂".encode() + b"x", np.uint8)
+    found = P.grams(data, np.array([0, 4, 4, len(data)]))
+    shown = ["".join(map(chr, x)) for x in found.shown(np.arange(len(found.begins)))]
+    assert list(found.sizes) == [4, 0, 3]
+    assert shown == ["\n\n\na", "\n\nab", "\nab�", "ab��", "\n\n\né", "\n\né🙂", "\né🙂x"]
+    docs = spark.createDataFrame([(t,) for _, t, _ in rows(30)], "text string")
+    whole = {r.gram: r.n for r in P.count(docs).collect()}
+    assert whole == Counter(t[i - 3 : i + 1] for t in ("\n" * 3 + (t or "") for _, t, _ in rows(30)) for i in range(3, len(t)))
