@@ -1,10 +1,15 @@
 import random
+import subprocess
+import sys
 from itertools import combinations
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tremor.llm import decontaminate, mixing, pii
+from tremor.llm.common import bounded_batches
 from tremor.llm.queries import pii_key
 
 
@@ -77,3 +82,26 @@ def test_rows_that_are_alone_are_not_shuffled(spark):
     out = corpus_pipeline.one_of_each(spark, docs, "")
     assert sorted(map(tuple, out.collect()), key=repr) == sorted([*rows[:20], *rows[23:]], key=repr)
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
+def test_batches_to_python_are_small(spark):
+    bounded_batches(spark)
+    docs = spark.range(40, numPartitions=1).select(F.expr("repeat(cast(id % 10 AS string), 250000)").alias("text"))
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").toArrow().column("n").to_pylist()
+    assert sum(sizes) == 40 and max(sizes) * 250_000 <= 3 << 20
+
+
+def test_workers_give_freed_memory_back():
+    code = """
+import numpy as np, pyarrow as pa
+from tremor.llm.kernels import pieces
+held = lambda: next(int(x.split()[1]) for x in open('/proc/self/status') if x.startswith('VmRSS')) / 1024
+arrays = [np.ones(12_000) for _ in range(2000)]
+del arrays[:-1]
+before = held()
+rows = [r.num_rows for r, _, _ in pieces([pa.record_batch({'text': ['a b', None]})])]
+assert rows == [2]
+print(before - held())
+"""
+    root = str(Path(corpus_pipeline.__file__).parent)
+    assert float(subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout) > 100

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of an Arrow batch between the JVM and Python.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch between the JVM and Python; both sides hold a few at a time, outside the heap, for every running task.
+BATCH_BYTES = 2 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
