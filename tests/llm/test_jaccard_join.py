@@ -106,3 +106,48 @@ def test_shared_counts_common_grams():
 def test_empty_table(spark):
     check(spark, [])
     check(spark, [(1, None), (2, "")])
+
+
+def seen(monkeypatch, name):
+    """The rows of the first argument of each call of a function of the module."""
+    calls, function = [], getattr(J, name)
+
+    def noted(first, *more, **named):
+        calls.append(first.collect())
+        return function(first, *more, **named)
+
+    monkeypatch.setattr(J, name, noted)
+    return calls
+
+
+def test_sets_that_meet_by_chance_are_not_compared(spark, monkeypatch):
+    """Texts of 60 words, each of which shares one n-gram with each of twelve others, are no candidates; those of few n-grams that link by one or two are."""
+    pairs = seen(monkeypatch, "_by_counts")
+    both = lambda i, j: " ".join(f"p{min(i, j)}x{max(i, j)}{c}" for c in "abcd")
+    unrelated = [(i, " ".join(f"{both(i, j)} own{i}x{j}" for j in range(i - 6, i + 7) if j != i)) for i in range(40)]
+    base = [f"b{k}" for k in range(60)]
+    linked = [(100, " ".join(base)), (101, " ".join([*base[:-1], "other"]))]
+    few = [(200, "one two"), (201, "a b c d e"), (202, "a b c d e a b c d e"), (203, "p q r s t u"), (204, "p q r s t u q r s t u p")]
+    rows = [*unrelated, *linked, *few]
+    check(spark, rows)
+    assert len(pairs[0]) < 6
+
+
+def test_near_copies_that_meet_in_many_regions_come_to_few_cells(spark, monkeypatch):
+    """Regions of many near copies differ by those that an edit takes out; each text goes to about one cell, not to one for each n-gram, and sets to no other rows."""
+    cells, asked, of = seen(monkeypatch, "_split"), [], J._of
+    monkeypatch.setattr(J, "_of", lambda rows, names: asked.append((rows.columns, of(rows, names).count(), rows.count())) or of(rows, names))
+    rng = random.Random(7)
+    base = [f"b{k}" for k in range(200)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.sample(range(200), 1 + i % 9):
+            words[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, " ".join(f"u{i % 40}x{k}" for k in range(50)) + f" end{i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n"], r["component_id"]) for r in J.classes_of(docs, 85, 4, few=3).collect()]
+    assert sorted(got, key=repr) == brute(rows)
+    assert 40 <= len(cells[0]) <= 180
+    assert all(kept <= 70 for columns, kept, n in asked if columns == ["name", "grams"]) and any(n >= 100 for columns, kept, n in asked if columns == ["name", "grams"])

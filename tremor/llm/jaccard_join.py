@@ -5,9 +5,10 @@ three times, from coarse to fine; nothing is dropped that the bounds do not excl
 
 1. Pivots of one n-gram. A document is at distance 1 - 1/n from each n-gram that it holds and at 1 from all others, so
    its nearest pivots are its own n-grams; ties go to the rarer one, then to the lesser hash. Two documents that link
-   share an n-gram among the first n - ceil(similarity * n) + 1 of each: these are its own region and the windows to
-   which it is replicated. N-grams with equal members are one region. What is rare is read from a table of fixed size,
-   which only orders the pivots: the result is the same for any table.
+   share SHARED n-grams among the first n - ceil(similarity * n) + SHARED of each, or all that they must have in common if
+   those are fewer: these are its own region and the windows to which it is replicated. Pairs that meet in fewer small
+   regions, by chance, are left there. N-grams with equal members are one region, which counts as often as it has n-grams.
+   What is rare is read from a table of fixed size, which only orders the pivots: the result is the same for any table.
 2. Pivots of hash classes. The counts of a set's members in CLASSES classes bound the symmetric difference of two sets
    from below, as do their sizes; pairs beyond the bound are not looked at further.
 3. Pivots of documents. Every region's least document is compared with all others, exactly, and what links becomes
@@ -18,6 +19,7 @@ three times, from coarse to fine; nothing is dropped that the bounds do not excl
 
 Equal sets are one document from the start, and within a class no further pairs are compared, so thousands of near
 copies cost a comparison with the pivots each. A group in a task has about 2 * BLOCK sets or 2 * BLOCK_GRAMS n-grams, or two sets that are larger.
+Sets travel as packed texts, a quarter of their hashes' size, and only to cells or pairs that have them.
 
 Defined results. A null or empty text has no n-grams, size 0, and its own component. Rows without an id get a component
 but never name one (null if no member has an id). Repeated rows stay. Extra columns are ignored; an empty table gives
@@ -26,19 +28,21 @@ an empty result. N-grams are told apart by 64-bit hashes, sets by 128 bits and t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .carry import some_of, wanted_ids
-from .common import bounded_batches, components, filled, filling, settle, stored
-from .kernels import U64, mix, pieces, repeated, shingle_sets
+from .carry import pack, some_of, unpack, wanted_ids
+from .common import bounded_batches, components, filled, filling, settle, small, stored
+from .kernels import STEP_BYTES, U64, mix, pieces, repeated, shingle_sets
 
 #: Members of a region whose pairs are all compared.
 SMALL = 64
+#: N-grams that two linked sets have in common among their pivots, unless they must have fewer in common at all.
+SHARED = 3
 #: Members, and n-grams in all of them, of a block where a region's members are compared in blocks.
 BLOCK, BLOCK_GRAMS = 256, 1 << 20
 #: Documents that split a region.
@@ -113,7 +117,7 @@ def sketches(docs: DataFrame, words: int, salt: int = 0) -> DataFrame:
 
 def _pivots(docs: DataFrame, levels: np.ndarray, words: int, percent: int, salt: int) -> DataFrame:
     """(region, name, n): the sets' pivots of one n-gram; equal sets that are read together count once."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared, common = docs.sparkSession.sparkContext.broadcast(levels), SHARED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in pieces(batches):
@@ -123,7 +127,7 @@ def _pivots(docs: DataFrame, levels: np.ndarray, words: int, percent: int, salt:
             once = np.zeros(len(n), bool)
             once[np.unique(name, return_index=True)[1]] = True
             order = np.lexsort((hashes, shared.value[(hashes >> U64(64 - CELL_BITS)).astype(np.int64)], np.repeat(np.arange(len(n)), n)))
-            first = np.where(once & (n > 0), n - -(-percent * n // 100) + 1, 0)
+            first = np.where(once, np.minimum(n, n - -(-percent * n // 100) + common), 0)
             prefix = hashes[order][np.repeat(ends[:-1], first) + repeated(first)]
             yield pa.RecordBatch.from_arrays([pa.array(prefix.view(np.int64)), pa.array(np.repeat(name, first)), pa.array(np.repeat(n, first))], ["region", "name", "n"])
 
@@ -151,23 +155,60 @@ def _by_counts(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "u").join(other, "v").mapInArrow(run, "u long, v long")
 
 
+def _of(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows with one of the names, and perhaps some others, before anything is shuffled."""
+    shared = wanted_ids(rows, names.select(F.col("name").alias("doc_id")))
+    rows = rows.withColumnRenamed("name", "doc_id")
+    return rows.mapInArrow(lambda batches: some_of(batches, shared), rows.schema).withColumnRenamed("doc_id", "name")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, salt: int) -> DataFrame:
-    """(name, grams): the wanted sets, read from the text of one of their documents; wanted: name, rep."""
+    """(name, grams): the wanted sets, as the packed text of one of their documents; wanted: name, rep."""
 
     shared = wanted_ids(docs, wanted.select(F.col("rep").alias("doc_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, offsets in pieces(some_of(batches, shared)):
-            hashes, ends = shingle_sets(data, offsets, words)
-            yield pa.RecordBatch.from_arrays([pa.array(_names(*_keys(hashes, ends), salt)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["name", "grams"])
+            packed = [pack(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(_names(*_keys(*shingle_sets(data, offsets, words)), salt)), pa.array(packed, pa.binary())], ["name", "grams"])
+
+    return docs.mapInArrow(run, "name long, grams binary").join(wanted.select("name"), "name", "left_semi").groupBy("name").agg(F.first("grams").alias("grams"))
+
+
+def _opened(packed: Iterable[bytes], words: int) -> Iterator[np.ndarray]:
+    """The n-grams of each packed text, of about a step's bytes of texts at a time."""
+    held, ends = [], [0]
+
+    def sets() -> list[np.ndarray]:
+        hashes, at = shingle_sets(np.frombuffer(b"".join(held), np.uint8), np.array(ends), words)
+        return np.split(hashes, at[1:-1])
+
+    for text in map(unpack, packed):
+        held.append(text)
+        ends.append(ends[-1] + len(text))
+        if ends[-1] >= STEP_BYTES:
+            yield from sets()
+            held, ends = [], [0]
+    if held:
+        yield from sets()
 
-    return docs.mapInArrow(run, "name long, grams array<long>").join(wanted.select("name"), "name", "left_semi").groupBy("name").agg(F.first("grams").alias("grams"))
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, words: int) -> DataFrame:
+    """The pairs (u, v) that link, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            # Of rows that follow each other, those with the same v stand together; a set is opened once for them.
+            near, last, b = [], None, np.zeros(0, U64)
+            for v, one, other in zip(batch.column("v").to_pylist(), _opened(batch.column("a").to_pylist(), words), batch.column("b"), strict=True):
+                if v != last:
+                    last, b = v, next(_opened([other.as_py()], words))
+                shared = len(np.intersect1d(one, b, assume_unique=True))
+                near.append(shared * 100 >= (len(one) + len(b) - shared) * percent)
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("name").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("name").alias("v"), F.col("grams").alias("b")), "v")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared * 100 >= (F.size("a") + F.size("b") - shared) * percent).select("u", "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
@@ -191,14 +232,17 @@ def _shared(one: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+def _arrays(column: pa.ChunkedArray, words: int) -> list[np.ndarray]:
+    """Sets that travel as lists of n-grams or as packed texts."""
+    if pa.types.is_binary(column.type):
+        return list(_opened(column.to_pylist(), words))
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     ends = column.offsets.to_numpy()
     values = column.values.to_numpy().view(np.uint64)
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def _in_blocks(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(cells: DataFrame, sets: DataFrame, percent: int, words: int) -> DataFrame:
     """Links (u, v) between classes within each cell, from pairs that hold a member of its own; cells: cell, name, n, own, class."""
     sizes = cells.groupBy("cell", "class").agg(F.count("*").alias("k"), F.sum("n").alias("grams"))
     sizes = sizes.groupBy("cell").agg(F.max_by("class", "k").alias("main"), F.sum("k").alias("k"), F.sum("grams").alias("grams"), F.max("k").alias("main_k"), F.max_by("grams", "k").alias("main_grams"))
@@ -213,12 +257,13 @@ def _in_blocks(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     few = rows.where(F.col("class") != F.col("main")).withColumns({"b": F.pmod(spread, F.col("across")).cast("int"), "r": F.explode(F.sequence(F.lit(0), F.col("down") - 1)), "few": F.lit(True)})
     every = rows.withColumns({"b": F.explode(F.sequence(F.lit(0), F.col("across") - 1)), "r": F.pmod(spread, F.col("down")).cast("int"), "few": F.lit(False)})
     columns = ["cell", "b", "r", "few", "name", "class", "own"]
-    dealt = few.select(*columns).union(every.select(*columns)).join(sets, "name")
+    dealt = few.select(*columns).union(every.select(*columns)).join(_of(sets, rows), "name")
 
     def run(group: pa.Table) -> pa.Table:
         side = group.column("few").to_numpy(zero_copy_only=False).astype(bool)
         name, class_of, own = (group.column(c).to_numpy(zero_copy_only=False) for c in ("name", "class", "own"))
-        grams, size = _arrays(group.column("grams")), np.array([len(x) for x in _arrays(group.column("grams"))])
+        grams = _arrays(group.column("grams"), words)
+        size = np.array([len(x) for x in grams])
         i, j = np.flatnonzero(side), np.flatnonzero(~side)
         if not len(i) or not len(j):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
@@ -233,21 +278,21 @@ def _in_blocks(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("cell", "b", "r").applyInArrow(run, "u long, v long")
 
 
-def _to_pivots(cells: DataFrame, sets: DataFrame, percent: int, round: int) -> DataFrame:
+def _to_pivots(cells: DataFrame, sets: DataFrame, percent: int, words: int, round: int) -> DataFrame:
     """(cell, k, name, n, own, links, targets, nearest) of all members but the pivots: the pivots each one links to, the cells it goes to, 0 for the one outside all."""
     order = Window.partitionBy("cell").orderBy(F.xxhash64("name", F.lit(round)), "name")
     pivots = settle(cells.select("cell", "name", "k").withColumn("place", F.row_number().over(order)).where(F.col("place") <= PIVOTS))
     salts = F.ceil(F.col("k") / (8 * BLOCK)).cast("int")
     others = cells.join(pivots.select("cell", "name"), ["cell", "name"], "left_anti").select("cell", F.pmod(F.xxhash64("name"), salts).cast("int").alias("salt"), F.lit(False).alias("pivot"), "name", "k", "n", "own")
     heads = pivots.select("cell", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("pivot"), "name", "k", F.lit(0).cast("long").alias("n"), F.lit(False).alias("own"))
-    dealt = others.union(heads).join(sets, "name").repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.desc("pivot"))
+    dealt = others.union(heads).join(_of(sets, cells), "name").repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.desc("pivot"))
     reach = 1 - percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, held = None, [], []
         for batch in batches:
             out = []
-            for cell, salt, pivot, name, k, n, own, grams in zip(*(batch.column(c).to_pylist() for c in ("cell", "salt", "pivot", "name", "k", "n", "own")), _arrays(batch.column("grams")), strict=True):
+            for cell, salt, pivot, name, k, n, own, grams in zip(*(batch.column(c).to_pylist() for c in ("cell", "salt", "pivot", "name", "k", "n", "own")), _arrays(batch.column("grams"), words), strict=True):
                 if now != (cell, salt):
                     now, names, held = (cell, salt), [], []
                 if pivot:
@@ -287,17 +332,28 @@ def _sized(cells: DataFrame, classes: DataFrame) -> DataFrame:
     return filled(cells.join(sizes.where("a <> b AND some").select("cell", "k"), "cell").select("cell", "k", "name", "n", "own", "before", "class"))
 
 
-def _split(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _joint(regions: DataFrame) -> DataFrame:
+    """(cell, head, name, n): the members of large regions, those with one least member in one cell where that has fewer pairs than they have.
+
+    Near copies share many n-grams, so they meet again and again in regions that differ by some members."""
+    regions = regions.select("region", F.col("least.name").alias("head"), "name", "n", "k")
+    sizes = regions.groupBy("head").agg(F.count_distinct("name").alias("all"), F.sum("k").alias("pairs"), F.count_distinct("region").alias("regions"))
+    joint = filled(sizes.where((F.col("regions") > 1) & (F.col("all") * F.col("all") <= F.col("pairs"))).select("head", F.lit(True).alias("joint")))
+    cell = F.when(F.col("joint"), F.xxhash64("head", F.lit("joint"))).otherwise(F.col("region"))
+    return regions.join(small(joint), "head", "left").select(cell.alias("cell"), "head", "name", "n").distinct()
+
+
+def _split(cells: DataFrame, sets: DataFrame, classes: DataFrame, percent: int, words: int = 1) -> DataFrame:
     """The classes after all members of the cells have been compared; each round's cells are smaller, or compared in blocks."""
     edges, round = classes.select(F.col("name").alias("u"), F.col("class").alias("v")), 0
     cells = _sized(cells.withColumn("before", F.lit(None).cast("long")), classes)
     while not cells.isEmpty():
         whole = (F.col("k") > 2 * BLOCK) & (F.col("before").isNull() | (F.col("k") <= 0.7 * F.col("before")))
-        found = _in_blocks(cells.where(~whole), sets, percent)
+        found = _in_blocks(cells.where(~whole), sets, percent, words)
         large, round = cells.where(whole), round + 1
         following = None
         if not large.isEmpty():
-            near = filled(_to_pivots(large, sets, percent, round))
+            near = filled(_to_pivots(large, sets, percent, words, round))
             found = found.union(near.select(F.col("name").alias("u"), F.explode("links").alias("v")))
             # Where members go to most of the cells, the pivots do not part them.
             parted = near.groupBy("cell").agg((F.sum(F.size("targets")) <= F.count("*") * (PIVOTS / 2)).alias("parted"))
@@ -336,28 +392,35 @@ def classes_of(docs: DataFrame, percent: int, words: int, known: DataFrame | Non
     # Regions of single n-grams; of those with equal members, one. What stands in one set only goes no further than its first shuffle.
     by = Window.partitionBy("region")
     tokens = _pivots(docs, frequencies(docs, words), words, percent, salt).withColumns({"lo": F.min("name").over(by), "hi": F.max("name").over(by)})
-    tokens = stored(tokens.where("lo <> hi").select("region", "name", "n").distinct(), "regions")
-    parts = filling(tokens.count())
-    tokens = tokens.coalesce(parts).withColumn("class", F.col("name")) if edges is None else _classed(tokens.coalesce(parts), _classes_of(edges)).coalesce(parts)
-    regions = tokens.groupBy("region").agg(
-        F.count("*").alias("k"), F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "name")).alias("y"), F.min(F.struct("name", "n", "class")).alias("least"), F.min("class").alias("a"), F.max("class").alias("b")
-    )
-    regions = filled(regions.where("a <> b").coalesce(parts).groupBy("k", "x", "y", "least").agg(F.min("region").alias("region")))
-    members = filled(tokens.join(regions.select("region", "k", "least"), "region"))
+    tokens = tokens.where("lo <> hi").select("region", "name", "n", "lo").distinct()
+    tokens = tokens.withColumns({"k": F.count("*").over(by), "x": F.bit_xor(F.xxhash64("name")).over(by), "y": F.bit_xor(F.xxhash64(F.lit(1), "name")).over(by)})
+    alike = tokens.select(F.xxhash64("k", "x", "y", "lo").alias("region"), "name", "n", "k").repartition("region")
+    members = stored(alike.groupBy("region", "name", "n", "k").agg(F.count("*").alias("w")), "regions")
+    parts = filling(members.count())
+    members = members.coalesce(parts)
+    if edges is None:
+        members = members.withColumn("class", F.col("name"))
+    else:
+        members = filled(_classed(members, _classes_of(edges)).coalesce(parts))
+        several = members.groupBy("region").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+        members = filled(members.join(several.select("region"), "region", "left_semi"))
     some, many = members.where(F.col("k") <= few), members.where(F.col("k") > few)
-    other = some.select("region", F.col("name").alias("v"), F.col("n").alias("m"), F.col("class").alias("there"))
-    pairs = some.join(other, "region").where((F.col("name") < F.col("v")) & (F.col("class") != F.col("there")) & _sizes_fit(F.col("n"), F.col("m"), percent)).select(F.col("name").alias("u"), "v")
+    other = some.select("region", F.col("name").alias("v"), F.col("n").alias("m"), F.col("class").alias("there"), F.col("w").alias("z"))
+    pairs = some.join(other, "region").where((F.col("name") < F.col("v")) & (F.col("class") != F.col("there")) & _sizes_fit(F.col("n"), F.col("m"), percent))
+    least_shared = F.least(F.lit(SHARED), F.ceil((F.col("n") + F.col("m")) * percent / (100 + percent)))
+    pairs = pairs.groupBy(F.col("name").alias("u"), "v", "n", "m").agg(F.sum(F.least("w", "z")).alias("shared")).where(F.col("shared") >= least_shared).select("u", "v")
+    many = many.join(many.groupBy("region").agg(F.min(F.struct("name", "n", "class")).alias("least")), "region")
     stars = many.where(F.col("class") != F.col("least.class")).where(_sizes_fit(F.col("n"), F.col("least.n"), percent)).select(F.col("least.name").alias("u"), F.col("name").alias("v"))
     pairs = filled(pairs.union(stars).distinct())
     compared_sets = filled(pairs.select(F.col("u").alias("name")).union(pairs.select("v")).distinct())
-    counts = sketch.select("name", "n", "counts").where("n > 0").join(compared_sets, "name", "left_semi").groupBy("name", "n").agg(F.first("counts").alias("counts"))
+    counts = _of(sketch.select("name", "n", "counts").where("n > 0"), compared_sets).join(compared_sets, "name", "left_semi").groupBy("name", "n").agg(F.first("counts").alias("counts"))
     pairs = filled(_by_counts(pairs, stored(counts, "counts"), percent))
     wanted = pairs.select(F.col("u").alias("name")).union(pairs.select("v")).union(many.select("name")).distinct()
     sets = stored(_sets(docs, filled(sets_of.select("name", "rep").join(wanted, "name", "left_semi")), words, salt), "sets")
-    links = _linked(pairs, sets, percent)
+    links = _linked(pairs, sets, percent, words)
     classes = filled(_classes_of(links if edges is None else links.union(edges)))
-    cells = many.where(F.col("name") != F.col("least.name")).select(F.col("region").alias("cell"), "name", "n", F.lit(True).alias("own"))
-    classes = _split(cells, sets, classes, percent)
+    cells = _joint(many).where(F.col("name") != F.col("head")).select("cell", "name", "n", F.lit(True).alias("own"))
+    classes = _split(cells, sets, classes, percent, words)
     named = filled(_classed(sets_of.select("name", "rep", "last"), classes))
     least = named.groupBy("class").agg(F.min("rep").alias("component_id"), (F.coalesce(F.min("rep") == F.max("last"), F.lit(False)) & (F.count("*") == 1)).alias("alone"))
     named = named.join(least, "class").select("name", "component_id", "alone")
