@@ -156,3 +156,15 @@ def test_links_do_not_depend_on_buckets(spark):
     name = {r["text"]: r["name"] for r in docs.withColumn("name", F.xxhash64("text")).collect()}
     found = {r["name"]: r["class"] for r in S.similar(docs, buckets=1).collect()}
     assert len(set(found.values())) == 40 and all(found[name[a]] == found[name[b]] for a, b in zip(rows[::2], rows[1::2], strict=True))
+
+
+def test_near_copies_come_to_few_cells(spark, monkeypatch):
+    """Texts of one large group meet in regions of many n-grams, which the exact join puts together: 40 texts go to a few cells each, not to one for each n-gram."""
+    cells, split = [], jaccard_join._split
+    monkeypatch.setattr(S, "FULL", 3)
+    monkeypatch.setattr(jaccard_join, "_split", lambda first, *more: cells.append(first.count()) or split(first, *more))
+    rng = random.Random(9)
+    rows = [" ".join(f"e{i}x{k}" if k in edited else f"b{k}" for k in range(150)) for i in range(40) for edited in [set(rng.sample(range(150), 2 + i % 5))]]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string")
+    S.similar(docs).collect()
+    assert len(cells) == 1 and 0 < cells[0] <= 200
